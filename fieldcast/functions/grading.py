@@ -17,9 +17,8 @@ Factors = dict[str, Column]
 
 
 def label(severity: Column) -> Column:
-    return (
-        F.when(severity == R.GREEN, "green").when(severity == R.YELLOW, "yellow").when(severity == R.RED, "red")
-    )
+    """One reference to ``severity``: a verdict is long, and filters on it are copied into the scan."""
+    return F.get(F.lit(list(R.VERDICTS)), severity - 1)
 
 
 def severity_of(verdict: Column) -> Column:
@@ -32,15 +31,15 @@ def banded(x: Column, green: Column, yellow: Column) -> Column:
 
 def below(x: Column, green, yellow) -> Column:
     """Green under the first limit, yellow under the second, red from there on."""
-    return banded(x, x < green, x < yellow)
+    return F.when(x < green, R.GREEN).when(x < yellow, R.YELLOW).when(x >= yellow, R.RED)
 
 
 def at_least(x: Column, green, yellow) -> Column:
-    return banded(x, x >= green, x >= yellow)
+    return F.when(x >= green, R.GREEN).when(x >= yellow, R.YELLOW).when(x < yellow, R.RED)
 
 
 def above(x: Column, green, yellow) -> Column:
-    return banded(x, x > green, x > yellow)
+    return F.when(x > green, R.GREEN).when(x > yellow, R.YELLOW).when(x <= yellow, R.RED)
 
 
 def within(x: Column, green_low, green_high, yellow_low, yellow_high) -> Column:
@@ -55,10 +54,13 @@ def any_null(*cols: Column) -> Column:
     return reduce(lambda a, b: a | b, [c.isNull() for c in cols])
 
 
-def with_data_factor(factors: Factors, *core: Column) -> Factors:
-    """Adds the ``data`` factor: yellow when some factor exists and a core input is missing."""
-    graded = F.coalesce(*factors.values()).isNotNull()
-    return {**factors, "data": F.when(graded & any_null(*core), R.YELLOW)}
+def any_known(*cols: Column) -> Column:
+    return reduce(lambda a, b: a | b, [c.isNotNull() for c in cols])
+
+
+def data_factor(usable: Column, *core: Column) -> Column:
+    """Yellow when something could be graded (``usable``) and a core input is missing."""
+    return F.when(usable & any_null(*core), R.YELLOW)
 
 
 def worst(factors: Factors) -> Column:
@@ -81,15 +83,13 @@ def factor_text(factors: Column) -> Column:
 
 
 def daily_pour_factors(high: Column, rain: Column, wind: Column) -> Factors:
-    return with_data_factor(
-        {
-            "temperature": working_temperature(high),
-            "precipitation": banded(rain, rain == 0, rain < F.lit(R.DAILY_POUR_RAIN_YELLOW).cast("decimal(5,2)")),
-            "wind": below(wind, R.POUR_WIND_GREEN, R.POUR_WIND_YELLOW),
-        },
-        high,
-        rain,
-    )
+    return {
+        "temperature": working_temperature(high),
+        "precipitation": banded(rain, rain == 0, rain < F.lit(R.DAILY_POUR_RAIN_YELLOW).cast("decimal(5,2)")),
+        "wind": below(wind, R.POUR_WIND_GREEN, R.POUR_WIND_YELLOW),
+        # wind is sparse in old archives, so its absence alone does not cap a day
+        "data": data_factor(any_known(high, rain, wind), high, rain),
+    }
 
 
 def daily_sealer_factors(high: Column, low: Column, rain: Column) -> Factors:
@@ -99,15 +99,11 @@ def daily_sealer_factors(high: Column, low: Column, rain: Column) -> Factors:
         .when(low >= R.TEMP_YELLOW_LOW, R.YELLOW)
         .otherwise(R.RED)
     )
-    return with_data_factor(
-        {
-            "precipitation": banded(rain, rain == 0, rain < F.lit(R.DAILY_SEALER_RAIN_YELLOW).cast("decimal(5,2)")),
-            "temperature": temperature,
-        },
-        rain,
-        high,
-        low,
-    )
+    return {
+        "precipitation": banded(rain, rain == 0, rain < F.lit(R.DAILY_SEALER_RAIN_YELLOW).cast("decimal(5,2)")),
+        "temperature": temperature,
+        "data": data_factor(rain.isNotNull() | (high.isNotNull() & low.isNotNull()), rain, high, low),
+    }
 
 
 def dewpoint_spread(temp: Column, dewpoint: Column) -> Column:
@@ -117,25 +113,22 @@ def dewpoint_spread(temp: Column, dewpoint: Column) -> Column:
 def hourly_pour_factors(
     temp: Column, humidity: Column, wind: Column, prob: Column, dewpoint: Column
 ) -> Factors:
-    return with_data_factor(
-        {
-            "temperature": working_temperature(temp),
-            "humidity": within(
-                humidity,
-                R.POUR_HUMIDITY_GREEN_LOW,
-                R.POUR_HUMIDITY_GREEN_HIGH,
-                R.POUR_HUMIDITY_YELLOW_LOW,
-                R.POUR_HUMIDITY_YELLOW_HIGH,
-            ),
-            "wind": below(wind, R.POUR_WIND_GREEN, R.POUR_WIND_YELLOW),
-            "precipitation": below(prob, R.POUR_PROB_GREEN, R.POUR_PROB_YELLOW),
-            "dewpoint": dewpoint_spread(temp, dewpoint),
-        },
-        temp,
+    humid = within(
         humidity,
-        wind,
-        prob,
+        R.POUR_HUMIDITY_GREEN_LOW,
+        R.POUR_HUMIDITY_GREEN_HIGH,
+        R.POUR_HUMIDITY_YELLOW_LOW,
+        R.POUR_HUMIDITY_YELLOW_HIGH,
     )
+    core = (temp, humidity, wind, prob)
+    return {
+        "temperature": working_temperature(temp),
+        "humidity": humid,
+        "wind": below(wind, R.POUR_WIND_GREEN, R.POUR_WIND_YELLOW),
+        "precipitation": below(prob, R.POUR_PROB_GREEN, R.POUR_PROB_YELLOW),
+        "dewpoint": dewpoint_spread(temp, dewpoint),
+        "data": data_factor(any_known(*core), *core),
+    }
 
 
 def hourly_sealer_factors(
@@ -149,20 +142,14 @@ def hourly_sealer_factors(
 ) -> Factors:
     no_hot_band = banded(temp, temp.between(R.TEMP_GREEN_LOW, R.TEMP_GREEN_HIGH),
                          (temp >= R.TEMP_YELLOW_LOW) & (temp < R.TEMP_GREEN_LOW))
-    return with_data_factor(
-        {
-            "temperature": no_hot_band,
-            "cure_temp": at_least(low_next_12h, R.TEMP_GREEN_LOW, R.TEMP_YELLOW_LOW),
-            "wind": below(wind, R.SEALER_WIND_GREEN, R.SEALER_WIND_YELLOW),
-            "humidity": below(humidity, R.SEALER_HUMIDITY_GREEN, R.SEALER_HUMIDITY_YELLOW),
-            "rain_last_24h": below(rain_last_24h, float(R.TRACE_RAIN), float(R.WET_RAIN)),
-            "rain_next_24h": below(prob_next_24h, R.SEALER_PROB_GREEN, R.SEALER_PROB_YELLOW),
-            "dewpoint": dewpoint_spread(temp, dewpoint),
-        },
-        temp,
-        humidity,
-        rain_last_24h,
-        prob_next_24h,
-        wind,
-        low_next_12h,
-    )
+    core = (temp, humidity, rain_last_24h, prob_next_24h, wind, low_next_12h)
+    return {
+        "temperature": no_hot_band,
+        "cure_temp": at_least(low_next_12h, R.TEMP_GREEN_LOW, R.TEMP_YELLOW_LOW),
+        "wind": below(wind, R.SEALER_WIND_GREEN, R.SEALER_WIND_YELLOW),
+        "humidity": below(humidity, R.SEALER_HUMIDITY_GREEN, R.SEALER_HUMIDITY_YELLOW),
+        "rain_last_24h": below(rain_last_24h, float(R.TRACE_RAIN), float(R.WET_RAIN)),
+        "rain_next_24h": below(prob_next_24h, R.SEALER_PROB_GREEN, R.SEALER_PROB_YELLOW),
+        "dewpoint": dewpoint_spread(temp, dewpoint),
+        "data": data_factor(any_known(*core), *core),
+    }

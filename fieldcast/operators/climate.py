@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.numeric import exact_avg, percent, tenths
-from .ordered import BLOCK_ROWS, block_window, blocks, core_rows, number_rows, rank_by_histogram
+from .ordered import BLOCK_ROWS, block_window, blocks, core_rows, number_rows
 
 DAY = "observation_date"
 
@@ -91,10 +91,9 @@ def weather_streaks(daily: DataFrame, stations: DataFrame, min_days: int = 3) ->
         )
         .filter(F.col("streak_days") >= min_days)
     )
-    ranked = rank_by_histogram(
-        runs, ["station_id", "is_rain"], [F.col("streak_days").desc()], ["streak_days"], "streak_rank"
-    )
-    return ranked.join(_names(stations), "station_id").select(
+    # runs are disjoint stretches of calendar days: a century of a station has at most 12,000 of three days
+    longest = Window.partitionBy("station_id", "is_rain").orderBy(F.col("streak_days").desc())
+    return runs.withColumn("streak_rank", F.rank().over(longest)).join(_names(stations), "station_id").select(
         "station_id",
         "station_name",
         F.when(F.col("is_rain") == 0, "DRY").otherwise("WET").alias("streak_type"),
@@ -240,13 +239,11 @@ def best_work_weeks(
         "red_in_5day",
         F.when(F.col("_known") > 0, F.round(F.col("_sum") / F.col("_known"), 1)).alias("avg_high_5day"),
     )
-    ranked = rank_by_histogram(
-        weeks,
-        ["station_id", "year"],
-        [F.col("green_in_5day").desc(), F.col("red_in_5day").asc()],
-        ["green_in_5day", "red_in_5day"],
-        "year_rank",
+    # at most one row per day of the year
+    best = Window.partitionBy("station_id", "year").orderBy(
+        F.col("green_in_5day").desc(), F.col("red_in_5day").asc()
     )
+    ranked = weeks.withColumn("year_rank", F.rank().over(best))
     return ranked.join(_names(stations), "station_id").select(
         "station_id", "station_name", "week_starting", "week_ending",
         "green_in_5day", "red_in_5day", "avg_high_5day", "year_rank",

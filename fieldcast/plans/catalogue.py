@@ -52,7 +52,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def _daily(spark: SparkSession, sf: str) -> DataFrame:
-    return D.daily(spark, sf).drop("score_details")
+    return D.fact_table(spark, sf).drop("score_details", "obs_year")
 
 
 def _staged_jobs(spark: SparkSession, sf: str) -> DataFrame:

@@ -120,9 +120,9 @@ def expire(spark: SparkSession, path: str, schema, now: datetime, partition: str
     edge = [limit - timedelta(days=1), limit]
     table = spark.read.schema(schema).parquet(path)
     around = table.filter(F.col(partition).isin(*edge))
-    kept = unexpired(around, now)
+    kept = _stage(unexpired(around, now), partition)
     _overwrite_partitions(kept, path, partition)
-    left = {r[0] for r in kept.select(partition).distinct().collect()}  # at most the two edge dates
+    left = set(_partitions_of(kept, partition))
     gone = {d for d in edge if d not in left}
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)

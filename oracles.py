@@ -521,7 +521,7 @@ SQL["sealer_check"] = sql(
     ("soon24", """select station_id, count(prob) as probs, max(prob) as prob, count(t10) filter (place <= 12) as temps,
           min(t10) filter (place <= 12) as low from placed where place <= 24 group by 1"""),
     ("site_now", """select coalesce(p.station_id, n.station_id) as station_id, h.t10 as c_t, h.hum as c_hum, h.d10 as c_d, h.w10 as c_w, past_lo, past_hi, past_hum,
-          coalesce(recent, 0) as recent, coalesce(known, 0) as known, rain, coalesce(probs, 0) as probs, prob, coalesce(temps, 0) as temps, low
+          coalesce(recent, 0) as recent, coalesce(known, 0) as known, rain, coalesce(probs, 0) as probs, n.prob, coalesce(temps, 0) as temps, low
         from past p full join soon24 n on p.station_id = n.station_id
           left join hourly h on h.station_id = p.station_id and h.time = p.last_time"""),
     ("inputs", f"select *, {TRUSTED} from site_now"),
