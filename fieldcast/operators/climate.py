@@ -34,17 +34,22 @@ def temperature_anomalies(daily: DataFrame, stations: DataFrame, block_rows: int
         "station_id", DAY, "temp_mean_f", tenths(F.col("temp_mean_f")).alias("t")
     )
     numbered = number_rows(kept, ["station_id"], [DAY], F.year(DAY))
+    # running sums inside a block; the sum of the last k rows is the difference of two of them
     w = block_window(["station_id"])
-    week, month = w.rowsBetween(-6, 0), w.rowsBetween(-29, 0)
-    t, t2 = F.col("t"), F.col("t") * F.col("t")
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    t = F.col("t")
+    summed = blocks(numbered, before=29, block_rows=block_rows).withColumns(
+        {"_s": F.sum(t).over(running), "_q": F.sum(t * t).over(running)}
+    )
+    last = lambda name, k: F.col(name) - F.lag(name, k, 0).over(w)
     framed = core_rows(
-        blocks(numbered, before=29, block_rows=block_rows).withColumns(
+        summed.withColumns(
             {
-                "n7": F.count("t").over(week),
-                "s7": F.sum(t).over(week),
-                "n30": F.count("t").over(month),
-                "s30": F.sum(t).over(month),
-                "q30": F.sum(t2).over(month),
+                "s7": last("_s", 7),
+                "s30": last("_s", 30),
+                "q30": last("_q", 30),
+                "n7": F.least(F.col("_row"), F.lit(7)),
+                "n30": F.least(F.col("_row"), F.lit(30)),
             }
         )
     )

@@ -10,6 +10,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.daily import convert_units, score_days
 from ..rules import ELEMENTS
@@ -107,20 +108,21 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
     return score_days(convert_units(daily_elements(spark, sf)))
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str], tuple[str, StructType]] = {}
 
 
 def fact_table(spark: SparkSession, sf: str) -> DataFrame:
     """The daily fact table as the load job leaves it: converted, scored, written once per application to the shared
     scratch folder and partitioned by year. Analytics read it with column and partition pruning instead of
     grading the whole history again."""
-    rows = daily(spark, sf).withColumn("obs_year", F.year("observation_date"))
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _STORED or not path_exists(spark, _STORED[key]):
+    if key not in _STORED or not path_exists(spark, _STORED[key][0]):
+        rows = daily(spark, sf).withColumn("obs_year", F.year("observation_date"))
         path = f"{scratch_dir(spark, 'facts')}/daily_weather"
         create_table(rows, path, "obs_year", DAILY_KEY)
-        _STORED[key] = path
-    return spark.read.schema(rows.schema).parquet(_STORED[key])
+        _STORED[key] = (path, rows.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def regional_daily(spark: SparkSession, sf: str) -> DataFrame:

@@ -74,7 +74,10 @@ def dedup_batch(alerts: DataFrame, ttl: int = R.ALERT_TTL_SECONDS) -> DataFrame:
 def _publish(ttl: int):
     def track(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["arrived", "seq"], kind="stable")
+        rows = None
+        for batch in batches:  # one row per second is enough, however often an id repeats
+            rows = batch if rows is None else pd.concat([rows, batch], ignore_index=True)
+            rows = rows.sort_values(["arrived", "seq"], kind="stable").drop_duplicates("arrived")
         picked, last = _publications(rows["arrived"].to_numpy(np.int64), last, ttl)
         if last is not None:
             state.update((last,))

@@ -27,8 +27,10 @@ def _changed(previous, new):
 
 
 def changes_batch(scored: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``previous_score`` and ``score_changed`` for a finished table, in order of ``ts`` and ``seq``."""
-    numbered = number_rows(scored, ["station_id"], ["ts", "seq"], F.col("ts").cast("date"))
+    """``previous_score`` and ``score_changed`` for a finished table, in order of ``ts`` and ``seq``. A station may
+    report any number of times, so its rows are numbered by the hour."""
+    hour = F.struct(F.col("ts").cast("date").alias("d"), F.hour("ts").alias("h"))
+    numbered = number_rows(scored, ["station_id"], ["ts", "seq"], hour)
     w = block_window(["station_id"])
     cut = blocks(numbered, before=1, block_rows=block_rows)
     previous = F.lag("pour_score").over(w)
