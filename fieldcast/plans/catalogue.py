@@ -326,10 +326,19 @@ def alert_dedup(spark, sf):
     return flat(alert_stream.dedup_batch(D.alerts(spark, sf)).select(*PUBLISHED))
 
 
-def _landed(df: DataFrame, name: str, files: int = 4) -> tuple[str, T.StructType]:
-    """Writes a finished table as time-ordered landing files for a stream to pick up."""
+LANDING_FILES = 4
+
+
+def landed(df: DataFrame, name: str, slices: int = 4, files: int = LANDING_FILES) -> tuple[str, T.StructType]:
+    """Writes a finished table as landing files in arrival order: one time slice after the other, each in ``files``
+    files, so a stream that takes ``files`` per trigger sees one slice per micro-batch."""
     path = scratch_dir(df.sparkSession, name)
-    df.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(path)
+    first, last = df.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / slices
+    edge = lambda i: F.lit((first + step * i).isoformat(sep=" ")).cast("timestamp_ntz")
+    for i in range(slices):
+        inside = (F.col("ts") >= edge(i)) & (F.col("ts") < edge(i + 1) if i + 1 < slices else F.lit(True))
+        df.filter(inside).repartition(files).write.mode("append").parquet(path)
     return path, df.schema
 
 
@@ -342,8 +351,8 @@ def _finish(stream_query, spark: SparkSession, path: str, schema: T.StructType)
 
 @query
 def stream_alerts(spark, sf):
-    path, schema = _landed(D.alerts(spark, sf), "alerts-in")
-    out = alert_stream.dedup_stream(streams.tail(spark, path, schema)).select(*PUBLISHED)
+    path, schema = landed(D.alerts(spark, sf), "alerts-in")
+    out = alert_stream.dedup_stream(streams.tail(spark, path, schema, LANDING_FILES)).select(*PUBLISHED)
     target = scratch_dir(spark, "alerts-out")
     run = streams.write_files(out, target, scratch_dir(spark, "alerts-checkpoint"))
     return flat(_finish(run, spark, target, out.schema))
@@ -363,8 +372,8 @@ def verdict_changes(spark, sf):
 
 @query
 def stream_changes(spark, sf):
-    path, schema = _landed(D.readings(spark, sf), "readings-in")
-    scored = change_stream.score_readings(streams.tail(spark, path, schema)).drop("pour_factors")
+    path, schema = landed(D.readings(spark, sf), "readings-in")
+    scored = change_stream.score_readings(streams.tail(spark, path, schema, LANDING_FILES)).drop("pour_factors")
     out = change_stream.changes_stream(scored).select(*CHANGE)
     target = scratch_dir(spark, "changes-out")
     run = streams.write_files(out, target, scratch_dir(spark, "changes-checkpoint"))
