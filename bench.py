@@ -47,6 +47,9 @@ def main() -> None:
     start = time.perf_counter()
     derive.fact_table(spark, folder)
     seconds["load_daily_facts"] = round(time.perf_counter() - start, 3)
+    start = time.perf_counter()
+    derive.archive_files(spark, folder)
+    seconds["land_archive_files"] = round(time.perf_counter() - start, 3)
     for name in HEADLINE:
         run(name)
         seconds[name] = round(statistics.median(run(name) for _ in range(3)), 3)

@@ -69,7 +69,7 @@ def unit_convert(spark, sf):
 
 @query
 def parse_fixed_width(spark, sf):
-    lines = D.fixed_width_lines(D.daily_elements(spark, sf))
+    lines = station_files.read_lines(spark, D.archive_files(spark, sf))
     values = station_files.parse_lines(lines, first_year=1996)
     return flat(station_files.observations(values))
 
@@ -342,20 +342,19 @@ def landed(df: DataFrame, name: str, slices: int = 4, files: int = LANDING_FILES
     return path, df.schema
 
 
-def _finish(stream_query, spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _finish(stream_query, path: str) -> DataFrame:
     stream_query.awaitTermination()
     if stream_query.exception():
         raise stream_query.exception()
-    return spark.read.schema(schema).parquet(path)
+    return SparkSession.active().read.parquet(path)
 
 
 @query
 def stream_alerts(spark, sf):
     path, schema = landed(D.alerts(spark, sf), "alerts-in")
-    out = alert_stream.dedup_stream(streams.tail(spark, path, schema, LANDING_FILES)).select(*PUBLISHED)
-    target = scratch_dir(spark, "alerts-out")
-    run = streams.write_files(out, target, scratch_dir(spark, "alerts-checkpoint"))
-    return flat(_finish(run, spark, target, out.schema))
+    run = scratch_dir(spark, "alerts-run")
+    stream = streams.tail(spark, path, schema, LANDING_FILES)
+    return flat(_finish(streams.write_published(stream, f"{run}/out", f"{run}/state", f"{run}/progress"), f"{run}/out").select(*PUBLISHED))
 
 
 CHANGE = ["station_id", "ts", "seq", "pour_score", "previous_score", "score_changed"]
@@ -373,11 +372,9 @@ def verdict_changes(spark, sf):
 @query
 def stream_changes(spark, sf):
     path, schema = landed(D.readings(spark, sf), "readings-in")
+    run = scratch_dir(spark, "readings-run")
     scored = change_stream.score_readings(streams.tail(spark, path, schema, LANDING_FILES)).drop("pour_factors")
-    out = change_stream.changes_stream(scored).select(*CHANGE)
-    target = scratch_dir(spark, "changes-out")
-    run = streams.write_files(out, target, scratch_dir(spark, "changes-checkpoint"))
-    return flat(_finish(run, spark, target, out.schema))
+    return flat(_finish(streams.write_changes(scored, f"{run}/out", f"{run}/state", f"{run}/progress"), f"{run}/out").select(*CHANGE))
 
 
 @query

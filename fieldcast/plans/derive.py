@@ -6,14 +6,16 @@ the scale factor.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.daily import convert_units, score_days
 from ..rules import ELEMENTS
+from ..schemas import DAILY
 from ..session import path_exists, scratch_dir
 from ..sinks.tables import DAILY_KEY, create_table
 
@@ -108,23 +110,38 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
     return score_days(convert_units(daily_elements(spark, sf)))
 
 
-_STORED: dict[tuple[str, str], tuple[str, StructType]] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf: str, name: str, write: Callable[[str], None]) -> str:
+    """Path of a table written once per application to the shared scratch folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED or not path_exists(spark, _STORED[key]):
+        path = f"{scratch_dir(spark, 'stored')}/{name}"
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
 
 
 def fact_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The daily fact table as the load job leaves it: converted, scored, written once per application to the shared
-    scratch folder and partitioned by year. Analytics read it with column and partition pruning instead of
-    grading the whole history again."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _STORED or not path_exists(spark, _STORED[key][0]):
+    """The daily fact table as the load job leaves it: converted, scored and partitioned by year. Analytics read it
+    with column and partition pruning instead of grading the whole history again."""
+
+    def load(path: str) -> None:
         rows = daily(spark, sf).withColumn("obs_year", F.year("observation_date"))
-        path = f"{scratch_dir(spark, 'facts')}/daily_weather"
         create_table(rows, path, "obs_year", DAILY_KEY)
-        _STORED[key] = (path, rows.schema)
-    path, schema = _STORED[key]
+
+    path = _once(spark, sf, "daily_weather", load)
+    schema = StructType([*DAILY.fields, StructField("obs_year", IntegerType())])
     return spark.read.schema(schema).parquet(path)
 
 
+def archive_files(spark: SparkSession, sf: str) -> str:
+    """Folder with the observations as fixed-width text files, the form in which they arrive."""
+    lines = lambda: fixed_width_lines(daily_elements(spark, sf)).select("line")
+    return _once(spark, sf, "archive", lambda path: lines().write.text(path))
+
+
 def regional_daily(spark: SparkSession, sf: str) -> DataFrame:
     return score_days(convert_units(regional_elements(spark, sf)))
 
@@ -171,10 +188,7 @@ def fixed_width_lines(elements: DataFrame) -> DataFrame:
     slots = F.transform(
         F.sequence(F.lit(1), F.lit(31)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit("-9999   "))
     )
-    return months.select(
-        F.concat("station_id", "ym", "element", F.array_join(slots, "")).alias("line"),
-        F.lit(0).cast("bigint").alias("source_seq"),
-    )
+    return months.select(F.concat("station_id", "ym", "element", F.array_join(slots, "")).alias("line"))
 
 
 def _measures(keyed: DataFrame) -> DataFrame:

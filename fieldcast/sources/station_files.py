@@ -46,16 +46,20 @@ def parse_lines(
         )
         .withColumn("station_id", F.trim(part(0, 11)))
     )
-    days = F.sequence(F.lit(1), F.dayofmonth(F.last_day(F.make_date("year", "month", F.lit(1)))))
-    slot = F.substr(F.col("line"), F.lit(HEAD + 1) + (F.col("day") - 1) * SLOT, F.lit(SLOT))
+    # cut the slots of a line once, by byte position (the archive is ASCII), and only as many as the month has days
+    body = F.col("line").cast("binary")
+    slots = F.array(*[F.substring(body, HEAD + 1 + SLOT * d, SLOT).cast("string") for d in range(31)])
+    days = F.dayofmonth(F.last_day(F.make_date("year", "month", F.lit(1))))
     raw = F.trim(F.substring("slot", 1, 5))
     return (
-        heads.withColumn("day", F.explode(days))
-        .withColumn("slot", slot)
+        heads.select(
+            "station_id", "year", "month", "element", "source_seq",
+            F.posexplode(F.slice(slots, F.lit(1), days)).alias("place", "slot"),
+        )
         .filter((F.trim(F.substring("slot", 7, 1)) == "") & (raw != "") & (raw != "-9999"))
         .select(
             "station_id",
-            F.make_date("year", "month", "day").alias("observation_date"),
+            F.make_date("year", "month", F.col("place") + 1).alias("observation_date"),
             "element",
             raw.try_cast("int").alias("value"),
             "source_seq",

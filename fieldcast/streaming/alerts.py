@@ -39,18 +39,25 @@ def relevant_arrivals(alerts: DataFrame, description_length: int = 500) -> DataF
     )
 
 
-def dedup_batch(alerts: DataFrame, ttl: int = R.ALERT_TTL_SECONDS) -> DataFrame:
+def dedup_batch(
+    alerts: DataFrame, ttl: int = R.ALERT_TTL_SECONDS, published_before: DataFrame | None = None
+) -> DataFrame:
     """Published alerts of a finished table; among arrivals of one second the lowest ``seq`` speaks.
 
-    Repeats of an id within a second collapse before the shuffle. The fold then reads sorted batches and keeps
-    nothing but the current id and its last publication, so a very frequent id costs time but no memory.
+    ``published_before`` (alert_id, last_published) carries earlier publications on. Repeats of an id within a
+    second collapse before the shuffle. The fold then reads sorted batches and keeps nothing but the current id and
+    its last publication, so a very frequent id costs time but no memory.
     """
     arrivals = relevant_arrivals(alerts)
     rest = [c for c in arrivals.columns if c not in ("alert_id", "arrived")]
     once = arrivals.groupBy("alert_id", "arrived").agg(F.min_by(F.struct(*rest), "seq").alias("r")).select(
         "alert_id", "arrived", *[F.col(f"r.{c}").alias(c) for c in rest]
     )
-    ordered = once.repartition("alert_id").sortWithinPartitions("alert_id", "arrived")
+    if published_before is None:
+        seeded = once.withColumn("last_published", F.lit(None).cast("bigint"))
+    else:
+        seeded = once.join(published_before, "alert_id", "left")
+    ordered = seeded.repartition("alert_id").sortWithinPartitions("alert_id", "arrived")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, last = None, None
@@ -58,40 +65,58 @@ def dedup_batch(alerts: DataFrame, ttl: int = R.ALERT_TTL_SECONDS) -> DataFrame:
             keep: list[int] = []
             ids = batch["alert_id"].to_numpy(dtype=object)
             seconds = batch["arrived"].to_numpy(np.int64)
+            seeds = batch["last_published"]
             edges = np.flatnonzero(ids[1:] != ids[:-1]) + 1
             for lo, hi in zip([0, *edges], [*edges, len(ids)]):
                 if lo == hi:
                     continue
                 if ids[lo] != current:
-                    current, last = ids[lo], None
+                    seed = seeds.iloc[lo]
+                    current, last = ids[lo], None if pd.isna(seed) else int(seed)
                 picked, last = _publications(seconds[lo:hi], last, ttl)
                 keep.extend(lo + p for p in picked)
             yield batch.iloc[keep]
 
-    return ordered.mapInPandas(fold, ordered.schema)
+    return ordered.mapInPandas(fold, ordered.schema).drop("last_published")
+
+
+def still_held(
+    published: DataFrame, before: DataFrame | None, now: DataFrame, ttl: int = R.ALERT_TTL_SECONDS
+) -> DataFrame:
+    """(alert_id, last_published) of the ids that are still inside their TTL at the latest arrival ``now`` (one
+    row, column ``now``): what has to be remembered, at most one TTL of publications."""
+    latest = published.select("alert_id", F.col("arrived").alias("last_published"))
+    both = latest if before is None else latest.unionByName(before)
+    last = both.groupBy("alert_id").agg(F.max("last_published").alias("last_published"))
+    return last.filter(F.coalesce(F.col("last_published") + ttl > now.scalar(), F.lit(True)))
 
 
 def _publish(ttl: int):
     def track(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = None
         for batch in batches:  # one row per second is enough, however often an id repeats
             rows = batch if rows is None else pd.concat([rows, batch], ignore_index=True)
             rows = rows.sort_values(["arrived", "seq"], kind="stable").drop_duplicates("arrived")
         picked, last = _publications(rows["arrived"].to_numpy(np.int64), last, ttl)
-        if last is not None:
-            state.update((last,))
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + ttl) * 1000, state.getCurrentWatermarkMs() + 1))
         yield rows.iloc[picked]
 
     return track
 
 
-def dedup_stream(alerts: DataFrame, ttl: int = R.ALERT_TTL_SECONDS) -> DataFrame:
-    """Exact de-duplication over a stream: per id the second of its last publication."""
-    arrivals = relevant_arrivals(alerts)
+def dedup_stream(alerts: DataFrame, ttl: int = R.ALERT_TTL_SECONDS, lateness: str = "24 hours") -> DataFrame:
+    """Exact de-duplication in the state store: per id the second of its last publication, forgotten once the
+    watermark has passed its TTL. For few ids and low latency; ``jobs.write_published`` suits many ids."""
+    stamped = alerts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    arrivals = relevant_arrivals(stamped)
     schema = ", ".join(f"{n} {t}" for n, t in arrivals.dtypes)
     return arrivals.groupBy("alert_id").applyInPandasWithState(
-        _publish(ttl), schema, STATE, "append", "NoTimeout"
+        _publish(ttl), schema, STATE, "append", "EventTimeTimeout"
     )
 
 

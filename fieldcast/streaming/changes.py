@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.hours import score_pour
-from ..operators.ordered import BLOCK_ROWS, block_window, blocks, core_rows, number_rows
+from ..operators.ordered import BLOCK_ROWS, ROW, block_window, blocks, core_rows, number_rows
 
 STATE = "last string"
 READINGS = ["temp_f", "humidity_pct", "wind_mph", "wind_gust_mph", "dewpoint_f", "cloud_cover_pct", "precip_in"]
@@ -26,17 +26,36 @@ def _changed(previous, new):
     return F.coalesce(previous.isNotNull() & ~previous.eqNullSafe(new), F.lit(False))
 
 
-def changes_batch(scored: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``previous_score`` and ``score_changed`` for a finished table, in order of ``ts`` and ``seq``. A station may
-    report any number of times, so its rows are numbered by the hour."""
+def changes_batch(
+    scored: DataFrame, block_rows: int = BLOCK_ROWS, verdicts_before: DataFrame | None = None
+) -> DataFrame:
+    """``previous_score`` and ``score_changed`` for a finished table, in order of ``ts`` and ``seq``.
+
+    ``verdicts_before`` (station_id, last_score) carries on from earlier rows. A station may report any number of
+    times, so its rows are numbered by the hour.
+    """
     hour = F.struct(F.col("ts").cast("date").alias("d"), F.hour("ts").alias("h"))
     numbered = number_rows(scored, ["station_id"], ["ts", "seq"], hour)
     w = block_window(["station_id"])
-    cut = blocks(numbered, before=1, block_rows=block_rows)
     previous = F.lag("pour_score").over(w)
-    return core_rows(cut.withColumn("previous_score", previous)).withColumn(
-        "score_changed", _changed(F.col("previous_score"), F.col("pour_score"))
-    )
+    rows = blocks(numbered, before=1, block_rows=block_rows).withColumn("previous_score", previous)
+    if verdicts_before is not None:
+        # only a station's first row looks back; the row number in the key spreads the others
+        start = verdicts_before.withColumn(ROW, F.lit(1).cast("bigint"))
+        rows = rows.join(start, ["station_id", ROW], "left").withColumn(
+            "previous_score", F.coalesce("previous_score", "last_score")
+        ).drop("last_score")
+    return core_rows(rows).withColumn("score_changed", _changed(F.col("previous_score"), F.col("pour_score")))
+
+
+def last_verdicts(scored: DataFrame, verdicts_before: DataFrame | None = None) -> DataFrame:
+    """(station_id, last_score) after all rows of ``scored``."""
+    newest = scored.groupBy("station_id").agg(
+        F.max_by(F.struct(F.col("pour_score").alias("last_score")), F.struct("ts", "seq")).alias("n")
+    ).select("station_id", "n.last_score")
+    if verdicts_before is None:
+        return newest
+    return newest.unionByName(verdicts_before.join(newest, "station_id", "left_anti"))
 
 
 def _track(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -52,8 +71,9 @@ def _track(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame
 
 
 def changes_stream(scored: DataFrame) -> DataFrame:
-    """The same over a stream. State is one verdict per station; a micro-batch only holds the readings that
-    arrived since the last one, so bound it with ``maxFilesPerTrigger``."""
+    """The same in the state store: one verdict per station. A task holds the readings of one station that arrived
+    since the last micro-batch, so bound those with ``maxFilesPerTrigger``; ``jobs.write_changes`` has no such
+    limit."""
     columns = [f"{n} {t}" for n, t in scored.dtypes] + ["previous_score string", "score_changed boolean"]
     return scored.groupBy("station_id").applyInPandasWithState(
         _track, ", ".join(columns), STATE, "append", "NoTimeout"

@@ -6,6 +6,7 @@ file sink makes the output exactly-once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import rules as R
 from ..operators.hours import wall_clock
 from ..sinks.tables import last_known, latest_rows
+from .alerts import dedup_batch, still_held
+from .changes import changes_batch, last_verdicts
 
 WEATHER_POLL = "15 minutes"
 ALERT_POLL = "5 minutes"
@@ -45,23 +48,71 @@ def write_files(
     return writer.trigger(**trigger).start(path)
 
 
+def _stepwise(
+    stream: DataFrame, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame | None, DataFrame]],
+    state: str, checkpoint: str, poll: str | None, out: str | None = None,
+) -> StreamingQuery:
+    """Runs ``step(batch, state before) -> (output, state after)`` on every micro-batch.
+
+    Output and state go to a folder named after the batch and are overwritten, so a batch that is run again after
+    a failure leaves the same files: the result is exactly-once.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.persist()
+        try:
+            before = None
+            if batch_id:
+                before = spark.read.parquet(f"{state}/version={batch_id - 1}")
+            output, after = step(batch, before)
+            if output is not None:
+                output.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            after.write.mode("overwrite").parquet(f"{state}/version={batch_id}")
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    trigger = {"processingTime": poll} if poll else {"availableNow": True}
+    return writer.trigger(**trigger).start()
+
+
 def write_last_known(
     stream: DataFrame, path: str, checkpoint: str, fields: list[str], poll: str | None = None
 ) -> StreamingQuery:
-    """Keeps one row per station with its latest reading. Every batch writes a new version folder from the
-    previous one, so a batch that is run again gives the same version."""
+    """Keeps one row per station with its latest reading, a new version with every batch."""
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+    def step(batch: DataFrame, before: DataFrame | None):
         latest = last_known(batch, fields)
-        if batch_id:
-            before = spark.read.schema(latest.schema).parquet(f"{path}/version={batch_id - 1}")
-            latest = last_known(before.unionByName(latest), fields)
-        latest.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        return None, latest if before is None else last_known(before.unionByName(latest), fields)
 
-    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    trigger = {"processingTime": poll} if poll else {"availableNow": True}
-    return writer.trigger(**trigger).start()
+    return _stepwise(stream, step, path, checkpoint, poll)
+
+
+def write_changes(
+    scored: DataFrame, out: str, state: str, checkpoint: str, poll: str | None = None
+) -> StreamingQuery:
+    """Verdict changes per micro-batch with the batch operator, carried on by one verdict per station. A station
+    with very many readings is split like any other."""
+
+    def step(batch: DataFrame, before: DataFrame | None):
+        return changes_batch(batch, verdicts_before=before), last_verdicts(batch, before)
+
+    return _stepwise(scored, step, state, checkpoint, poll, out)
+
+
+def write_published(
+    alerts: DataFrame, out: str, state: str, checkpoint: str, poll: str | None = None,
+    ttl: int = R.ALERT_TTL_SECONDS,
+) -> StreamingQuery:
+    """De-duplicated alerts per micro-batch, carried on by the publications of the last TTL."""
+
+    def step(batch: DataFrame, before: DataFrame | None):
+        published = dedup_batch(batch, ttl, before)
+        now = batch.agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("now"))
+        return published, still_held(published, before, now, ttl)
+
+    return _stepwise(alerts, step, state, checkpoint, poll, out)
 
 
 def trim_log(messages: DataFrame, stream: str, per_station: bool = True) -> DataFrame:

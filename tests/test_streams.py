@@ -39,6 +39,16 @@ def test_changes_over_batches(spark):
     assert batch.filter("score_changed").count() > 0
 
 
+def test_changes_by_batch_jobs(spark, tmp_path):
+    path, schema = landed(D.readings(spark, SF), "in", 5, 2)
+    scored = C.score_readings(J.tail(spark, path, schema, 2)).drop("pour_factors")
+    query = J.write_changes(scored, *[str(tmp_path / n) for n in ("out", "state", "cp")])
+    finish(query)
+    assert query.lastProgress["batchId"] >= 4
+    batch = C.changes_batch(C.score_readings(D.readings(spark, SF)).drop("pour_factors"))
+    same(spark.read.parquet(str(tmp_path / "out")).select(*CHANGE), batch.select(*CHANGE))
+
+
 def test_a_restarted_stream_goes_on_where_it_stopped(spark, tmp_path):
     landing, out, cp = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
     rows = D.readings(spark, SF)
@@ -96,6 +106,20 @@ def test_dedup_stream_equals_a_loop(spark, repeats):
     assert got == loop(arrivals, 60)
 
 
+def test_dedup_by_batch_jobs_equals_a_loop(spark, repeats, tmp_path):
+    df, arrivals = repeats
+    path, schema = landed(df, "alerts", 6, 2)
+    query = J.write_published(
+        J.tail(spark, path, schema, 2), *[str(tmp_path / n) for n in ("out", "state", "cp")], ttl=60)
+    finish(query)
+    assert query.lastProgress["batchId"] >= 5
+    got = sorted((r.alert_id, r.arrived, r.seq) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == loop(arrivals, 60)
+    held = spark.read.parquet(str(tmp_path / "state" / "version=5"))
+    newest = max(t for t, _, _ in arrivals)
+    assert held.count() == held.filter(F.col("last_published") + 60 > newest).count() > 0
+
+
 def test_irrelevant_alerts_do_not_mark_an_id(spark):
     rows = [("x", "Rip Current Statement", "", "Minor", "", datetime(2024, 1, 1), 0),
             ("x", "Flood Watch", "", "Minor", "d" * 900, datetime(2024, 1, 1, 1), 1)]
