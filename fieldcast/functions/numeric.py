@@ -1,4 +1,4 @@
-"""Rounding and formatting that agree with the reference results digit for digit."""
+"""Rounding and formatting, exact to the last digit."""
 
 from __future__ import annotations
 

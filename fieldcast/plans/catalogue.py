@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.grading import factor_text
 from ..operators import climate, cure, daily as day_ops, hours, jobs as job_ops, model, pairs, quality, reasons, sealer
+from ..schemas import HOURLY_FIELDS
 from ..session import scratch_dir
 from ..sinks import tables
 from ..sources import documents, station_files
@@ -194,6 +195,27 @@ def top_weeks(spark, sf):
     return flat(reports.best_weeks(_daily(spark, sf), D.stations(spark, sf)))
 
 
+@query
+def quality_report(spark, sf):
+    return flat(reports.quality(_daily(spark, sf), D.stations(spark, sf)))
+
+
+@query
+def season_report(spark, sf):
+    return flat(reports.seasons(_daily(spark, sf), D.stations(spark, sf)))
+
+
+@query
+def pair_report(spark, sf):
+    return flat(reports.comparison(D.regional_daily(spark, sf), D.regional_stations(spark, sf), 4))
+
+
+@query
+def job_list(spark, sf):
+    listed = reports.job_list(_staged_jobs(spark, sf), _daily(spark, sf), D.stations(spark, sf))
+    return flat(listed.drop("station_id"))
+
+
 @query
 def one_job(spark, sf):
     staged, daily = _staged_jobs(spark, sf), _daily(spark, sf)
@@ -377,6 +399,42 @@ def stream_changes(spark, sf):
     return flat(_finish(streams.write_changes(scored, f"{run}/out", f"{run}/state", f"{run}/progress"), f"{run}/out").select(*CHANGE))
 
 
+@query
+def live_updates(spark, sf):
+    changed = change_stream.changes_batch(_scored_readings(spark, sf))
+    return change_stream.live_updates(changed).select("station_id", "ts", "payload")
+
+
+@query
+def live_alerts(spark, sf):
+    return alert_stream.live_alerts(alert_stream.relevant_arrivals(D.alerts(spark, sf)))
+
+
+@query
+def weather_log(spark, sf):
+    return change_stream.weather_messages(change_stream.changes_batch(_scored_readings(spark, sf)))
+
+
+@query
+def current_conditions(spark, sf):
+    """Readings written as current-conditions documents and read back."""
+    rows = D.readings(spark, sf)
+    names = {n: f for n, f in HOURLY_FIELDS.items() if n != "precip_prob_pct"}
+    document = F.struct(F.struct(*[F.col(n).alias(f) for n, f in names.items()]).alias("current"))
+    documents_in = rows.select("station_id", "ts", "seq", F.to_json(document).alias("payload"))
+    return flat(documents.current_conditions(documents_in))
+
+
+@query
+def tail_streams(spark, sf):
+    """Both live logs tailed as one stream."""
+    weather, warn = live_updates(spark, sf).select("ts", "payload"), live_alerts(spark, sf).select("ts", "payload")
+    paths = {"weather": landed(weather, "weather-in", 2)[0], "alerts": landed(warn, "alerts-in", 2)[0]}
+    run = scratch_dir(spark, "tail-run")
+    merged = streams.tail_many(spark, paths, weather.schema, LANDING_FILES)
+    return _finish(streams.write_files(merged, f"{run}/out", f"{run}/progress"), f"{run}/out")
+
+
 @query
 def last_known(spark, sf):
     return flat(

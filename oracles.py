@@ -610,6 +610,44 @@ SQL["verdict_changes"] = sql(
          previous_score is not null and previous_score is distinct from pour_score as score_changed from changes""", CHANGES
 )
 SQL["stream_changes"] = SQL["verdict_changes"]
+T = lambda x: f"coalesce(cast({x} as varchar), '')"
+J = lambda n, x: f"""'"{n}":"' || {x} || '"'"""
+READING = {"temp_f": "t10/10.0", "humidity_pct": "cast(hum as double)", "wind_mph": "w10/10.0", "wind_gust_mph": "g10/10.0",
+           "dewpoint_f": "d10/10.0", "cloud_cover_pct": "cast(cloud as double)", "precip_in": "p100/100.0"}
+LIVE = ("live", f"""select *, coalesce({label('sev')}, '') as verdict,
+      lag({label('sev')}) over (partition by station_id order by ts, seq) as previous_score from readings""")
+CHANGED = f"previous_score is not null and previous_score is distinct from {label('sev')}"
+SQL["live_updates"] = sql(
+    "select station_id, ts, '{' || "
+    + " || ',' || ".join(
+        [J("type", "'weather_update'"), J("station", "station_id"), J("station_name", "'site ' || site")]
+        + [J(n, T(READING[n])) for n in ("temp_f", "humidity_pct", "wind_mph", "dewpoint_f", "cloud_cover_pct")]
+        + [J("pour_score", "verdict"), f"""'"score_changed":' || cast({CHANGED} as varchar)"""]
+    )
+    + " || '}' as payload from live",
+    LIVE,
+)
+SQL["live_alerts"] = sql(
+    "select alert_id, ts, '{' || "
+    + " || ',' || ".join(
+        [J("type", "'nws_alert'")]
+        + [J(n, T(n)) for n in ("event", "headline", "severity", "areas", "onset")] + [J("expires", T("onset"))]
+    )
+    + " || '}' as payload from relevant_alerts"
+)
+SQL["tail_streams"] = (
+    "select ts, payload, 'weather' as stream from (" + SQL["live_updates"] + ") union all "
+    "select ts, payload, 'alerts' as stream from (" + SQL["live_alerts"] + ")"
+)
+SQL["weather_log"] = sql(
+    "select station_id as station, 'site ' || site as station_name, cast(cast(floor(epoch(ts)) as bigint) as varchar) as timestamp, "
+    + ", ".join(f"{T(x)} as {n}" for n, x in READING.items())
+    + f", verdict as pour_score, case when {CHANGED} then '1' else '0' end as score_changed from live",
+    LIVE,
+)
+SQL["current_conditions"] = sql(
+    "select station_id, ts, seq, " + ", ".join(f"{x} as {n}" for n, x in READING.items()) + " from readings"
+)
 SQL["last_known"] = sql(
     f"""select station_id, ts, {label('sev')} as pour_score, t10/10.0 as temp_f, cast(hum as double) as humidity_pct, w10/10.0 as wind_mph
         from (select *, row_number() over (partition by station_id order by ts desc) as n from readings) where n = 1"""
@@ -707,3 +745,9 @@ SQL["model_moments"] = sql(
         for f in ("temp_max_f", "temp_min_f", "temp_range", "precip_in", "wind_max_mph")
     ), FEATURES
 )
+
+# the same rows in report order
+SQL["quality_report"] = SQL["coverage_audit"]
+SQL["season_report"] = SQL["season_bounds"]
+SQL["pair_report"] = SQL["station_pairs"]
+SQL["job_list"] = SQL["job_weather"]
