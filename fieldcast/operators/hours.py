@@ -81,21 +81,25 @@ def working(start: int, end: int) -> Column:
     return (F.col("hour") >= start) & (F.col("hour") < end)
 
 
-def day_verdicts(
-    days: DataFrame, start: int = R.WORK_START_HOUR, end: int = R.WORK_END_HOUR
-) -> DataFrame:
+def verdict_aggregates(start: int = R.WORK_START_HOUR, end: int = R.WORK_END_HOUR) -> list[Column]:
     """Worst working hour decides; a single unscored working hour caps the day at yellow; none scored is NULL."""
     sev = F.when(working(start, end), G.severity_of(F.col("pour_score")))
     worst = F.max(sev)
     rows, scored = F.count_if(working(start, end)), F.count(sev)
     verdict = F.when(scored < rows, F.greatest(worst, F.lit(R.YELLOW))).otherwise(worst)
-    return days.groupBy(SITE, "date").agg(
+    return [
         G.label(F.when(scored > 0, verdict)).alias("score"),
         F.max("temp_f").alias("temp_high_f"),
         F.min("temp_f").alias("temp_low_f"),
         rows.alias("working_hours"),
         (rows - scored).alias("unscored_hours"),
-    )
+    ]
+
+
+def day_verdicts(
+    days: DataFrame, start: int = R.WORK_START_HOUR, end: int = R.WORK_END_HOUR
+) -> DataFrame:
+    return days.groupBy(SITE, "date").agg(*verdict_aggregates(start, end))
 
 
 def best_windows(

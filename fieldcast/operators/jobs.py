@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grading import label, severity_of
 from ..functions.numeric import exact_avg
 from .climate import DAY, _count_if
 
@@ -60,8 +61,11 @@ def job_weather(jobs: DataFrame, daily: DataFrame, stations: DataFrame) -> DataF
             F.max("wind_max_mph").alias("max_wind_mph"),
             first_day("temp_max_f").alias("pour_day_high"),
             first_day("precip_in").alias("pour_day_precip"),
-            first_day("pour_score").alias("pour_day_score"),
+            # a number keeps the aggregation a hash aggregation; a station has one row per day
+            F.max(F.when(F.col(DAY) == F.col("start_date"), severity_of(pour))).alias("_start"),
         )
+        .withColumn("pour_day_score", label(F.col("_start")))
+        .drop("_start")
     )
     names = stations.select("station_id", F.col("name").alias("station_name"))
     return jobs.select("station_id", *CARRIED).join(summary, SPAN).join(names, "station_id")

@@ -8,102 +8,124 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions import grading as G
 from ..functions import labels as L
 from ..functions.numeric import whole
-from .hours import SITE, working, best_windows, by_day, day_verdicts, detail_dates, score_pour, upcoming
+from .hours import SITE, best_windows, by_day, detail_dates, score_pour, upcoming, verdict_aggregates, working
 
 NO_DATA = "No forecast data for working hours — treat as no-go"
 
 
-def _sentence() -> Column:
-    """One sentence per factor from the aggregates over the hours it misbehaves."""
+# What each factor needs to know about the hours it misbehaves: name -> (aggregate, measure).
+_MEASURED = {
+    "precipitation": {"prob": (F.max, "precip_prob_pct")},
+    "temperature": {"low": (F.min, "temp_f"), "high": (F.max, "temp_f")},
+    "wind": {"peak": (F.max, "wind_mph")},
+    "humidity": {"humid": (F.max, "humidity_pct"), "dry": (F.min, "humidity_pct")},
+    "dewpoint": {"spread": (F.min, "_gap")},
+    "data": {},
+}
+
+
+def _factor_aggregates(start: int, end: int) -> list[Column]:
+    """Per factor and grade the hours as a bit set and the measures over them: plain numeric aggregates, so a day
+    is one hash aggregation without exploding its factors."""
+    out = []
+    bit = F.call_function("shiftleft", F.lit(1), F.col("hour").cast("int"))
+    for factor, measured in _MEASURED.items():
+        for grade in ("red", "yellow"):
+            bad = working(start, end) & (F.col("pour_factors")[factor] == grade)
+            out.append(F.bit_or(F.when(bad, bit)).alias(f"{factor}_{grade}"))
+            for name, (aggregate, measure) in measured.items():
+                out.append(aggregate(F.when(bad, F.col(measure))).alias(f"{factor}_{grade}_{name}"))
+    return out
+
+
+def _sentences() -> dict[str, Column]:
+    """One sentence per factor from the measures of its worst grade and the span of hours."""
     c = F.col
-    red, span = c("severity") == R.RED, c("span")
 
-    def said(head, value: Column, unit: str) -> Column:
-        return F.concat(head, F.lit(" — "), whole(value), F.lit(unit), span)
+    def red(factor: str, yes: str, no: str) -> Column:
+        return F.when(c(f"{factor}_is_red"), yes).otherwise(no)
 
-    either = lambda a, b: F.when(red, a).otherwise(b)
-    plain = lambda head: F.concat(F.lit(head), span)
-    rain = F.when(c("prob").isNull(), plain("Rain risk ")).otherwise(
-        said(either("Rain likely", "Rain possible"), c("prob"), "% chance ")
-    )
-    temperature = (
-        F.when(c("low").isNull(), plain("Temperature out of range "))
-        .when(c("low") < R.TEMP_GREEN_LOW, said(either("Too cold", "Cold"), c("low"), "°F "))
-        .otherwise(said(either("Too hot", "Hot"), c("high"), "°F "))
-    )
-    wind = F.when(c("wind").isNull(), plain("Windy ")).otherwise(
-        said(either("High wind", "Breezy"), c("wind"), "mph ")
-    )
-    humidity = (
-        F.when(c("humid").isNull(), plain("Humidity out of range "))
-        .when(c("humid") > R.POUR_HUMIDITY_GREEN_HIGH, said(F.lit("Humid"), c("humid"), "% "))
-        .otherwise(F.concat(said(F.lit("Very dry air"), c("dry"), "% "), F.lit(" (surface may crust)")))
-    )
-    dewpoint = F.when(c("spread").isNull(), plain("Narrow dew point spread ")).otherwise(
-        F.concat(F.lit("Dew point within "), whole(c("spread")), F.lit("°F of air temp "), span,
-                 F.lit(" — slow drying"))
-    )
-    by_factor = {
-        "precipitation": rain, "temperature": temperature, "wind": wind,
-        "humidity": humidity, "dewpoint": dewpoint, "data": plain("Missing forecast data "),
+    def said(factor: str, head: Column, name: str, unit: str) -> Column:
+        return F.concat(head, F.lit(" — "), whole(c(f"{factor}_{name}")), F.lit(unit), c(f"{factor}_span"))
+
+    def plain(factor: str, head: str) -> Column:
+        return F.concat(F.lit(head), c(f"{factor}_span"))
+
+    unknown = lambda factor, name: c(f"{factor}_{name}").isNull()
+    rain, temp, wind, hum, dew = "precipitation", "temperature", "wind", "humidity", "dewpoint"
+    return {
+        rain: F.when(unknown(rain, "prob"), plain(rain, "Rain risk ")).otherwise(
+            said(rain, red(rain, "Rain likely", "Rain possible"), "prob", "% chance ")
+        ),
+        temp: F.when(unknown(temp, "low"), plain(temp, "Temperature out of range "))
+        .when(c("temperature_low") < R.TEMP_GREEN_LOW, said(temp, red(temp, "Too cold", "Cold"), "low", "°F "))
+        .otherwise(said(temp, red(temp, "Too hot", "Hot"), "high", "°F ")),
+        wind: F.when(unknown(wind, "peak"), plain(wind, "Windy ")).otherwise(
+            said(wind, red(wind, "High wind", "Breezy"), "peak", "mph ")
+        ),
+        hum: F.when(unknown(hum, "humid"), plain(hum, "Humidity out of range "))
+        .when(c("humidity_humid") > R.POUR_HUMIDITY_GREEN_HIGH, said(hum, F.lit("Humid"), "humid", "% "))
+        .otherwise(F.concat(said(hum, F.lit("Very dry air"), "dry", "% "), F.lit(" (surface may crust)"))),
+        dew: F.when(unknown(dew, "spread"), plain(dew, "Narrow dew point spread ")).otherwise(
+            F.concat(F.lit("Dew point within "), whole(c("dewpoint_spread")), F.lit("°F of air temp "),
+                     c("dewpoint_span"), F.lit(" — slow drying"))
+        ),
+        "data": plain("data", "Missing forecast data "),
     }
-    out = F.when(F.lit(False), "")
-    for name, text in by_factor.items():
-        out = out.when(c("factor") == name, text)
-    return out
 
 
-def day_reasons(
+def day_profile(
     days: DataFrame, start: int = R.WORK_START_HOUR, end: int = R.WORK_END_HOUR
 ) -> DataFrame:
-    """``reasons`` per site-day for the factors that left green; days without such factors have no row."""
-    spread = F.col("temp_f") - F.col("dewpoint_f")
-    off = (
-        days.filter(working(start, end))
-        .select(
-            SITE, "date", "hour", "temp_f", "humidity_pct", "wind_mph", "precip_prob_pct", spread.alias("gap"),
-            F.explode("pour_factors").alias("factor", "grade"),
-        )
-        .withColumn("severity", G.severity_of(F.col("grade")))
-        .filter(F.col("severity") > R.GREEN)
-    )
-    hour_set = F.collect_set("hour")  # at most the working hours of one day
-    per_grade = off.groupBy(SITE, "date", "factor", "severity").agg(
-        F.struct(
-            hour_set.alias("hours"),
-            F.max("precip_prob_pct").alias("prob"),
-            F.min("temp_f").alias("low"),
-            F.max("temp_f").alias("high"),
-            F.max("wind_mph").alias("wind"),
-            F.max("humidity_pct").alias("humid"),
-            F.min("humidity_pct").alias("dry"),
-            F.min("gap").alias("spread"),
-        ).alias("m")
-    )
-    worst = per_grade.groupBy(SITE, "date", "factor").agg(
-        F.max_by("m", "severity").alias("m"), F.max("severity").alias("severity")
+    """Verdict columns and ``reasons`` of every site-day in one aggregation.
+
+    A factor speaks about its red hours if it has any, else about its yellow ones; reds come first, then the fixed
+    factor order.
+    """
+    kept = [SITE, "date", "score", "temp_high_f", "temp_low_f", "working_hours", "unscored_hours"]
+    gap = F.col("temp_f") - F.col("dewpoint_f")
+    summed = days.withColumn("_gap", gap).groupBy(SITE, "date").agg(
+        *verdict_aggregates(start, end), *_factor_aggregates(start, end)
     )
-    hours = F.col("m.hours")
-    span = L.span_phrase(F.size(hours), F.array_min(hours), F.array_max(hours), hours, start, end)
-    rank = F.array_position(F.lit(list(R.FACTOR_ORDER)), F.col("factor"))
-    told = (
-        worst.select(
-            SITE, "date", "factor", "severity", span.alias("span"),
-            "m.prob", "m.low", "m.high", "m.wind", "m.humid", "m.dry", "m.spread",
+    chosen = []
+    for factor, measured in _MEASURED.items():
+        is_red = F.col(f"{factor}_red").isNotNull()
+        pick = lambda tail: F.when(is_red, F.col(f"{factor}_red{tail}")).otherwise(F.col(f"{factor}_yellow{tail}"))  # noqa: E731, B023
+        chosen.append(is_red.alias(f"{factor}_is_red"))
+        chosen.append(
+            F.filter(F.lit(list(range(start, end))), lambda h: F.getbit(pick(""), h) == 1).alias(f"{factor}_hours")  # noqa: B023
         )
-        .select(SITE, "date", (-F.col("severity")).alias("s"), rank.alias("r"), _sentence().alias("text"))
+        chosen += [pick(f"_{name}").alias(f"{factor}_{name}") for name in measured]
+    measured_days = summed.select(*kept, *chosen)
+    spans = {}
+    for factor in _MEASURED:
+        h = F.col(f"{factor}_hours")
+        spans[f"{factor}_span"] = L.span_phrase(F.size(h), F.array_min(h), F.array_max(h), h, start, end)
+    sentences = _sentences()
+    lines = F.array(
+        *[
+            F.when(
+                F.size(f"{factor}_hours") > 0,
+                F.struct(
+                    F.when(F.col(f"{factor}_is_red"), 0).otherwise(1).alias("s"),
+                    F.lit(rank).alias("r"),
+                    sentences[factor].alias("text"),
+                ),
+            )
+            for rank, factor in enumerate(R.FACTOR_ORDER)
+        ]
+    )
+    told = measured_days.withColumns(spans).select(
+        *kept, F.transform(F.array_sort(F.array_compact(lines)), lambda x: x["text"]).alias("reasons")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("s", "r", "text")))  # at most one line per factor
-    return told.groupBy(SITE, "date").agg(F.transform(ordered, lambda x: x["text"]).alias("reasons"))
+    return told.withColumn("reasons", complete_reasons())
 
 
 def complete_reasons() -> Column:
     """Adds the no-data line and the count of unscored hours to the factor reasons."""
-    none = F.array().cast("array<string>")
-    reasons = F.coalesce(F.col("reasons"), none)
+    reasons = F.col("reasons")
     unscored = F.col("unscored_hours")
     gap = F.concat(F.lit("Missing data for "), unscored.cast("string"), F.lit(" working hour(s)"))
     tell = (unscored > 0) & ~F.exists(reasons, lambda r: r.startswith("Missing"))
@@ -119,15 +141,14 @@ def day_summaries(forecast: DataFrame, as_of: datetime) -> DataFrame:
     today = F.lit(date(as_of.year, as_of.month, as_of.day))
     detail = detail_dates(hours, as_of).withColumn("_detail", F.lit(True))
     return (
-        day_verdicts(days)
+        day_profile(days)
         .join(best_windows(days), [SITE, "date"], "left")
-        .join(day_reasons(days), [SITE, "date"], "left")
         .join(detail, [SITE, "date"], "left")
         .select(
             SITE, "date",
             L.day_label(F.col("date"), today).alias("label"),
             "score",
-            complete_reasons().alias("reasons"),
+            "reasons",
             "temp_high_f", "temp_low_f", "best_window", "best_window_label", "window_hours",
             F.col("_detail").isNull().alias("outlook"),
         )
