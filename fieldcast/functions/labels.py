@@ -51,18 +51,23 @@ def strict_date(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
-def span_phrase(distinct: Column, first: Column, last: Column, hours: Column, start: int, end: int) -> Column:
-    """A set of working hours in words, from its size, ends and (sorted) members."""
-    contiguous = (last - first + 1) == distinct
-    ends = F.concat(clock(first), F.lit("-"), clock(last + 1))
-    return (
-        F.when(F.coalesce(distinct, F.lit(0)) == 0, "")
-        .when(distinct == end - start, "all day")
-        .when(contiguous & (first == start), F.concat(F.lit("before "), clock(last + 1)))
-        .when(contiguous & (last == end - 1), F.concat(F.lit("after "), clock(first)))
-        .when(contiguous, ends)
-        .when(distinct <= 3, F.array_join(F.transform(F.array_sort(hours), clock), ", "))
-        .otherwise(F.concat(ends, F.lit(", on and off")))
+def _clock_text(hour: str) -> str:
+    return f"concat(case when pmod({hour}, 12) = 0 then 12 else pmod({hour}, 12) end, if({hour} < 12, 'am', 'pm'))"
+
+
+def span_phrase(hours: str, start: int, end: int) -> Column:
+    """A set of working hours (an array column) in words."""
+    first, last, n = f"array_min({hours})", f"array_max({hours})", f"size({hours})"
+    ends = f"concat({_clock_text(first)}, '-', {_clock_text(f'{last} + 1')})"
+    return F.expr(
+        f"""case
+          when {n} <= 0 then ''
+          when {n} = {end - start} then 'all day'
+          when {last} - {first} + 1 = {n} and {first} = {start} then concat('before ', {_clock_text(f'{last} + 1')})
+          when {last} - {first} + 1 = {n} and {last} = {end - 1} then concat('after ', {_clock_text(first)})
+          when {last} - {first} + 1 = {n} then {ends}
+          when {n} <= 3 then array_join(transform(array_sort({hours}), h -> {_clock_text('h')}), ', ')
+          else concat({ends}, ', on and off') end"""
     )
 
 

@@ -15,13 +15,13 @@ from .hours import SITE, best_windows, by_day, detail_dates, score_pour, upcomin
 NO_DATA = "No forecast data for working hours — treat as no-go"
 
 
-# What each factor needs to know about the hours it misbehaves: name -> (aggregate, measure).
+# What each factor needs to know about the hours it misbehaves: name -> aggregate.
 _MEASURED = {
-    "precipitation": {"prob": (F.max, "precip_prob_pct")},
-    "temperature": {"low": (F.min, "temp_f"), "high": (F.max, "temp_f")},
-    "wind": {"peak": (F.max, "wind_mph")},
-    "humidity": {"humid": (F.max, "humidity_pct"), "dry": (F.min, "humidity_pct")},
-    "dewpoint": {"spread": (F.min, "_gap")},
+    "precipitation": {"prob": "max(precip_prob_pct)"},
+    "temperature": {"low": "min(temp_f)", "high": "max(temp_f)"},
+    "wind": {"peak": "max(wind_mph)"},
+    "humidity": {"humid": "max(humidity_pct)", "dry": "min(humidity_pct)"},
+    "dewpoint": {"spread": "min(temp_f - dewpoint_f)"},
     "data": {},
 }
 
@@ -30,13 +30,11 @@ def _factor_aggregates(start: int, end: int) -> list[Column]:
     """Per factor and grade the hours as a bit set and the measures over them: plain numeric aggregates, so a day
     is one hash aggregation without exploding its factors."""
     out = []
-    bit = F.call_function("shiftleft", F.lit(1), F.col("hour").cast("int"))
     for factor, measured in _MEASURED.items():
         for grade in ("red", "yellow"):
-            bad = working(start, end) & (F.col("pour_factors")[factor] == grade)
-            out.append(F.bit_or(F.when(bad, bit)).alias(f"{factor}_{grade}"))
-            for name, (aggregate, measure) in measured.items():
-                out.append(aggregate(F.when(bad, F.col(measure))).alias(f"{factor}_{grade}_{name}"))
+            bad = f"filter (where hour >= {start} and hour < {end} and pour_factors['{factor}'] = '{grade}')"
+            out.append(F.expr(f"bit_or(shiftleft(1, cast(hour as int))) {bad} as {factor}_{grade}"))
+            out += [F.expr(f"{measure} {bad} as {factor}_{grade}_{name}") for name, measure in measured.items()]
     return out
 
 
@@ -85,24 +83,17 @@ def day_profile(
     factor order.
     """
     kept = [SITE, "date", "score", "temp_high_f", "temp_low_f", "working_hours", "unscored_hours"]
-    gap = F.col("temp_f") - F.col("dewpoint_f")
-    summed = days.withColumn("_gap", gap).groupBy(SITE, "date").agg(
-        *verdict_aggregates(start, end), *_factor_aggregates(start, end)
-    )
+    summed = days.groupBy(SITE, "date").agg(*verdict_aggregates(start, end), *_factor_aggregates(start, end))
     chosen = []
     for factor, measured in _MEASURED.items():
-        is_red = F.col(f"{factor}_red").isNotNull()
-        pick = lambda tail: F.when(is_red, F.col(f"{factor}_red{tail}")).otherwise(F.col(f"{factor}_yellow{tail}"))  # noqa: E731, B023
-        chosen.append(is_red.alias(f"{factor}_is_red"))
-        chosen.append(
-            F.filter(F.lit(list(range(start, end))), lambda h: F.getbit(pick(""), h) == 1).alias(f"{factor}_hours")  # noqa: B023
-        )
-        chosen += [pick(f"_{name}").alias(f"{factor}_{name}") for name in measured]
+        worst = lambda tail: f"if({factor}_red is not null, {factor}_red{tail}, {factor}_yellow{tail})"  # noqa: E731, B023
+        chosen += [
+            F.expr(f"{factor}_red is not null as {factor}_is_red"),
+            F.expr(f"filter(sequence({start}, {end - 1}), h -> getbit({worst('')}, h) = 1) as {factor}_hours"),
+            *[F.expr(f"{worst('_' + name)} as {factor}_{name}") for name in measured],
+        ]
     measured_days = summed.select(*kept, *chosen)
-    spans = {}
-    for factor in _MEASURED:
-        h = F.col(f"{factor}_hours")
-        spans[f"{factor}_span"] = L.span_phrase(F.size(h), F.array_min(h), F.array_max(h), h, start, end)
+    spans = {f"{factor}_span": L.span_phrase(f"{factor}_hours", start, end) for factor in _MEASURED}
     sentences = _sentences()
     lines = F.array(
         *[
