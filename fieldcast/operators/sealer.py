@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions import labels as L
 from ..functions.numeric import fixed, whole
+from ..functions.times import seconds_since_1970
 from .hours import SITE, first_rows, known_rain, last_24h, score_sealer, upcoming
 from .ordered import BLOCK_ROWS, block_window, blocks, core_rows, number_rows
 
@@ -64,7 +65,7 @@ def site_inputs(history: DataFrame, forecast: DataFrame, as_of: datetime) -> Dat
 def rolling_site_inputs(hours: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The same inputs with every hour of the table taken as "now"."""
     numbered = number_rows(hours, [SITE], ["time"], F.col("time").cast("date"))
-    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("time"))
+    seconds = seconds_since_1970(hours, "time")
     cut = blocks(numbered, before=24, after=23, block_rows=block_rows).withColumn("_sec", seconds)
     past = block_window([SITE], "_sec").rangeBetween(-86400, 0)
     ahead = block_window([SITE], "_sec").rowsBetween(0, 23)

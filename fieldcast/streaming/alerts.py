@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..functions.times import seconds_since_1970
 from ..sources.documents import relevant_alerts
 
 STATE = "last_published bigint"
@@ -34,7 +35,7 @@ def relevant_arrivals(alerts: DataFrame, description_length: int = 500) -> DataF
     return relevant_alerts(alerts, description_length).drop("severity_rank").withColumns(
         {
             "alert_id": F.coalesce(F.col("alert_id"), F.lit("")),
-            "arrived": F.unix_timestamp(F.col("ts").cast("timestamp")),
+            "arrived": seconds_since_1970(alerts, "ts"),
         }
     )
 
@@ -112,8 +113,8 @@ def _publish(ttl: int):
 def dedup_stream(alerts: DataFrame, ttl: int = R.ALERT_TTL_SECONDS, lateness: str = "24 hours") -> DataFrame:
     """Exact de-duplication in the state store: per id the second of its last publication, forgotten once the
     watermark has passed its TTL. For few ids and low latency; ``jobs.write_published`` suits many ids."""
-    stamped = alerts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    arrivals = relevant_arrivals(stamped)
+    stamped = relevant_arrivals(alerts).withColumn("ts", F.col("ts").cast("timestamp"))
+    arrivals = stamped.withWatermark("ts", lateness)
     schema = ", ".join(f"{n} {t}" for n, t in arrivals.dtypes)
     return arrivals.groupBy("alert_id").applyInPandasWithState(
         _publish(ttl), schema, STATE, "append", "EventTimeTimeout"

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import seconds_since_1970
 from ..operators.hours import score_pour
 from ..operators.ordered import BLOCK_ROWS, ROW, block_window, blocks, core_rows, number_rows
 
@@ -86,7 +87,7 @@ def weather_messages(changes: DataFrame) -> DataFrame:
     return changes.select(
         F.col("station_id").alias("station"),
         text("station_name"),
-        F.col("ts").cast("timestamp").cast("bigint").cast("string").alias("timestamp"),
+        seconds_since_1970(changes, "ts").cast("string").alias("timestamp"),
         *[text(c) for c in READINGS],
         text("pour_score"),
         F.when(F.col("score_changed"), "1").otherwise("0").alias("score_changed"),

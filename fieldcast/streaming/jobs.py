@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import rules as R
+from ..functions.times import seconds_since_1970
 from ..operators.hours import wall_clock
 from ..sinks.tables import last_known, latest_rows
 from .alerts import dedup_batch, still_held
@@ -109,7 +110,7 @@ def write_published(
 
     def step(batch: DataFrame, before: DataFrame | None):
         published = dedup_batch(batch, ttl, before)
-        now = batch.agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("now"))
+        now = batch.agg(F.max(seconds_since_1970(batch, "ts")).alias("now"))
         return published, still_held(published, before, now, ttl)
 
     return _stepwise(alerts, step, state, checkpoint, poll, out)
