@@ -102,7 +102,8 @@ def _document_counts(wanted: frozenset[str]):
                 low = text.lower()
                 if any(t in low for t in wanted):
                     seen.update(wanted.intersection(TERM.findall(low)))
-        yield pd.DataFrame({"term": list(seen), "n": list(seen.values())}, columns=["term", "n"])
+        if seen:
+            yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
 
     return run
 

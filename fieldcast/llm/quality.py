@@ -26,14 +26,18 @@ def _split_words(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != "")
 
 
-def _window_hashes(words: Column) -> Column:
-    """Hash of every window of eight words, from hashes of two, four and eight."""
-    h = F.transform(words, lambda w: F.xxhash64(w))
+def _with_windows(out: DataFrame, words: str, name: str) -> DataFrame:
+    """Replaces the words by the hash of every window of eight, from hashes of one, two, four and eight words. Each
+    level is a column of its own, so that none is evaluated again inside the next."""
+    h = F.col(name)
+    out = out.withColumn(name, F.when(F.size(words) > REPEAT_WINDOW, F.transform(words, lambda w: F.xxhash64(w)))).drop(words)
     step = 1
     while step < REPEAT_WINDOW:
-        h = F.zip_with(h, F.slice(h, step + 1, F.greatest(F.size(h) - step, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+        shifted = F.slice(h, step + 1, F.greatest(F.size(h) - step, F.lit(0)))
+        out = out.withColumn(name, F.zip_with(h, shifted, lambda a, b: F.xxhash64(a, b)))
         step *= 2
-    return h
+    # zip_with pads to the longer side: the last windows are short ones and are cut off
+    return out.withColumn(name, F.slice(h, 1, F.greatest(F.size(h) - REPEAT_WINDOW + 1, F.lit(0))))
 
 
 def measures(docs: DataFrame, prefix: str = "") -> DataFrame:
@@ -56,12 +60,9 @@ def measures(docs: DataFrame, prefix: str = "") -> DataFrame:
             p("n_words"): F.size(words).cast("bigint"),
             p("word_chars"): F.length(F.regexp_replace(text, f"[{SPACES}]+", "")).cast("bigint"),
             p("n_dup_lines"): (F.size(p("lines")) - F.size(F.array_distinct(p("lines")))).cast("bigint"),
-            p("windows"): F.when(F.size(words) > REPEAT_WINDOW, _window_hashes(words)),
         }
     )
-    # zip_with pads to the longer side: the last windows are short ones and are cut off
-    windows = F.slice(F.col(p("windows")), 1, F.greatest(F.col(p("n_words")).cast("int") - REPEAT_WINDOW + 1, F.lit(0)))
-    out = out.drop(p("words"), p("lines")).withColumn(p("windows"), windows)
+    out = _with_windows(out.drop(p("lines")), p("words"), p("windows"))
     found = F.col(p("windows"))
     placed = F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn(p("placed"), F.when(F.size(F.array_distinct(found)) < F.size(found), placed)).drop(p("windows"))
