@@ -30,6 +30,7 @@ MEAN_BITS = 10
 LEAST_CHARS = 256
 MOST_CHARS = 8192
 CACHE_CHARS = 12_000_000
+SENTENCE_CHARS = 20
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
 
@@ -171,8 +172,11 @@ def chunk_encoder(path: str) -> ChunkEncoder:
 
 
 def near(text: Column) -> Column:
-    """Smallest hash of a text's sentences and lines: equal for copies, and for most near copies."""
-    return F.array_min(F.transform(F.split(F.coalesce(text, F.lit("")), "[.\n]"), lambda s: F.xxhash64(s)))
+    """Smallest hash of a text's longer sentences and lines: equal for copies, and for most near copies. A text without
+    any has its own hash."""
+    text = F.coalesce(text, F.lit(""))
+    longer = F.filter(F.split(text, "[.\n]"), lambda s: F.length(s) >= SENTENCE_CHARS)
+    return F.coalesce(F.array_min(F.transform(longer, lambda s: F.xxhash64(s))), F.xxhash64(text))
 
 
 def _placed(docs: DataFrame) -> DataFrame:
