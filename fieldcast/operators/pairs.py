@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grading import severity_of
 from ..functions.numeric import percent, tenths
+from ..session import ship_package
 
 PARTIALS = ["n", "abs_sum", "abs_max", "differ", "sa", "sb", "saa", "sbb", "sab"]
 _SCHEMA = "station_a string, station_b string, " + ", ".join(f"{p} bigint" for p in PARTIALS)
@@ -81,6 +82,7 @@ def station_pairs(daily: DataFrame, stations: DataFrame, station_blocks: int = 8
 
     Choose ``station_blocks`` near (number of stations / 64): a task then holds two 64 x 366 matrices.
     """
+    ship_package(daily.sparkSession)
     days = daily.filter(F.col("temp_max_f").isNotNull()).select(
         "station_id",
         F.year("observation_date").alias("year"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules as R
@@ -63,14 +63,17 @@ def site_inputs(history: DataFrame, forecast: DataFrame, as_of: datetime) -> Dat
 
 
 def rolling_site_inputs(hours: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The same inputs with every hour of the table taken as "now"."""
-    numbered = number_rows(hours, [SITE], ["time"], F.col("time").cast("date"))
+    """The same inputs with every hour of the table taken as "now".
+
+    The past is a span of time, so its frame is cut by time: a day of a site with the whole day before it, however many
+    readings these hold. What lies ahead is a number of rows, and its frame is cut into blocks of rows."""
+    day = F.col("time").cast("date")
     seconds = seconds_since_1970(hours, "time")
-    cut = blocks(numbered, before=24, after=23, block_rows=block_rows).withColumn("_sec", seconds)
-    past = block_window([SITE], "_sec").rangeBetween(-86400, 0)
+    halo = F.inline(F.array(F.struct(day.alias("_day"), F.lit(True).alias("_own")), F.struct(F.date_add(day, 1).alias("_day"), F.lit(False).alias("_own"))))
+    past = Window.partitionBy(SITE, "_day").orderBy("_sec").rangeBetween(-86400, 0)
     ahead = block_window([SITE], "_sec").rowsBetween(0, 23)
     soon = block_window([SITE], "_sec").rowsBetween(0, 11)
-    framed = cut.withColumns(
+    behind = hours.withColumn("_sec", seconds).select("*", halo).withColumns(
         {
             "recent": F.count(F.lit(1)).over(past),
             "known": F.count("precip_in").over(past),
@@ -78,6 +81,11 @@ def rolling_site_inputs(hours: DataFrame, block_rows: int = BLOCK_ROWS) -> DataF
             "temp_low_f": F.min("temp_f").over(past),
             "temp_high_f": F.max("temp_f").over(past),
             "max_humidity_pct": F.max("humidity_pct").over(past),
+        }
+    )
+    numbered = number_rows(behind.filter("_own").drop("_own", "_day"), [SITE], ["time"], day)
+    framed = blocks(numbered, before=0, after=23, block_rows=block_rows).withColumns(
+        {
             "probs": F.count("precip_prob_pct").over(ahead),
             "prob": F.max("precip_prob_pct").over(ahead),
             "temps": F.count("temp_f").over(soon),

@@ -239,6 +239,31 @@ def point_lookup(spark, sf):
 # --- hours -----------------------------------------------------------------------------------
 
 
+@query
+def quarantine(spark, sf):
+    """Every eleventh site sends text that is no JSON, every seventh a first hour that is no time: what is read and what
+    is set aside, per site."""
+    site = F.substring("station_id", 2, 10).cast("int")
+    text = F.when(site % 11 == 0, F.substring("payload", 1, 40)).when(
+        site % 7 == 0, F.regexp_replace("payload", '"time":\\["[^"]*"', '"time":["half past nine"')
+    )
+    given = D.forecast_documents(D.hourly(spark, sf)).withColumn("payload", F.coalesce(text, "payload"))
+    read = documents.forecast_hours(given).groupBy("station_id").agg(F.count("*").alias("hours_read"))
+    aside = documents.unreadable(given).groupBy("station_id").agg(
+        F.count(F.when(F.col("position").isNull(), 1)).alias("broken_documents"), F.count("position").alias("broken_hours")
+    )
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return read.join(aside, "station_id", "full").select("station_id", n("hours_read"), n("broken_documents"), n("broken_hours"))
+
+
+@query
+def rolling_half_hours(spark, sf):
+    """Readings every half hour, in blocks shorter than a site's day: the past is a span of time, not a number of rows."""
+    hourly = D.hourly(spark, sf)
+    shifted = hourly.withColumn("time", F.col("time") + F.expr("INTERVAL 30 MINUTES"))
+    return flat(sealer.rolling_site_inputs(hourly.unionByName(shifted), block_rows=30).select("station_id", "time", "rain_last_24h", "temp_low_f", "temp_high_f"))
+
+
 @query
 def flatten_forecast(spark, sf):
     return flat(documents.forecast_hours(D.forecast_documents(D.hourly(spark, sf))))
@@ -407,7 +432,7 @@ def live_updates(spark, sf):
 
 @query
 def live_alerts(spark, sf):
-    return alert_stream.live_alerts(alert_stream.relevant_arrivals(D.alerts(spark, sf)))
+    return alert_stream.live_alerts(alert_stream.dedup_batch(D.alerts(spark, sf)))
 
 
 @query
@@ -454,7 +479,7 @@ def stream_health(spark, sf):
     changed = change_stream.changes_batch(_scored_readings(spark, sf))
     logs = {
         "weather": change_stream.live_updates(changed),
-        "alerts": alert_stream.live_alerts(documents.relevant_alerts(D.alerts(spark, sf))),
+        "alerts": alert_stream.live_alerts(alert_stream.dedup_batch(D.alerts(spark, sf))),
     }
     return flat(streams.stream_health(logs).drop("last_payload"))
 

@@ -110,12 +110,21 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
     return score_days(convert_units(daily_elements(spark, sf)))
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple, str] = {}
+
+
+def _stamps(spark: SparkSession, sf: str, names: tuple[str, ...]) -> tuple[int, ...]:
+    """Modification times of the given tables: a table that changes is never answered from an old copy."""
+    stamps = []
+    for name in names:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+        stamps.append(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime())
+    return tuple(stamps)
 
 
 def _once(spark: SparkSession, sf: str, name: str, write: Callable[[str], None]) -> str:
     """Path of a table written once per application to the shared scratch folder."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, name, _stamps(spark, sf, ("lineitem",)))
     if key not in _STORED or not path_exists(spark, _STORED[key]):
         path = f"{scratch_dir(spark, 'stored')}/{name}"
         write(path)

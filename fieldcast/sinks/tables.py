@@ -46,7 +46,9 @@ def absent_rows(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> Da
 
 
 def unexpired(snapshots: DataFrame, now: datetime, days: int = R.RETENTION_DAYS) -> DataFrame:
-    return snapshots.filter(F.col("expires_at") >= F.lit((now - timedelta(days=days)).isoformat(sep=" ")).cast("timestamp"))
+    """Snapshots not past retention; one without an expiry is kept."""
+    past = F.col("expires_at") < F.lit((now - timedelta(days=days)).isoformat(sep=" ")).cast("timestamp")
+    return snapshots.filter(~F.coalesce(past, F.lit(False)))
 
 
 def latest_rows(rows: DataFrame, n: int, order: list[Column], keys: list[str] | None = None) -> DataFrame:
@@ -58,8 +60,9 @@ def latest_rows(rows: DataFrame, n: int, order: list[Column], keys: list[str] |
 
 
 def last_known(messages: DataFrame, fields: list[str], key: str = "station_id", at: str = "ts") -> DataFrame:
-    """One row per station with its latest message."""
-    pick = F.max_by(F.struct(*fields), at)
+    """One row per station with its latest message; of equal times the one with the highest ``seq``, where there is one."""
+    order = F.struct(at, "seq") if "seq" in messages.columns else F.struct(at, *fields)
+    pick = F.max_by(F.struct(*fields), order)
     return messages.groupBy(key).agg(pick.alias("_m"), F.max(at).alias(at)).select(
         key, at, *[F.col(f"_m.{f}").alias(f) for f in fields]
     )
@@ -113,32 +116,23 @@ def append_absent(spark: SparkSession, path: str, incoming: DataFrame, keys: lis
 
 
 def expire(spark: SparkSession, path: str, schema, now: datetime, partition: str = "fetched_date") -> None:
-    """Deletes snapshots past retention: partitions that are wholly past it are removed as folders, only
-    the partitions around the limit are rewritten. Snapshots expire an hour after the fetch, so a fetch
-    date two days before the limit is wholly past."""
-    limit = (now - timedelta(days=R.RETENTION_DAYS)).date()
-    edge = [limit - timedelta(days=1), limit]
+    """Deletes snapshots past retention. What the rows say decides: one aggregate per partition tells which partitions
+    hold nothing to keep (removed as folders) and which hold both (rewritten); the others are left alone."""
     table = spark.read.schema(schema).parquet(path)
-    around = table.filter(F.col(partition).isin(*edge))
-    kept = _stage(unexpired(around, now), partition)
-    _overwrite_partitions(kept, path, partition)
-    left = set(_partitions_of(kept, partition))
-    gone = {d for d in edge if d not in left}
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
+    staying = unexpired(table.select(partition, "expires_at"), now).groupBy(partition).agg(F.count("*").alias("kept"))
+    found = table.groupBy(partition).agg(F.count("*").alias("rows")).join(staying, partition, "left").collect()
+    mixed = [r[partition] for r in found if r["kept"] and r["kept"] < r["rows"]]
+    gone = {str(r[partition]) for r in found if not r["kept"] and r[partition] is not None}
+    if mixed:
+        _overwrite_partitions(unexpired(table.filter(F.col(partition).isin(mixed)), now), path, partition)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if not name.startswith(f"{partition}="):
-            continue
-        day = datetime.strptime(name.split("=", 1)[1], "%Y-%m-%d").date()
-        if day < edge[0] or day in gone:
+        name, _, value = status.getPath().getName().partition("=")
+        if name == partition and value in gone:
             fs.delete(status.getPath(), True)
 
 
-# --- snapshots and exports -------------------------------------------------------------------
-
-
 def snapshot_rows(scored: DataFrame, fetched_at: str = "fetched_at") -> DataFrame:
     """Scored forecast hours in the layout of the snapshot table."""
     c = F.col

@@ -13,20 +13,42 @@ def _permissive(text: Column, schema) -> Column:
     return F.from_json(text, schema, {"mode": "PERMISSIVE"})
 
 
+def _opened_hours(documents: DataFrame, text: str) -> tuple[list[str], DataFrame]:
+    kept = [c for c in documents.columns if c != text]
+    return kept, documents.select(*kept, _permissive(F.col(text), S.HOURLY_DOCUMENT)["hourly"].alias("h")).select(
+        *kept, "h", F.posexplode("h.time").alias("_pos", "_time")
+    )
+
+
+def _hour_time() -> Column:
+    """The hour as wall-clock time, NULL if the text is none."""
+    shape = F.col("_time").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$")
+    return F.when(shape, F.col("_time").try_cast("timestamp_ntz"))
+
+
+def unreadable(documents: DataFrame, text: str = "payload") -> DataFrame:
+    """Quarantine of forecast documents: a row per document that is no JSON (``position`` NULL, its text) and per
+    hour whose text is no time (its place and text), with the other columns of ``documents``."""
+    readable, broken = split_bad_documents(documents, S.HOURLY_DOCUMENT, text)
+    kept, opened = _opened_hours(readable, text)
+    hours = opened.filter(_hour_time().isNull()).select(*kept, F.col("_pos").alias("position"), F.col("_time").alias("content"))
+    whole = broken.select(*kept, F.lit(None).cast("int").alias("position"), F.col(text).alias("content"))
+    return whole.unionByName(hours)
+
+
 def forecast_hours(documents: DataFrame, text: str = "payload") -> DataFrame:
     """Parallel arrays of a document to one row per hour. A field the document lacks gives NULLs.
 
-    Every other column of ``documents`` (site, fetch time) is kept.
+    Every other column of ``documents`` (site, fetch time) is kept. Hours whose text is no time, and documents that are
+    no JSON, do not stop the others: ``unreadable`` lists them.
     """
-    kept = [c for c in documents.columns if c != text]
-    opened = documents.select(*kept, _permissive(F.col(text), S.HOURLY_DOCUMENT)["hourly"].alias("h")).select(
-        *kept, "h", F.posexplode("h.time").alias("_pos", "_time")
-    )
+    kept, opened = _opened_hours(documents, text)
+    opened = opened.filter(_hour_time().isNotNull())
     measures = [F.get(F.col(f"h.{field}"), F.col("_pos")).alias(name) for name, field in S.HOURLY_FIELDS.items()]
     return opened.select(
         *kept,
-        F.to_timestamp_ntz(F.col("_time"), F.lit("yyyy-MM-dd'T'HH:mm")).alias("time"),
-        F.substring("_time", 12, 2).cast("int").alias("hour"),
+        _hour_time().alias("time"),
+        F.hour(_hour_time()).alias("hour"),
         *measures,
     )
 

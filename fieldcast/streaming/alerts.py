@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.times import seconds_since_1970
+from ..session import ship_package
 from ..sources.documents import relevant_alerts
 
 STATE = "last_published bigint"
@@ -49,6 +50,7 @@ def dedup_batch(
     second collapse before the shuffle. The fold then reads sorted batches and keeps nothing but the current id and
     its last publication, so a very frequent id costs time but no memory.
     """
+    ship_package(alerts.sparkSession)
     arrivals = relevant_arrivals(alerts)
     rest = [c for c in arrivals.columns if c not in ("alert_id", "arrived")]
     once = arrivals.groupBy("alert_id", "arrived").agg(F.min_by(F.struct(*rest), "seq").alias("r")).select(
@@ -113,6 +115,7 @@ def _publish(ttl: int):
 def dedup_stream(alerts: DataFrame, ttl: int = R.ALERT_TTL_SECONDS, lateness: str = "24 hours") -> DataFrame:
     """Exact de-duplication in the state store: per id the second of its last publication, forgotten once the
     watermark has passed its TTL. For few ids and low latency; ``jobs.write_published`` suits many ids."""
+    ship_package(alerts.sparkSession)
     stamped = relevant_arrivals(alerts).withColumn("ts", F.col("ts").cast("timestamp"))
     arrivals = stamped.withWatermark("ts", lateness)
     schema = ", ".join(f"{n} {t}" for n, t in arrivals.dtypes)

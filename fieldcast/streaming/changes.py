@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.times import seconds_since_1970
 from ..operators.hours import score_pour
 from ..operators.ordered import BLOCK_ROWS, ROW, block_window, blocks, core_rows, number_rows
+from ..session import ship_package
 
 STATE = "last string"
 READINGS = ["temp_f", "humidity_pct", "wind_mph", "wind_gust_mph", "dewpoint_f", "cloud_cover_pct", "precip_in"]
@@ -75,6 +76,7 @@ def changes_stream(scored: DataFrame) -> DataFrame:
     """The same in the state store: one verdict per station. A task holds the readings of one station that arrived
     since the last micro-batch, so bound those with ``maxFilesPerTrigger``; ``jobs.write_changes`` has no such
     limit."""
+    ship_package(scored.sparkSession)
     columns = [f"{n} {t}" for n, t in scored.dtypes] + ["previous_score string", "score_changed boolean"]
     return scored.groupBy("station_id").applyInPandasWithState(
         _track, ", ".join(columns), STATE, "append", "NoTimeout"

