@@ -125,6 +125,7 @@ def keep(docs: DataFrame, host: str = "source", host_rate: float = HOST_RATE) ->
     measured = measures(docs, own).select(*columns, f"{own}base_failed")
     measured = stored(measured, "measured")
     rates = host_rates(measured, host, f"{own}base_failed").where(F.col("host_rate") > host_rate)
-    rejected = rates.select(F.col("host").alias(f"{own}host"))
+    # stored, so its size is known when the join is planned: while it is small, no document is shuffled by its host
+    rejected = stored(rates.select(F.col("host").alias(f"{own}host")), "rejected_hosts")
     passed = measured.where(~F.col(f"{own}base_failed"))
     return passed.join(rejected, F.col(host).eqNullSafe(F.col(f"{own}host")), "left_anti").select(*columns)
