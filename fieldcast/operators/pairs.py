@@ -20,6 +20,8 @@ from ..functions.numeric import percent, tenths
 from ..session import ship_package
 
 PARTIALS = ["n", "abs_sum", "abs_max", "differ", "sa", "sb", "saa", "sbb", "sab"]
+#: Stations of a block, about: a task compares two blocks over one year.
+BLOCK_STATIONS = 64
 _SCHEMA = "station_a string, station_b string, " + ", ".join(f"{p} bigint" for p in PARTIALS)
 
 
@@ -77,10 +79,24 @@ def _partials(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["station_a", "station_b", *PARTIALS])
 
 
-def station_pairs(daily: DataFrame, stations: DataFrame, station_blocks: int = 8) -> DataFrame:
+def _blocks_of(stations: DataFrame, within: str | None, station_blocks: int | None) -> DataFrame:
+    """(station_id, team, blocks, block): stations meet inside their team, which is cut into blocks by hash."""
+    known = stations.select("station_id", (F.col(within) if within else F.lit("")).cast("string").alias("team")).distinct()
+    if station_blocks is None:
+        sizes = known.groupBy(F.col("team").alias("_team")).agg(F.ceil(F.count("*") / BLOCK_STATIONS).cast("int").alias("blocks"))
+        known = known.join(sizes, F.col("team").eqNullSafe(F.col("_team"))).drop("_team")
+    else:
+        known = known.withColumn("blocks", F.lit(station_blocks))
+    return known.withColumn("block", F.pmod(F.xxhash64("station_id"), F.col("blocks")).cast("int"))
+
+
+def station_pairs(daily: DataFrame, stations: DataFrame, station_blocks: int | None = None, within: str | None = None) -> DataFrame:
     """Mean and largest temperature gap, verdict disagreement and correlation for every station pair.
 
-    Choose ``station_blocks`` near (number of stations / 64): a task then holds two 64 x 366 matrices.
+    A task holds two matrices of about BLOCK_STATIONS stations by 366 days however many stations there are, since the
+    number of blocks follows from their count; ``station_blocks`` fixes it instead. ``within`` names a column of
+    ``stations``, such as ``state``: then only stations with the same value meet (NULL is a value of its own), and
+    neither the work nor the result grows with the square of all stations.
     """
     ship_package(daily.sparkSession)
     days = daily.filter(F.col("temp_max_f").isNotNull()).select(
@@ -89,15 +105,15 @@ def station_pairs(daily: DataFrame, stations: DataFrame, station_blocks: int = 8
         F.dayofyear("observation_date").alias("doy"),
         tenths(F.col("temp_max_f")).alias("t"),
         F.coalesce(severity_of(F.col("pour_score")), F.lit(0)).alias("sev"),
-        F.pmod(F.xxhash64("station_id"), F.lit(station_blocks)).cast("int").alias("block"),
     )
-    # each row goes to every block pair its own block belongs to
-    placed = days.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(station_blocks - 1)))).select(
-        "station_id", "year", "doy", "t", "sev", "block",
+    # each row goes to every block pair of its team that its own block belongs to
+    placed = days.join(_blocks_of(stations, within, station_blocks), "station_id")
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "station_id", "team", "year", "doy", "t", "sev", "block",
         F.least("block", "other").alias("block_a"),
         F.greatest("block", "other").alias("block_b"),
     )
-    partial = placed.groupBy("block_a", "block_b", "year").applyInPandas(_partials, _SCHEMA)
+    partial = placed.groupBy("team", "block_a", "block_b", "year").applyInPandas(_partials, _SCHEMA)
     sums = partial.groupBy("station_a", "station_b").agg(
         *[(F.max(p) if p == "abs_max" else F.sum(p)).alias(p) for p in PARTIALS]
     )

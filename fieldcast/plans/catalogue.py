@@ -145,7 +145,7 @@ def best_work_weeks(spark, sf):
 
 @query
 def station_pairs(spark, sf):
-    return flat(pairs.station_pairs(D.regional_daily(spark, sf), D.regional_stations(spark, sf), 4))
+    return flat(pairs.station_pairs(_daily(spark, sf), D.stations(spark, sf)))
 
 
 @query
@@ -207,7 +207,7 @@ def season_report(spark, sf):
 
 @query
 def pair_report(spark, sf):
-    return flat(reports.comparison(D.regional_daily(spark, sf), D.regional_stations(spark, sf), 4))
+    return flat(reports.comparison(_daily(spark, sf), D.stations(spark, sf), "state"))
 
 
 @query

@@ -79,8 +79,8 @@ def best_weeks(daily, stations, station_id=None, year: int | None = None) -> Dat
     ).limit(TOP)
 
 
-def comparison(daily, stations, station_blocks: int = 8) -> DataFrame:
-    return pairs.station_pairs(daily, stations, station_blocks).orderBy(
+def comparison(daily, stations, within: str | None = None) -> DataFrame:
+    return pairs.station_pairs(daily, stations, within=within).orderBy(
         F.col("pct_disagree").desc(), "station_a", "station_b"
     )
 

@@ -304,19 +304,19 @@ SQL["top_weeks"] = sql(
     """select * from weeks where year_rank <= 10
        order by green_in_5day desc, avg_high_5day desc nulls first, station_id, week_ending limit 50""", *WEEKS
 )
-SQL["station_pairs"] = sql(
-    f"""select station_a, station_b, sa.name as station_a_name, sb.name as station_b_name, n as compared_days,
+PAIRS = f"""select station_a, station_b, sa.name as station_a_name, sb.name as station_b_name, n as compared_days,
          {half_up('ad', 'n', '10.0')} as avg_temp_diff_f, md/10.0 as max_temp_diff_f, dis as score_disagree_days,
          {pct('dis', 'n')} as pct_disagree,
          round(cast(n*sab - sa_ * sb_ as double) / nullif(sqrt(cast(n*saa - sa_*sa_ as double)) * sqrt(cast(n*sbb - sb_*sb_ as double)), 0), 3) as temp_correlation
-       from paired join regions sa on sa.station_id = station_a join regions sb on sb.station_id = station_b""",
-    ("paired", """select a.station_id as station_a, b.station_id as station_b, count(*) as n,
+       from paired join stations sa on sa.station_id = station_a join stations sb on sb.station_id = station_b"""
+PAIRED = ("paired", """select a.station_id as station_a, b.station_id as station_b, count(*) as n,
           cast(sum(abs(a.hi - b.hi)) as bigint) as ad, max(abs(a.hi - b.hi)) as md,
           count(*) filter (a.pour <> b.pour) as dis, sum(a.hi) as sa_, sum(b.hi) as sb_, sum(a.hi*a.hi) as saa,
           sum(b.hi*b.hi) as sbb, sum(a.hi*b.hi) as sab
-        from r_daily a join r_daily b on a.d = b.d and a.station_id < b.station_id
-        where a.hi is not null and b.hi is not null group by 1, 2"""),
-)
+        from daily a join daily b on a.d = b.d and a.station_id < b.station_id
+        where a.hi is not null and b.hi is not null group by 1, 2""")
+SQL["station_pairs"] = sql(PAIRS, PAIRED)
+SQL["pair_report"] = sql(PAIRS + " where sa.state = sb.state", PAIRED)
 SQL["season_bounds"] = sql(
     """select station_id, name as station_name, cast(y as bigint) as year, min(d) filter (up <= 5) as season_start_approx,
          max(d) filter (down <= 5) as season_end_approx,
@@ -764,5 +764,4 @@ SQL["model_moments"] = sql(
 # the same rows in report order
 SQL["quality_report"] = SQL["coverage_audit"]
 SQL["season_report"] = SQL["season_bounds"]
-SQL["pair_report"] = SQL["station_pairs"]
 SQL["job_list"] = SQL["job_weather"]

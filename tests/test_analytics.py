@@ -69,6 +69,19 @@ def test_pairs_do_not_depend_on_the_blocks(spark, blocks):
     assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
 
 
+def test_pairs_within_a_column_and_blocks_from_the_count(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK_STATIONS", 3)
+    facts, stations = D.daily(spark, SF), D.stations(spark, SF)
+    stations = stations.withColumn("state", F.when(F.col("state") != "ASIA", F.col("state")))
+    team = {r.station_id: r.state for r in stations.collect()}
+    whole = [r for r in pairs.station_pairs(facts, stations, 1).collect()]
+    assert sorted(map(str, pairs.station_pairs(facts, stations).collect())) == sorted(map(str, whole))
+    got = pairs.station_pairs(facts, stations, within="state").collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in whole if team[r.station_a] == team[r.station_b])
+    assert 0 < len(got) <= len(whole)
+    assert pairs.station_pairs(facts.limit(0), stations.limit(0)).count() == 0
+
+
 def test_previous_year_is_the_previous_present_one(spark):
     rows = spark.createDataFrame(
         [("a", date(y, 5, 1), dec(t), "green", dec(0)) for y, t in ((2001, 50), (2004, 55), (2005, 53))],
