@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -50,16 +50,17 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        yield pd.DataFrame({"doc_id": rows["doc_id"], "fp": np.array([fingerprint(t) for t in rows["text"]], dtype=np.int64)})
+        prints = np.array([fingerprint(t) for t in rows["text"]], dtype=np.int64)
+        yield rows.drop(columns="text").assign(fp=prints)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; NULL texts count as empty."""
+def fingerprints(docs: DataFrame, **carried: Column) -> DataFrame:
+    """(doc_id, carried columns, fp) for every row; NULL texts count as empty."""
     ship_package(docs.sparkSession)
     bound_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    return docs.select("doc_id", text).mapInPandas(_fingerprints, f"doc_id {kind}, fp bigint")
+    given = docs.select("doc_id", *[c.alias(n) for n, c in carried.items()], F.coalesce("text", F.lit("")).alias("text"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema if f.name != "text")
+    return given.mapInPandas(_fingerprints, f"{kinds}, fp bigint")
 
 
 def ball(radius: int) -> list[int]:
@@ -83,6 +84,17 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return met.where(near).select(F.col("fp").alias("u"), F.col("before").alias("v")).distinct()
 
 
+def _labelled(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id, label) for every fingerprint of stored ``rows`` (doc_id, fp); label names the component by a
+    fingerprint."""
+    sizes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = connected_components(links(sizes.select("fp"), radius)).select(F.col("node").alias("fp"), "label")
+    placed = sizes.join(found, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    placed = stored(placed, "labels")
+    roots = placed.groupBy("label").agg(F.min("least").alias("component_id"))
+    return placed.join(roots, "label").select("fp", "component_id", "label")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id) for every row of ``docs`` (doc_id, text, anything else).
 
@@ -90,19 +102,21 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     any other. Rows with a NULL doc_id take part; a component without any id has a NULL component_id. Repeated rows
     give repeated rows; an empty table gives none."""
     rows = stored(fingerprints(docs), "fingerprints")
-    sizes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(links(sizes.select("fp"), radius)).select(F.col("node").alias("fp"), "label")
-    placed = sizes.join(found, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    placed = stored(placed, "labels")
-    roots = placed.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_print = placed.join(roots, "label").select("fp", "component_id")
+    by_print = _labelled(rows, radius).select("fp", "component_id")
     return rows.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest doc_id, once if it is repeated.
-    Rows without a doc_id cannot be named as a group's survivor and all stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), radius)
-    survivors = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(survivors, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+
+    Different texts may share a doc_id: in one component the text with the smaller digest stays, in two components one
+    text of each. Rows without a doc_id cannot be named as a group's survivor and all stay."""
+    columns = docs.columns
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    named = docs.where("doc_id IS NOT NULL").withColumn("_digest", digest)
+    rows = stored(fingerprints(docs, digest=digest), "fingerprints")
+    least = _labelled(rows, radius)
+    survivors = rows.join(least, "fp").where("doc_id = component_id").groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("one"))
+    survivors = survivors.select("one.doc_id", F.col("one.digest").alias("_digest"))
+    once = named.join(survivors, ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id", "_digest"])
+    return once.select(*columns).unionByName(docs.where("doc_id IS NULL"))

@@ -63,6 +63,16 @@ def test_simhash_odd_documents(odd_docs, no_docs):
     assert ids.count(None) == 1
 
 
+def test_one_document_of_each_group_whatever_the_ids(spark):
+    other = " ".join(f"other{i}" for i in range(30))
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, text, "a"), (1, other, "a"), (1, text, "b"), (2, text, "a"), (3, other, "a"), (4, None, "a"), (4, "", "b"), (None, text, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    got = [(r["doc_id"], r["text"] or "") for r in simhash.keep_one(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, text), (1, other), (4, ""), (None, text)]))
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
 def test_links_find_every_close_pair(spark):
     r = np.random.default_rng(2)
     base = r.integers(-(2**62), 2**62, 40)
