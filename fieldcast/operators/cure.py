@@ -11,7 +11,7 @@ from .. import rules as R
 from ..functions import grading as G
 from ..functions import labels as L
 from ..functions.numeric import whole
-from .hours import SITE, first_rows, known_rain, upcoming
+from .hours import SITE, first_rows, for_sites, known_rain, upcoming
 from .ordered import BLOCK_ROWS, block_window, blocks, core_rows, number_rows
 
 
@@ -129,8 +129,10 @@ def _issues() -> Column:
     )
 
 
-def cure_check(forecast: DataFrame, as_of: datetime) -> DataFrame:
-    """One decision row per site for a pour at ``as_of``: its first 48 upcoming rows."""
+def cure_check(forecast: DataFrame, as_of: datetime, sites: DataFrame | None = None) -> DataFrame:
+    """One decision row per site for a pour at ``as_of``: its first 48 upcoming rows.
+
+    Every one of ``sites`` is answered: without upcoming rows it has no hours, no score and the no-data verdict."""
     rows = first_rows(upcoming(forecast, as_of), R.DETAIL_HOURS)
     early, late = F.col("_place") <= 24, F.col("_place") > 24
     windows = rows.groupBy(SITE).agg(
@@ -143,7 +145,8 @@ def cure_check(forecast: DataFrame, as_of: datetime) -> DataFrame:
         F.max(F.when(early, F.col("wind_mph"))).alias("wind_1"),
         F.max(F.when(early, F.col("wind_gust_mph"))).alias("gust_1"),
     )
-    return _grade(windows, [SITE])
+    answered = for_sites(windows, sites).withColumn("hours", F.coalesce("hours", F.lit(0).cast("bigint")))
+    return _grade(answered, [SITE])
 
 
 def rolling_cure(hours: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -23,6 +23,11 @@ def wall_clock(moment: datetime) -> Column:
     return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
+def for_sites(rows: DataFrame, sites: DataFrame | None) -> DataFrame:
+    """``rows`` with a row of NULLs for every one of ``sites`` (station_id, anything else) that has none."""
+    return rows if sites is None else rows.join(sites.select(SITE).where(F.col(SITE).isNotNull()).distinct(), SITE, "full")
+
+
 def known_rain() -> Column:
     """Rain as a decimal, so that sums do not depend on the order of the rows."""
     return F.col("precip_in").cast(RAIN_TYPE)

@@ -11,7 +11,7 @@ from .. import rules as R
 from ..functions import labels as L
 from ..functions.numeric import fixed, whole
 from ..functions.times import seconds_since_1970
-from .hours import SITE, first_rows, known_rain, last_24h, score_sealer, upcoming
+from .hours import SITE, first_rows, for_sites, known_rain, last_24h, score_sealer, upcoming
 from .ordered import BLOCK_ROWS, block_window, blocks, core_rows, number_rows
 
 CURRENT = ["temp_f", "humidity_pct", "dewpoint_f", "wind_mph"]
@@ -31,8 +31,9 @@ def _trusted(rows: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-def site_inputs(history: DataFrame, forecast: DataFrame, as_of: datetime) -> DataFrame:
-    """One row per site with the current reading and the trusted 24h/24h/12h inputs."""
+def site_inputs(history: DataFrame, forecast: DataFrame, as_of: datetime, sites: DataFrame | None = None) -> DataFrame:
+    """One row per site with the current reading and the trusted 24h/24h/12h inputs; all NULL for one of ``sites``
+    without any row."""
     current = F.max_by(F.struct(*CURRENT), "time")
     past = last_24h(history, as_of).groupBy(SITE).agg(
         F.count(F.lit(1)).alias("recent"),
@@ -50,7 +51,7 @@ def site_inputs(history: DataFrame, forecast: DataFrame, as_of: datetime) -> Dat
         F.count(F.when(soon, F.col("temp_f"))).alias("temps"),
         F.min(F.when(soon, F.col("temp_f"))).alias("low"),
     )
-    joined = past.join(ahead, SITE, "full")
+    joined = for_sites(past.join(ahead, SITE, "full"), sites)
     number = lambda n: F.coalesce(F.col(n), F.lit(0))
     rows = {n: F.col(n) for n in ("rain", "prob", "low")} | {n: number(n) for n in ("recent", "known", "probs", "temps")}
     trusted = _trusted(rows)
@@ -179,6 +180,6 @@ def explain(scored: DataFrame) -> DataFrame:
     )
 
 
-def sealer_check(history: DataFrame, forecast: DataFrame, as_of: datetime) -> DataFrame:
-    """One decision row per site."""
-    return explain(score_sealer(site_inputs(history, forecast, as_of)))
+def sealer_check(history: DataFrame, forecast: DataFrame, as_of: datetime, sites: DataFrame | None = None) -> DataFrame:
+    """One decision row per site; one of ``sites`` without any row has no score and the no-data verdict."""
+    return explain(score_sealer(site_inputs(history, forecast, as_of, sites)))

@@ -53,7 +53,12 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def _daily(spark: SparkSession, sf: str) -> DataFrame:
-    return D.fact_table(spark, sf).drop("score_details", "obs_year")
+    return _by_year(spark, sf).drop("obs_year")
+
+
+def _by_year(spark, sf):
+    """The daily rows with their partition column, for queries that name a year."""
+    return D.fact_table(spark, sf).drop("score_details")
 
 
 def _staged_jobs(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,7 +177,7 @@ def job_days(spark, sf):
 
 @query
 def seasonal_year(spark, sf):
-    return flat(reports.seasonal(_daily(spark, sf), D.stations(spark, sf), year=1999))
+    return flat(reports.seasonal(_by_year(spark, sf), D.stations(spark, sf), year=1999))
 
 
 @query
@@ -230,10 +235,10 @@ def one_job(spark, sf):
 
 @query
 def point_lookup(spark, sf):
-    daily = _daily(spark, sf)
+    daily = _by_year(spark, sf)
     station = D.stations(spark, sf).agg(F.min("station_id")).first()[0]
     day = daily.filter(F.col("station_id") == station).agg(F.min(DAY)).first()[0]
-    return flat(reports.point(daily, station, day))
+    return flat(reports.point(daily, station, day).drop("obs_year"))
 
 
 # --- hours -----------------------------------------------------------------------------------
@@ -334,7 +339,7 @@ def sealer_reasons(spark, sf):
 @query
 def sealer_check(spark, sf):
     hourly = D.hourly(spark, sf)
-    return flat(sealer.sealer_check(hourly, hourly, D.AS_OF).drop("sealer_factors"))
+    return flat(sealer.sealer_check(hourly, hourly, D.AS_OF, D.stations(spark, sf)).drop("sealer_factors"))
 
 
 @query
@@ -344,7 +349,7 @@ def cure_window(spark, sf):
 
 @query
 def cure_check(spark, sf):
-    return flat(cure.cure_check(D.hourly(spark, sf), D.AS_OF))
+    return flat(cure.cure_check(D.hourly(spark, sf), D.AS_OF, D.stations(spark, sf)))
 
 
 # --- alerts, streams, snapshots --------------------------------------------------------------

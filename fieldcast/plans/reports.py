@@ -27,6 +27,12 @@ def _where(df: DataFrame, *conditions: Column | None) -> DataFrame:
     return df
 
 
+def _in_days(daily: DataFrame, first: date, last: date) -> DataFrame:
+    """Rows of a span of days: the dates reach the scan, and the years prune folders where the table has them."""
+    kept = daily.filter(F.col(climate.DAY).between(F.lit(first), F.lit(last)))
+    return kept.filter(F.col("obs_year").between(first.year, last.year)) if "obs_year" in daily.columns else kept
+
+
 def town_station(stations: DataFrame, name: str | None) -> str | None:
     """Station id of a station name, None when there is no such town."""
     if not name:
@@ -36,7 +42,9 @@ def town_station(stations: DataFrame, name: str | None) -> str | None:
 
 
 def seasonal(daily, stations, station_id=None, year: int | None = None) -> DataFrame:
-    kept = _where(_of_town(daily, station_id), None if year is None else F.year(climate.DAY) == year)
+    kept = _of_town(daily, station_id)
+    if year is not None:
+        kept = _in_days(kept, date(year, 1, 1), date(year, 12, 31))
     return climate.seasonal_viability(kept, stations).orderBy("station_name", "station_id", "year", "month_num")
 
 
@@ -95,4 +103,4 @@ def one_job(staged_jobs, daily, job_id: int) -> DataFrame:
 
 def point(daily: DataFrame, station_id: str, day: date) -> DataFrame:
     """One station-day; zeros stay zeros."""
-    return daily.filter((F.col("station_id") == station_id) & (F.col(climate.DAY) == F.lit(day)))
+    return _in_days(daily.filter(F.col("station_id") == station_id), day, day)

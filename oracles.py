@@ -532,9 +532,10 @@ SQL["sealer_check"] = sql(
         where time between {AS_OF} - interval 24 hours and {AS_OF} group by 1"""),
     ("soon24", """select station_id, count(prob) as probs, max(prob) as prob, count(t10) filter (place <= 12) as temps,
           min(t10) filter (place <= 12) as low from placed where place <= 24 group by 1"""),
-    ("site_now", """select coalesce(p.station_id, n.station_id) as station_id, h.t10 as c_t, h.hum as c_hum, h.d10 as c_d, h.w10 as c_w, past_lo, past_hi, past_hum,
+    ("site_now", """select s.station_id, h.t10 as c_t, h.hum as c_hum, h.d10 as c_d, h.w10 as c_w, past_lo, past_hi, past_hum,
           coalesce(recent, 0) as recent, coalesce(known, 0) as known, rain, coalesce(probs, 0) as probs, n.prob, coalesce(temps, 0) as temps, low
-        from past p full join soon24 n on p.station_id = n.station_id
+        from (select station_id from stations union select station_id from past union select station_id from soon24) s
+          left join past p on p.station_id = s.station_id left join soon24 n on n.station_id = s.station_id
           left join hourly h on h.station_id = p.station_id and h.time = p.last_time"""),
     ("inputs", f"select *, {TRUSTED} from site_now"),
     SEALED,
@@ -584,9 +585,11 @@ SQL["cure_window"] = sql(
 )
 SQL["cure_check"] = sql(
     CURE_BODY.replace("KEYS", "station_id"),
-    ("cure_w", """select station_id, count(*) as hours, min(t10) as low, max(t10) as high, max(prob) filter (place <= 24) as prob_1,
+    ("cure_s", """select station_id, count(*) as hours, min(t10) as low, max(t10) as high, max(prob) filter (place <= 24) as prob_1,
           sum(p100) filter (place <= 24) as rain_1, max(prob) filter (place > 24) as prob_2, max(w10) filter (place <= 24) as wind_1,
           max(g10) filter (place <= 24) as gust_1 from placed where place <= 48 group by 1"""),
+    ("cure_w", """select coalesce(c.station_id, s.station_id) as station_id, coalesce(c.hours, 0) as hours, c.* exclude (station_id, hours)
+        from cure_s c full join stations s on s.station_id = c.station_id"""),
     *CURED,
 )
 

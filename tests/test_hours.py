@@ -215,3 +215,18 @@ def test_cure_windows(spark):
     first = {r.station_id: r for r in cure.rolling_cure(df).filter(F.col("time") == F.lit("2024-05-06").cast("timestamp_ntz")).collect()}
     for s, r in got.items():
         assert (first[s].score, first[s].factors, first[s].issues) == (r.score, r.factors, r.issues)
+
+
+def test_silent_sites_are_answered(spark):
+    sites = spark.createDataFrame([("a", "x"), ("silent", "y"), ("silent", "z"), (None, "n")], "station_id string, name string")
+    df = spark.createDataFrame(hour_rows("a", {h: {} for h in range(48)}), SCHEMA)
+    found = {r["station_id"]: r for r in cure.cure_check(df, DAY0, sites).collect()}
+    assert set(found) == {"a", "silent"} and found["a"]["score"] == "green"
+    silent = found["silent"]
+    assert (silent["score"], silent["verdict"], silent["hours"]) == (None, "NO DATA — DO NOT POUR", 0)
+    assert silent["issues"] == ["No usable forecast data — cannot assess cure window"] and silent["temp_low_f"] is None
+    sealed = {r["station_id"]: r for r in sealer.sealer_check(df, df, DAY0 + timedelta(hours=24), sites).collect()}
+    assert set(sealed) == {"a", "silent"} and sealed["a"]["sealer_score"] is not None
+    assert sealed["silent"]["sealer_score"] is None and sealed["silent"]["verdict"] == "NO DATA — DO NOT SEAL"
+    none = cure.cure_check(df.limit(0), DAY0, sites).collect()
+    assert {r["verdict"] for r in none} == {"NO DATA — DO NOT POUR"} and len(none) == 2

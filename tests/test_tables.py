@@ -3,6 +3,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from fieldcast.plans import reports
 from fieldcast.sinks import tables
 from fieldcast.streaming import jobs as streams
 
@@ -113,3 +114,19 @@ def test_latest_snapshot_as_of(spark):
     assert got["a"] == (2, True)  # exactly one hour old is outdated
     got = {r.station_id: r.stale for r in streams.latest_snapshots(df, datetime(2024, 1, 1, 9, 30), "history").collect()}
     assert got["a"] is True
+
+
+def test_a_named_day_reads_its_year_only(spark, tmp_path, capsys):
+    path = str(tmp_path / "t")
+    rows = [("a", date(y, 1, 1), d(1), "red") for y in (2019, 2020, 2021)]
+    base = frame(spark, rows).withColumn("obs_year", F.year("observation_date"))
+    tables.create_table(base, path, "obs_year", KEY)
+    daily = spark.read.schema(base.schema).parquet(path)
+    found = reports.point(daily, "a", date(2020, 1, 1))
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    line = next(x for x in plan.splitlines() if x.startswith("PartitionFilters"))
+    assert "obs_year" in line and "2020" in line
+    assert "EqualTo(station_id,a)" in plan and "observation_date" in plan.split("PushedFilters", 1)[1]
+    assert [r["obs_year"] for r in found.collect()] == [2020]
+    assert reports.point(daily.drop("obs_year"), "a", date(2020, 1, 1)).count() == 1
