@@ -223,6 +223,36 @@ def test_url_difference_by_hand():
     assert joint[2][-1] == other[2][-1] and joint[0][0] != other[0][0]
 
 
+def test_url_models_count_exactly(spark):
+    """More distinct strings than the hashed table has slots: every estimate still equals one from exact counts."""
+    r = np.random.default_rng(3)
+    word = lambda n: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), n))
+    learnt = [(f"{word(30)}.{'org' if i % 2 else 'com'}/{word(30)}ü", bool(i % 2)) for i in range(6000)]
+    asked = [learnt[0][0], learnt[1][0], word(40), "a", "", learnt[1][0]]
+    n = {False: Counter(), True: Counter()}
+    for url, accepted in learnt:
+        raw = b"\0" * urls.ORDER + url.encode()
+        for i in range(urls.ORDER, len(raw)):
+            n[accepted].update(x for k in range(urls.ORDER + 1) for x in ((k, raw[i - k : i], None), (k, raw[i - k : i], raw[i])))
+    assert sum(x[2] is not None for c in n.values() for x in c) > urls.SLOTS
+
+    def by_hand(url):
+        raw, total = b"\0" * urls.ORDER + url.encode(), 0.0
+        for i in range(urls.ORDER, len(raw)):
+            for accepted in n:
+                p = 1 / 256
+                for k in range(urls.ORDER + 1):
+                    context = raw[i - k : i]
+                    p = (n[accepted][k, context, raw[i]] + urls.STRENGTH * p) / (n[accepted][k, context, None] + urls.STRENGTH)
+                total += math.log(p) if accepted else -math.log(p)
+        return total / max(1, len(raw) - urls.ORDER)
+
+    counts = urls.fit(spark.createDataFrame(learnt, "url string, accepted boolean"))
+    pages = spark.createDataFrame([(2**60 + i, i // 2, u) for i, u in enumerate(asked)], "page_id long, block long, key string")
+    got = {x["page_id"] - 2**60: x["difference"] for x in urls.score(pages, counts).collect()}
+    assert len(got) == len(asked) and all(math.isclose(got[i], by_hand(u), rel_tol=1e-9, abs_tol=1e-12) for i, u in enumerate(asked))
+
+
 def test_pipeline_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.STAGES[0][1](spark, docs, SF)
