@@ -62,6 +62,14 @@ def parts(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
 
 
+def whole(url: Column) -> Column:
+    """The URL with its host in lower case and all else as it is; empty for NULL, unchanged without ``://``."""
+    url = F.coalesce(url, F.lit(""))
+    start = F.regexp_extract(url, "(?s)^(.*?://)", 1)
+    host, _ = parts(url)
+    return F.concat(start, host, F.substring(url, F.length(start) + F.length(host) + 1, F.length(url)))
+
+
 def longest_rule(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> tuple[Column, Column]:
     """(rule text, verdict) of the longest rule that fits, or NULLs. A rule fits its host and all subdomains."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -205,13 +213,14 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, difference) for every row of ``pages`` (page_id, url, anything else).
 
     Labelled URLs are those a rule fits; the models learn from all of them but the fold of page_ids with remainder 0,
-    which calibrates the threshold. A NULL page_id is used for learning. A NULL url or one without ``://`` has empty
-    host and path and difference 0. Without both classes the threshold is 0."""
+    which calibrates the threshold. A NULL page_id is used for learning. Rules see host and path, the models the whole
+    URL with scheme, query and fragment. A NULL url or one without ``://`` has empty host and path; a NULL or empty one
+    has difference 0. Without both classes the threshold is 0."""
     host, path = parts(F.col("url"))
-    known = pages.select("page_id", host.alias("host"), path.alias("path"))
+    known = pages.select("page_id", host.alias("host"), path.alias("path"), whole(F.col("url")).alias("key"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block")
-    known = known.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.concat("host", "path").alias("key"), block)
+    known = known.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), "key", block)
     known = stored(known, "urls")
     accepted = (F.col("ruled") == "allow").alias("accepted")
     held = F.coalesce(fold(F.col("page_id")) == 0, F.lit(False))

@@ -253,6 +253,18 @@ def test_url_models_count_exactly(spark):
     assert len(got) == len(asked) and all(math.isclose(got[i], by_hand(u), rel_tol=1e-9, abs_tol=1e-12) for i, u in enumerate(asked))
 
 
+def test_url_models_read_query_and_fragment(spark):
+    rows = [(i, f"https://h{i % 9}.org/a?page={i % 50}#top") for i in range(300)] + [(1000 + i, f"https://h{i % 9}.com/de/?utm_source=feed{i % 50}") for i in range(300)]
+    asked = {5000: "https://H1.net/a?page=7#top", 5001: "https://h1.net/a?utm_source=feed7", 5002: "utm_source=feed7", 5003: "https://h1.net/a?page=7#top"}
+    df = spark.createDataFrame([*rows, *asked.items()], "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge(df).collect()}
+    assert got[5000]["verdict"] == "allow" and got[5001]["verdict"] == got[5002]["verdict"] == "block" and got[5002]["host"] == ""
+    assert got[5000]["difference"] == got[5003]["difference"]
+    texts = ["HTTP://A.Org:80/X?Q#F", "http://H?x=/a://B/", "No Scheme", "", None, "a://b\n.ORG/p\nQ", "s://ORG"]
+    whole = spark.createDataFrame([(i, u) for i, u in enumerate(texts)], "i int, url string").select("i", urls.whole(F.col("url")).alias("w"))
+    assert [r["w"] for r in whole.orderBy("i").collect()] == ["HTTP://a.org:80/X?Q#F", "http://h?x=/a://B/", "No Scheme", "", "", "a://b\n.org/p\nQ", "s://org"]
+
+
 def test_pipeline_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.STAGES[0][1](spark, docs, SF)
