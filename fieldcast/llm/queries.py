@@ -60,7 +60,7 @@ def repository_files(docs: DataFrame) -> DataFrame:
 
 def op7_licenses(spark: SparkSession, sf: str) -> DataFrame:
     found = licenses.label(repository_files(table(spark, sf, "documents")))
-    return found.select("doc_id", "path", "own", "cosine", "licence", "licence_from")
+    return found.select("doc_id", "path", "own", "cosine", "licence", "licence_from", "licences")
 
 
 def op8_host_quality(spark: SparkSession, sf: str) -> DataFrame:

@@ -178,6 +178,32 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     assert licenses.label(df.limit(0)).count() == 0
 
 
+GNU = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+BSD = licenses.TEMPLATES[2][1] + ": 1. Redistributions of source code must retain the above copyright notice. {}THIS SOFTWARE IS PROVIDED BY THE AUTHOR"
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+DUAL = "This is released under the MIT License. " + "word " * 40 + "Licensed under the Apache License, Version 2.0"
+
+
+def test_licences_are_told_apart(spark):
+    whole = licenses.whole_texts()
+    third = "Neither the name of the author may be used to endorse or promote products. "
+    texts = {
+        GNU.format("") + "; either version 2 of the License, or any later version": ["GPL-2.0"], GNU.format("") + ", either version 3 of the License": ["GPL-3.0"],
+        GNU.format("") + ".": ["GPL-3.0"], GNU.format("Lesser ") + "; either version 2.1 of the License": ["LGPL-2.1"], GNU.format("Affero ") + ", version 3": ["AGPL-3.0"],
+        BSD.format(""): ["BSD-2-Clause"], BSD.format(third): ["BSD-3-Clause"], ISC: ["ISC"], "Licensed under CC BY-SA 4.0": ["CC-BY-SA-4.0"],
+        "// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-2-Clause\nint x;": ["BSD-2-Clause", "GPL-2.0"],
+        "This is free and unencumbered software released into the public domain.": ["Unlicense"], DUAL: ["Apache-2.0", "MIT"],
+        "Copyright 1999 by nobody\n" + whole["GPL-2.0"]: ["GPL-2.0"], "the wizards quietly examine a box of old letters": None,
+        whole["BSD-3-Clause"].split("3. Neither")[0] + "THIS" + whole["BSD-3-Clause"].split("THIS", 1)[1]: ["BSD-2-Clause"],
+        whole["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL", 1): ["AGPL-3.0"], **{x: [name] for name, x in whole.items()},
+    }
+    df = spark.createDataFrame([(i, f"p{i}/LICENSE", x) for i, x in enumerate(texts)] + [(1000 + i, f"p{i}/src/a.c", "int y;") for i in range(len(texts))], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in licenses.label(df).collect()}
+    for i, want in enumerate(texts.values()):
+        assert got[i]["licences"] == got[1000 + i]["licences"] == want, (want, got[i])
+        assert got[i]["own"] == got[1000 + i]["licence"] == (want[0] if want else None)
+
+
 @pytest.mark.parametrize(
     ("url", "host", "path", "rule"),
     [
