@@ -39,12 +39,14 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS, context_roles: Sequen
     ``masks`` are half-open character spans of ``rendered``: the assistant's text and its end marker. Markers inside
     names and texts are broken up by a space.
 
-    Repeated identical rows are one message. A NULL text is an empty message; a NULL turn is put in a last part -1 of
-    its own; rows without conv_id or role belong to no dialogue. A dialogue with no participant gives no row."""
-    known = turns.select("conv_id", "turn", "role", "text").where("conv_id IS NOT NULL AND role IS NOT NULL").distinct()
+    Repeated identical rows with a turn are one message; without a turn each row is a message of its own. A NULL text is
+    an empty message; NULL turns are put in part -1, where turns -1 to -part_turns are as well; rows without conv_id or role belong to no dialogue. A dialogue with no participant gives no row."""
+    said = turns.select("conv_id", "turn", "role", "text").where("conv_id IS NOT NULL AND role IS NOT NULL")
+    times = F.when(F.col("turn").isNull(), F.count("*")).otherwise(1).cast("int").alias("times")
+    known = said.groupBy("conv_id", "turn", "role", "text").agg(times)
     part = F.coalesce(F.floor(F.col("turn") / F.lit(part_turns)).cast("bigint"), F.lit(-1)).alias("part")
     parts = known.groupBy("conv_id", part).agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", _plain(F.col("text")).alias("text")))).alias("said")
+        F.array_sort(F.flatten(F.collect_list(F.array_repeat(F.struct("turn", "role", _plain(F.col("text")).alias("text")), F.col("times"))))).alias("said")
     )
     speakers = known.where(~F.col("role").isin(*context_roles)).select("conv_id", F.col("role").alias("speaker")).distinct()
     views = parts.join(speakers, "conv_id")

@@ -48,6 +48,13 @@ def test_every_speaker_is_the_assistant_once(spark):
     assert chat.digest(chat.rotate(df.limit(0))).count() == 0
 
 
+def test_messages_without_a_turn_are_not_merged(spark):
+    rows = [(1, None, "ann", "ok"), (1, None, "ann", "ok"), (1, None, "bob", "no"), (1, 5, "ann", "hi"), (1, 5, "ann", "hi")]
+    got = {(r["speaker"], r["part"]): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got["ann", -1]["n_turns"] == 3 and got["ann", 0]["n_turns"] == 1 and len(got["ann", -1]["masks"]) == 2
+    assert got["bob", -1]["rendered"].count("ok") == 2
+
+
 def measures_by_hand(text):
     words = re.findall("[^\x20\x09-\x0d]+", text or "")
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
