@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, langid, licenses, packing, quality, simhash, toxicity, urls
+from . import bpe, chat, contamination, embeddings, langid, licenses, packing, phrases, quality, simhash, spellings, toxicity, urls
 from .common import fold, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -79,11 +79,24 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(table(spark, sf, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.judge(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op13_spellings(spark: SparkSession, sf: str) -> DataFrame:
+    return spellings.group_spellings(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_rotation, op2_toxicity, op3_packing, op4_bpe_chunks, op5_simhash, op6_embeddings, op7_licenses,
-        op8_host_quality, op9_url_models, op10_language,
+        op8_host_quality, op9_url_models, op10_language, op11_phrases,
+        op12_decontamination, op13_spellings,
     )
 }
 
@@ -156,5 +169,72 @@ WITH base AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        round(host_rate, 9) AS host_rate, NOT base_failed AND host_rate <= 0.5 AS kept
 FROM failed JOIN rates ON failed.source IS NOT DISTINCT FROM rates.source
+""",
+    "op11_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents
+), f1 AS (
+  SELECT lang, unnest(w) AS p, count(*) AS f FROM pieces GROUP BY 1, 2
+), f2 AS (
+  SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f
+  FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM pieces) GROUP BY 1, 2, 3
+), f3 AS (
+  SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f
+  FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM pieces) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10
+), cuts AS (
+  SELECT f2.lang, x || ' ' || y AS phrase, f2.f AS a, 1 AS k, u.f AS l, v.f AS r
+  FROM f2 JOIN f1 u ON u.lang = f2.lang AND u.p = x JOIN f1 v ON v.lang = f2.lang AND v.p = y
+  WHERE f2.f >= 10
+    AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.x = f2.x AND f3.y = f2.y AND 100 * f3.f >= 50 * f2.f)
+    AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.y = f2.x AND f3.z = f2.y AND 100 * f3.f >= 50 * f2.f)
+  UNION ALL
+  SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, f3.f, 1, u.f, t.f
+  FROM f3 JOIN f1 u ON u.lang = f3.lang AND u.p = f3.x JOIN f2 t ON t.lang = f3.lang AND t.x = f3.y AND t.y = f3.z
+  UNION ALL
+  SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, f3.f, 2, h.f, v.f
+  FROM f3 JOIN f2 h ON h.lang = f3.lang AND h.x = f3.x AND h.y = f3.y JOIN f1 v ON v.lang = f3.lang AND v.p = f3.z
+), scored AS (
+  SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts
+), worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM ranked JOIN (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang) USING (lang) WHERE rank <= 2000
+""",
+    "op12_decontamination": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, z, array_to_string(w[i:i + z - 1], ' ') AS k
+  FROM (SELECT item, w, least(len(w), 10) AS z, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT z FROM windows
+), hits AS (
+  SELECT r, z, i, k FROM (
+    SELECT r, z, i, array_to_string(w[i:i + z - 1], ' ') AS k
+    FROM (SELECT r, w, z, unnest(range(1, len(w) - z + 2)) AS i FROM docs, sizes WHERE len(w) >= z)
+  ) WHERE (z, k) IN (SELECT (z, k) FROM windows)
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + z)) AS p FROM hits) GROUP BY r
+), told AS (
+  SELECT r, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item)) AS ids
+  FROM (SELECT DISTINCT r, item FROM hits JOIN windows USING (z, k)) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(told.n, 0) AS n_items,
+       coalesce(ids, sha256('')) AS items_sha256, covered.n IS NOT NULL AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN told USING (r)
 """,
 }
