@@ -13,6 +13,7 @@ pair is no single task's; what a partition knows only partly, its first and last
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +35,14 @@ LEAST = 10
 TOP = 2_000
 INSIDE_PERCENT = 50
 #: Bytes of text that a task counts in memory before it hands on a run, and words of one text that it takes at a time.
-BLOCK_BYTES = 16 << 20
-BLOCK_WORDS = 1 << 20
+BLOCK_BYTES = 24 << 20
+BLOCK_WORDS = (1 << 21) - 4
 RUN_ROWS = 1 << 16
+RANK_SHARES = 64
 BITS = 21
+#: Texts, and distinct phrases of theirs, that the ranges of the stream are cut by, at most (about).
+SAMPLE_TEXTS = 4_000
+SAMPLE_KEYS = 50_000
 #: Stands between the parts of a stream key. It sorts before every word byte, for words are escaped.
 SEP = b"\x00"
 BREAK = b"."
@@ -64,8 +69,13 @@ def _runs(lang: bytes, words: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Sorted counts of the phrases that start at each word; phrases end at a break."""
     for at in range(0, len(words), BLOCK_WORDS):
         here = words[at : at + BLOCK_WORDS + ORDER - 1]  # looks ahead into the next block
-        known = {w: i for i, w in enumerate(sorted({*map(escape, here)} - {BREAK}), 1)}
-        ids = np.fromiter((known.get(w, 0) for w in map(escape, here)), np.int64, len(here))
+        coded = pa.array(here, pa.binary()).dictionary_encode()
+        vocabulary = [*map(escape, coded.dictionary.to_pylist())]
+        by_bytes = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)
+        place = np.zeros(len(vocabulary), np.int64)
+        place[by_bytes] = np.arange(1, len(vocabulary) + 1)
+        place[[i for i, w in enumerate(vocabulary) if w == BREAK]] = 0
+        ids = place[coded.indices.to_numpy()]
         code = ids << (BITS * (ORDER - 1))
         open_ = ids > 0
         for n in range(1, ORDER):
@@ -73,13 +83,12 @@ def _runs(lang: bytes, words: list[bytes]) -> Iterator[pa.RecordBatch]:
             open_ = open_ & (after > 0)
             code += np.where(open_, after, 0) << (BITS * (ORDER - 1 - n))
         code, count = np.unique(code[:BLOCK_WORDS][ids[:BLOCK_WORDS] > 0], return_counts=True)
-        vocabulary = pa.array([None, *known], pa.binary())
+        words_in_order = pa.array([None, *(vocabulary[i] for i in by_bytes)], pa.binary())
         for lo in range(0, len(code), RUN_ROWS):
             part = code[lo : lo + RUN_ROWS]
             places = [(part >> (BITS * (ORDER - 1 - n))) & ((1 << BITS) - 1) for n in range(ORDER)]
-            columns = [vocabulary.take(pa.array(p)) for p in places]
-            head = pa.array([lang] * len(part), pa.binary())
-            key = pc.binary_join_element_wise(head, *columns, pa.scalar(SEP, pa.binary()), null_handling="skip")
+            columns = [words_in_order.take(pa.array(p)) for p in places]
+            key = pc.binary_join_element_wise(pa.scalar(lang, pa.binary()), *columns, pa.scalar(SEP, pa.binary()), null_handling="skip")
             yield pa.RecordBatch.from_arrays([key, pa.array(count[lo : lo + RUN_ROWS], pa.int64())], names=["gram", "n"])
 
 
@@ -101,51 +110,90 @@ def _flushed(block: dict[bytes, list[bytes]]) -> Iterator[pa.RecordBatch]:
         yield from _runs(escape(lang), words_of(BREAK.join(texts)))
 
 
+def _dealt(bounds: list[bytes]):
+    """Counts blocks and adds to each phrase the range it falls in; runs are sorted, so every range is a slice."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _count(batches):
+            keys = run.column(0)
+            places = range(len(keys))
+            ends = [bisect.bisect_left(places, b, key=lambda i: keys[i].as_py()) for b in bounds]  # noqa: B023
+            part = np.repeat(np.arange(len(bounds) + 1, dtype=np.int32), np.diff([0, *ends, len(keys)]))
+            yield pa.RecordBatch.from_arrays([*run.columns, pa.array(part, pa.int32())], names=["gram", "n", "part"])
+
+    return deal
+
+
+def _parts_of(grams: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
+    """Language and words of stream keys as columns (NULL beyond a key's last word), and the number of parts."""
+    split = pc.split_pattern(grams, SEP)
+    at = split.offsets.to_numpy()[: len(grams) + 1]
+    sizes = np.diff(at)
+    columns = [split.values.take(pa.array(at[:-1] + k, mask=sizes <= k)) for k in range(ORDER + 1)]
+    return columns, sizes
+
+
 def _scanner(least: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of every beginning (language, one word, two words, phrase) from a partition in prefix order. A count
         below the threshold is dropped once it is known to be whole: full phrases always are, a shorter beginning is if
         it neither opens nor closes the partition. Totals of languages are handed on whatever they are."""
-        found: list[tuple[bytes, int]] = []
-        now: list[bytes | None] = [None] * (ORDER + 1)
-        total, opens = [0] * (ORDER + 1), [False] * (ORDER + 1)
-        previous = None
-
-        def close(least_level: int, ends: bool = False) -> None:
-            for k in range(ORDER, least_level - 1, -1):
-                if now[k] is not None and (total[k] >= least or not k or k < ORDER and (opens[k] or ends)):
-                    found.append((now[k], total[k]))
-
+        last: pa.Array | None = None  # the key before, and what its beginnings have gathered
+        held, opens = [0] * (ORDER + 1), [True] * (ORDER + 1)
         for batch in batches:
-            for gram, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if gram != previous:
-                    parts = gram.split(SEP)
-                    heads = [SEP.join(parts[: k + 1]) if k < len(parts) else None for k in range(ORDER + 1)]
-                    differs = next(k for k in range(ORDER + 1) if heads[k] != now[k])
-                    close(differs)
-                    for k in range(differs, ORDER + 1):
-                        now[k], total[k], opens[k] = heads[k], 0, previous is None
-                    previous = gram
-                for k in range(ORDER + 1):
-                    total[k] += n
-            if len(found) >= RUN_ROWS:
-                yield _as_columns(found)
-                found.clear()
-        close(0, ends=True)
-        yield _as_columns(found)
+            if not batch.num_rows:
+                continue
+            grams, n = batch.column(0), batch.column(1).to_numpy()
+            if last is not None:  # the key before stands in front, with no count of its own
+                grams, n = pa.concat_arrays([last, grams]), np.append(0, n)
+            parts, sizes = _parts_of(grams)
+            differs = np.zeros(len(n) - 1, bool)
+            rows, counts, levels = [], [], []
+            for k in range(ORDER + 1):
+                same = pc.equal(parts[k][1:], parts[k][:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+                differs = differs | ~(same | (sizes[1:] <= k) & (sizes[:-1] <= k))
+                starts = np.append(0, np.flatnonzero(differs) + 1)
+                total = np.add.reduceat(n, starts)
+                total[0] += held[k]
+                keep = (total >= least) | (k == 0)
+                keep[0] |= opens[k] and k < ORDER
+                keep[-1] = False  # goes on, perhaps
+                keep &= sizes[starts] > k
+                rows.append(starts[keep]), counts.append(total[keep]), levels.append(np.full(keep.sum(), k))
+                held[k], opens[k] = int(total[-1]), opens[k] and len(starts) == 1
+            last = grams[-1:]
+            yield _as_columns(parts, np.concatenate(rows), np.concatenate(counts), np.concatenate(levels))
+        if last is not None:
+            parts, sizes = _parts_of(last)
+            ends = [k for k in range(ORDER + 1) if sizes[0] > k and (k < ORDER or held[k] >= least)]
+            yield _as_columns(parts, np.zeros(len(ends), int), np.array([held[k] for k in ends]), np.array(ends))
 
     return scan
 
 
-def _as_columns(found: list[tuple[bytes, int]]) -> pa.RecordBatch:
-    parts = [[*map(unescape, gram.split(SEP))] for gram, _ in found]
-    columns = [pa.array([p[k] if k < len(p) else None for p in parts], pa.binary()) for k in range(ORDER + 1)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in found], pa.int64())], names=[*PARTS, "n"])
+def _as_columns(parts: list[pa.Array], rows: np.ndarray, counts: np.ndarray, levels: np.ndarray) -> pa.RecordBatch:
+    columns = []
+    for k, part in enumerate(parts):
+        words = part.take(pa.array(rows, mask=levels < k))
+        columns.append(pa.array([w if w is None else unescape(w) for w in words.to_pylist()], pa.binary()))
+    return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*PARTS, "n"])
 
 
 PARTS = ["lang", *(f"w{k}" for k in range(1, ORDER + 1))]
 
 
+def _bounds(given: DataFrame, parts: int) -> list[bytes]:
+    """Keys that cut the stream into ``parts`` ranges of like numbers of rows, from the phrases of a bounded sample of
+    texts. They decide where a phrase is counted, never whether."""
+    rows = given.count()
+    if not rows or parts < 2:
+        return []
+    sample = given if rows <= SAMPLE_TEXTS else given.sample(SAMPLE_TEXTS / rows, 7)
+    grams = sample.mapInArrow(_count, "gram binary, n bigint").select("gram", F.xxhash64("gram").alias("h"))
+    chosen = sorted(bytes(r["gram"]) for r in grams.orderBy("h").limit(SAMPLE_KEYS).collect())
+    return sorted({chosen[len(chosen) * i // parts] for i in range(1, parts)}) if chosen else []
+
+
 def count_streams(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, w1, w2, w3, n): every phrase of one to three words with n >= ``least``, missing words NULL, and for each
     language a row without words whose n counts all its words."""
@@ -155,8 +203,10 @@ def count_streams(docs: DataFrame, least: int = LEAST) -> DataFrame:
     given = docs.select(
         F.coalesce("lang", F.lit(UNKNOWN)).cast("binary").alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
     )
-    runs = given.mapInArrow(_count, "gram binary, n bigint")
-    stream = runs.repartitionByRange("gram").sortWithinPartitions("gram")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = given.mapInArrow(_dealt(_bounds(given, parts)), "gram binary, n bigint, part int")
+    # every key has one range, so equal phrases meet; the ranges are in order, and so is each one after the sort
+    stream = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("gram").select("gram", "n")
     parts = stream.mapInArrow(_scanner(least), ", ".join(f"{p} binary" for p in PARTS) + ", n bigint")
     whole = parts.groupBy(*[F.col(p).cast("string").alias(p) for p in PARTS]).agg(F.sum("n").alias("n"))
     return whole.where((F.col("n") >= least) | F.col("w1").isNull())
@@ -217,6 +267,10 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside_per
     empty table, give no rows."""
     streams = stored(count_streams(docs, least), "streams")
     totals = streams.where("w1 IS NULL").select("lang", F.col("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = candidates(streams, inside_percent).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
+    best = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    rank = lambda *group: F.row_number().over(Window.partitionBy(*group).orderBy(*best)).cast("bigint")
+    # ranked in shares first, so that a language's last ranking takes no more rows however many phrases it has
+    share = F.pmod(F.xxhash64("phrase"), F.lit(RANK_SHARES))
+    first = candidates(streams, inside_percent).withColumn("share", share).withColumn("rank", rank("lang", "share")).where(F.col("rank") <= top)
+    ranked = first.withColumn("rank", rank("lang")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
