@@ -1,71 +1,181 @@
-"""Jobs beside the weather of their days."""
+"""Jobs beside the weather of their days.
+
+Summaries of a span are never laid out day by day. Each station's history is kept as a calendar of months that carries
+running sums, so a span's sums are the difference of two readings, at its last day and at the day before its first. For
+the strongest wind, every month knows the maximum of the 1, 2, 4, ... months that start with it, and a span's whole months
+are covered by two such stretches. A span of a century costs the same four lookups as one of a day.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grading import label, severity_of
-from ..functions.numeric import exact_avg
-from .climate import DAY, _count_if
+from ..session import stored
+from .climate import DAY
 
 SPAN = ["station_id", "start_date", "completion_date"]
 CARRIED = [
     "job_id", "lead_name", "address", "job_type", "concrete_type", "start_date", "completion_date",
     "job_duration_days", "final_revenue", "square_footage", "revenue_per_sqft", "sealer_coats",
 ]
+MONTH = "_month"
+
+
+def _month(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day) - 1
+
 
+def _first_of(month: Column) -> Column:
+    return F.make_date(F.floor(month / F.lit(12)).cast("int"), F.pmod(month, F.lit(12)) + 1, F.lit(1))
 
-def _span_days(spans: DataFrame) -> DataFrame:
-    """One row per calendar day of a span; reversed or open spans have none."""
-    bounded = spans.filter(F.col("completion_date") >= F.col("start_date"))
-    return bounded.withColumn(
-        DAY, F.explode(F.sequence("start_date", "completion_date", F.expr("interval 1 day")))
+
+def _bounds(daily: DataFrame) -> DataFrame:
+    """(station_id, first, last): the months between which a station has rows."""
+    return daily.groupBy("station_id").agg(F.min(_month(F.col(DAY))).alias("first"), F.max(_month(F.col(DAY))).alias("last"))
+
+
+def _measured() -> dict[str, Column]:
+    """What is summed over the days of a span, each as a column that is never NULL."""
+    rain = F.coalesce(F.col("precip_in"), F.lit(0).cast("decimal(5,2)"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
+    tenths = lambda c: F.coalesce(F.col(c), F.lit(0).cast("decimal(5,1)"))
+    pour = F.col("pour_score")
+    return {
+        "days": F.lit(1).cast("bigint"),
+        "highs": tenths("temp_max_f"), "n_highs": flag(F.col("temp_max_f").isNotNull()),
+        "lows": tenths("temp_min_f"), "n_lows": flag(F.col("temp_min_f").isNotNull()),
+        "rain": rain, "rainy": flag(rain > 0), "no_rain": flag(F.col("precip_in").isNull()),
+        "green": flag(pour == "green"), "yellow": flag(pour == "yellow"), "red": flag(pour == "red"),
+    }
+
+
+def month_calendar(daily: DataFrame) -> DataFrame:
+    """(station_id, month, entries, before, reach): a row for each month between a station's first and last, stored.
+
+    ``entries`` holds the month's days in order, each with its own weather and the sums of the month up to it;
+    ``before`` the sums of all earlier months; ``reach`` the strongest wind of the 1, 2, 4, ... months from here on. A
+    station has one row a day, so a month has 31 entries at most."""
+    named = _measured()
+    local = Window.partitionBy("station_id", MONTH).orderBy(DAY)
+    rows = daily.withColumn(MONTH, _month(F.col(DAY))).select(
+        "station_id", DAY, "temp_max_f", "precip_in", "wind_max_mph", "pour_score", MONTH,
+        *[F.sum(c).over(local).alias(f"_{n}") for n, c in named.items()],
+    )
+    entry = F.struct(
+        F.dayofmonth(DAY).alias("day"), "temp_max_f", "precip_in", "wind_max_mph", "pour_score",
+        F.struct(*[F.col(f"_{n}").alias(n) for n in named]).alias("sums"),
+    )
+    months = rows.groupBy("station_id", MONTH).agg(
+        F.array_sort(F.collect_list(entry)).alias("entries"), F.max("wind_max_mph").alias("wind"),
+    )
+    bounds = _bounds(daily)
+    longest = bounds.agg(F.max(F.col("last") - F.col("first") + 1)).first()[0] or 1
+    levels = int(longest).bit_length()
+    every = bounds.select("station_id", F.explode(F.sequence("first", "last")).alias(MONTH))
+    dense = every.join(months, ["station_id", MONTH], "left")
+    order = Window.partitionBy("station_id").orderBy(MONTH)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    total = F.get("entries", F.size("entries") - 1)["sums"]
+    types = dict(rows.select(*[f"_{n}" for n in named]).dtypes)
+    zero = lambda n: F.lit(0).cast(types[f"_{n}"])
+    out = dense.withColumn("_total", total)
+    sums = {n: F.coalesce(F.sum(F.coalesce(F.col(f"_total.{n}"), zero(n))).over(earlier), zero(n)).cast(types[f"_{n}"]) for n in named}
+    out = out.withColumn("before", F.struct(*[c.alias(n) for n, c in sums.items()])).drop("_total")
+    out = out.withColumn("_r0", F.col("wind"))
+    for level in range(1, levels):  # greatest() skips NULLs
+        half = F.col(f"_r{level - 1}")
+        out = out.withColumn(f"_r{level}", F.greatest(half, F.lead(half, 1 << (level - 1)).over(order)))
+    reach = F.array(*[F.col(f"_r{level}") for level in range(levels)])
+    return stored(out.select("station_id", F.col(MONTH).alias("month"), "entries", "before", reach.alias("reach")), "calendar")
+
+
+def _upto(entries: str, day: Column) -> Column:
+    """The sums of the month up to a day; NULL if it has no row until then."""
+    past = F.filter(entries, lambda e: e["day"] <= day)
+    return F.get(past, F.size(past) - 1)["sums"]
+
+
+def span_weather(spans: DataFrame, daily: DataFrame) -> DataFrame:
+    """Weather summary of distinct ``spans`` (station_id, start_date, completion_date) that have a day with weather;
+    open and reversed spans have none."""
+    named = list(_measured())
+    calendar = month_calendar(daily)
+    bounds = calendar.groupBy("station_id").agg(F.min("month").alias("first"), F.max("month").alias("last"))
+    closed = spans.filter(F.col("completion_date") >= F.col("start_date")).join(bounds, "station_id")
+    start, end = _month(F.col("start_date")), _month(F.col("completion_date"))
+    met = closed.filter((start <= F.col("last")) & (end >= F.col("first")))
+    placed = met.select(
+        *SPAN, F.greatest(start, "first").alias("m0"), F.least(end, "last").alias("m1"),
+        F.when(start >= F.col("first"), F.dayofmonth("start_date")).otherwise(1).alias("d0"),
+        F.when(end <= F.col("last"), F.dayofmonth("completion_date")).otherwise(31).alias("d1"),
+        (start >= F.col("first")).alias("opens"),
+    )
+
+    def at(rows: DataFrame, month: Column, columns: dict[str, str], how: str = "inner") -> DataFrame:
+        """Rows with columns of their station's calendar month."""
+        read = calendar.select(F.col("station_id").alias("_s"), F.col("month").alias("_m"), *[F.col(c).alias(n) for c, n in columns.items()])
+        return rows.join(read, (F.col("station_id") == F.col("_s")) & (month == F.col("_m")), how).drop("_s", "_m")
+
+    rows = at(placed, F.col("m0"), {"entries": "e0", "before": "b0"})
+    rows = at(rows, F.col("m1"), {"entries": "e1", "before": "b1"})
+    # the whole months between, as two stretches of one power of two that may overlap
+    between = F.col("m1") - F.col("m0") - 1
+    level = F.when(between > 0, F.floor(F.log2(F.greatest(between, F.lit(1)) + F.lit(0.5))).cast("int"))
+    rows = rows.withColumn("level", level)
+    inner = F.when(F.col("level").isNotNull(), F.col("m0") + 1)
+    outer = F.when(F.col("level").isNotNull(), F.col("m1") - F.call_function("shiftleft", F.lit(1), F.coalesce("level", F.lit(0))))
+    rows = at(rows.withColumn("_inner", inner), F.col("_inner"), {"reach": "r0"}, "left")
+    rows = at(rows.withColumn("_outer", outer), F.col("_outer"), {"reach": "r1"}, "left")
+    winds = lambda e, keep: F.array_max(F.transform(F.filter(e, keep), lambda x: x["wind_max_mph"]))
+    from_start = winds("e0", lambda x: (x["day"] >= F.col("d0")) & ((F.col("m0") < F.col("m1")) | (x["day"] <= F.col("d1"))))
+    to_end = winds("e1", lambda x: (x["day"] <= F.col("d1")) & ((F.col("m0") < F.col("m1")) | (x["day"] >= F.col("d0"))))
+    rows = rows.withColumns({"u0": _upto("e0", F.col("d0") - 1), "u1": _upto("e1", F.col("d1"))})
+    here = lambda c: F.coalesce(F.col(c), F.lit(0))
+    sums = {n: F.col(f"b1.{n}") + here(f"u1.{n}") - F.col(f"b0.{n}") - here(f"u0.{n}") for n in named}
+    first = F.get(F.filter("e0", lambda x: F.col("opens") & (x["day"] == F.col("d0"))), F.lit(0))
+    rows = rows.select(
+        *SPAN, *[c.alias(f"_{n}") for n, c in sums.items()], first.alias("_first"),
+        F.greatest(from_start, to_end, F.get("r0", F.col("level")), F.get("r1", F.col("level"))).alias("max_wind_mph"),
+    ).filter(F.col("_days") > 0)
+    average = lambda total, n: F.round(
+        F.col(f"_{total}").cast("decimal(15,1)") / F.nullif(F.col(f"_{n}").cast("bigint"), F.lit(0).cast("bigint")), 1
+    )
+    count = lambda n: F.col(f"_{n}").cast("bigint")
+    return rows.select(
+        *SPAN,
+        average("highs", "n_highs").alias("avg_high"),
+        average("lows", "n_lows").alias("avg_low"),
+        F.col("_rain").cast("decimal(15,2)").alias("total_precip_in"),
+        count("rainy").alias("rainy_days"),
+        count("no_rain").alias("missing_precip_days"),
+        count("green").alias("green_days"),
+        count("yellow").alias("yellow_days"),
+        count("red").alias("red_days"),
+        "max_wind_mph",
+        F.col("_first.temp_max_f").alias("pour_day_high"),
+        F.col("_first.precip_in").alias("pour_day_precip"),
+        F.col("_first.pour_score").alias("pour_day_score"),
     )
 
 
 def job_days(jobs: DataFrame, daily: DataFrame) -> DataFrame:
-    """Day-by-day weather of every staged job."""
+    """Day-by-day weather of every staged job. Spans are cut to the months their station has, so only days that may
+    have weather are laid out; reversed and open spans have none."""
     weather = daily.select(
         "station_id", DAY, "temp_max_f", "temp_min_f", "precip_in", "wind_max_mph", "pour_score", "sealer_score"
     )
-    return _span_days(jobs.select("job_id", *SPAN)).join(weather, ["station_id", DAY])
+    closed = jobs.select("job_id", *SPAN).filter(F.col("completion_date") >= F.col("start_date")).join(_bounds(daily), "station_id")
+    first = F.greatest("start_date", _first_of(F.col("first")))
+    last = F.least("completion_date", F.last_day(_first_of(F.col("last"))))
+    cut = closed.withColumn("_from", first).withColumn("_to", last).drop("first", "last").filter(F.col("_to") >= F.col("_from"))
+    laid = cut.withColumn(DAY, F.explode(F.sequence("_from", "_to", F.expr("interval 1 day")))).drop("_from", "_to")
+    return laid.join(weather, ["station_id", DAY])
 
 
 def job_weather(jobs: DataFrame, daily: DataFrame, stations: DataFrame) -> DataFrame:
-    """Weather summary per staged job.
-
-    Jobs that share station, start and completion share their weather, so the days are laid out and summed
-    once per distinct span and handed to the jobs afterwards.
-    """
-    rain = F.coalesce(F.col("precip_in"), F.lit(0).cast("decimal(5,2)"))
-    first_day = lambda name: F.max(F.when(F.col(DAY) == F.col("start_date"), F.col(name)))
-    pour = F.col("pour_score")
+    """Weather summary per staged job. Jobs that share station, start and completion share their weather, which is read
+    once."""
     spans = jobs.select(*SPAN).filter(F.col("station_id").isNotNull()).distinct()
-    weather = daily.select(
-        "station_id", DAY, "temp_max_f", "temp_min_f", "precip_in", "wind_max_mph", "pour_score"
-    )
-    summary = (
-        _span_days(spans)
-        .join(weather, ["station_id", DAY])
-        .groupBy(*SPAN)
-        .agg(
-            exact_avg(F.col("temp_max_f"), 1).alias("avg_high"),
-            exact_avg(F.col("temp_min_f"), 1).alias("avg_low"),
-            F.sum(rain).alias("total_precip_in"),
-            _count_if(rain > 0).alias("rainy_days"),
-            _count_if(F.col("precip_in").isNull()).alias("missing_precip_days"),
-            _count_if(pour == "green").alias("green_days"),
-            _count_if(pour == "yellow").alias("yellow_days"),
-            _count_if(pour == "red").alias("red_days"),
-            F.max("wind_max_mph").alias("max_wind_mph"),
-            first_day("temp_max_f").alias("pour_day_high"),
-            first_day("precip_in").alias("pour_day_precip"),
-            # a number keeps the aggregation a hash aggregation; a station has one row per day
-            F.max(F.when(F.col(DAY) == F.col("start_date"), severity_of(pour))).alias("_start"),
-        )
-        .withColumn("pour_day_score", label(F.col("_start")))
-        .drop("_start")
-    )
     names = stations.select("station_id", F.col("name").alias("station_name"))
-    return jobs.select("station_id", *CARRIED).join(summary, SPAN).join(names, "station_id")
+    return jobs.select("station_id", *CARRIED).join(span_weather(spans, daily), SPAN).join(names, "station_id")

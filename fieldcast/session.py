@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,6 +42,34 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once to the scratch folder and read again: evaluated once, and lost executors cost nothing
+    that came before. ``clear_scratch`` removes them."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    _SCRATCH.append((spark.sparkContext.applicationId, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_SCRATCH: list[tuple[str, str]] = []
+
+
+def scratch_mark() -> int:
+    """A place in the list of stored tables, for ``clear_scratch``."""
+    return len(_SCRATCH)
+
+
+def clear_scratch(spark: SparkSession, mark: int = 0) -> None:
+    """Deletes the tables that this application has stored since ``mark``. Call it when no frame that reads them is
+    needed any more, as streaming jobs do after each micro-batch."""
+    own = spark.sparkContext.applicationId
+    for app, path in _SCRATCH[mark:]:
+        if app == own:
+            remove_path(spark, path)
+    _SCRATCH[mark:] = [x for x in _SCRATCH[mark:] if x[0] != own]
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

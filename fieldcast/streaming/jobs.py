@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import rules as R
 from ..functions.times import seconds_since_1970
 from ..operators.hours import wall_clock
+from ..session import clear_scratch, remove_path, scratch_mark
 from ..sinks.tables import last_known, latest_rows
 from .alerts import dedup_batch, still_held
 from .changes import changes_batch, last_verdicts
@@ -24,6 +25,7 @@ WEATHER_POLL = "15 minutes"
 ALERT_POLL = "5 minutes"
 KEPT_MESSAGES = {"weather": 1000, "alerts": 100}
 TAIL_FILES = 10
+KEPT_VERSIONS = 2
 
 
 def tail(spark: SparkSession, path: str, schema, files_per_batch: int = TAIL_FILES) -> DataFrame:
@@ -50,28 +52,37 @@ def write_files(
 
 
 def _stepwise(
-    stream: DataFrame, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame | None, DataFrame]],
+    stream: DataFrame, step: Callable[[DataFrame, DataFrame | None, Callable[[DataFrame], DataFrame]], DataFrame],
     state: str, checkpoint: str, poll: str | None, out: str | None = None,
 ) -> StreamingQuery:
-    """Runs ``step(batch, state before) -> (output, state after)`` on every micro-batch.
+    """Runs ``step(batch, state before, put) -> state after`` on every micro-batch. ``put`` writes the batch's output
+    and gives it back as stored, so that the state can be taken from it without evaluating it again.
 
     Output and state go to a folder named after the batch and are overwritten, so a batch that is run again after
-    a failure leaves the same files: the result is exactly-once.
+    a failure leaves the same files: the result is exactly-once. Two versions of the state are kept.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        mark = scratch_mark()
         batch.persist()
         try:
             before = None
             if batch_id:
                 before = spark.read.parquet(f"{state}/version={batch_id - 1}")
-            output, after = step(batch, before)
-            if output is not None:
-                output.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-            after.write.mode("overwrite").parquet(f"{state}/version={batch_id}")
+
+            def put(output: DataFrame) -> DataFrame:
+                path = f"{out}/batch={batch_id}"
+                output.write.mode("overwrite").parquet(path)
+                return spark.read.schema(output.schema).parquet(path)
+
+            step(batch, before, put).write.mode("overwrite").parquet(f"{state}/version={batch_id}")
         finally:
             batch.unpersist()
+            clear_scratch(spark, mark)
+        # a batch is run again from the version before it; older ones are of no use
+        if batch_id >= KEPT_VERSIONS:
+            remove_path(spark, f"{state}/version={batch_id - KEPT_VERSIONS}")
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": poll} if poll else {"availableNow": True}
@@ -83,9 +94,9 @@ def write_last_known(
 ) -> StreamingQuery:
     """Keeps one row per station with its latest reading, a new version with every batch."""
 
-    def step(batch: DataFrame, before: DataFrame | None):
+    def step(batch: DataFrame, before: DataFrame | None, put):
         latest = last_known(batch, fields)
-        return None, latest if before is None else last_known(before.unionByName(latest), fields)
+        return latest if before is None else last_known(before.unionByName(latest), fields)
 
     return _stepwise(stream, step, path, checkpoint, poll)
 
@@ -96,8 +107,9 @@ def write_changes(
     """Verdict changes per micro-batch with the batch operator, carried on by one verdict per station. A station
     with very many readings is split like any other."""
 
-    def step(batch: DataFrame, before: DataFrame | None):
-        return changes_batch(batch, verdicts_before=before), last_verdicts(batch, before)
+    def step(batch: DataFrame, before: DataFrame | None, put):
+        put(changes_batch(batch, verdicts_before=before))
+        return last_verdicts(batch, before)
 
     return _stepwise(scored, step, state, checkpoint, poll, out)
 
@@ -108,10 +120,10 @@ def write_published(
 ) -> StreamingQuery:
     """De-duplicated alerts per micro-batch, carried on by the publications of the last TTL."""
 
-    def step(batch: DataFrame, before: DataFrame | None):
-        published = dedup_batch(batch, ttl, before)
+    def step(batch: DataFrame, before: DataFrame | None, put):
+        published = put(dedup_batch(batch, ttl, before))
         now = batch.agg(F.max(seconds_since_1970(batch, "ts")).alias("now"))
-        return published, still_held(published, before, now, ttl)
+        return still_held(published, before, now, ttl)
 
     return _stepwise(alerts, step, state, checkpoint, poll, out)
 

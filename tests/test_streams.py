@@ -97,6 +97,46 @@ def test_dedup_equals_a_loop(spark, repeats):
     assert got == loop(arrivals, 60)
 
 
+@pytest.mark.parametrize("ttl,fan,seeded", [(40, 2, False), (7, 3, True), (150, 2, True)])
+def test_publications_equal_a_loop_at_every_depth(spark, ttl, fan, seeded):
+    rnd = random.Random(ttl)
+    keys = sorted({("" if k % 2 else f"id{rnd.randrange(6)}", rnd.randrange(-50, 400)) for k in range(600)})
+    before = {"": -55, "id1": 40, "gone": 3} if seeded else {}
+    state = spark.createDataFrame(list(before.items()), "alert_id string, last_published long") if seeded else None
+    got = A.publications(spark.createDataFrame(keys, "alert_id string, arrived long"), ttl, state, fan).collect()
+    want, seen = [], dict(before)
+    for i, t in sorted(keys, key=lambda k: k[1]):
+        if i not in seen or t - seen[i] >= ttl:
+            seen[i] = t
+            want.append((i, t))
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_an_id_with_half_of_all_rows_is_spread(spark):
+    """Half of the alerts share one id for 400 days: no stretch of it, and so no task, holds an eighth of the rows."""
+    day = 86_400
+    hot = spark.range(60_000).select(F.lit("hot").alias("alert_id"), (F.col("id") * (400 * day // 60_000)).alias("arrived"))
+    cold = spark.range(60_000).select(F.concat(F.lit("id"), (F.col("id") % 5_000).cast("string")).alias("alert_id"), (F.col("id") * 577 % (400 * day)).alias("arrived"))
+    keys = hot.unionByName(cold).distinct()
+    group = F.floor(F.col("arrived") / (A.R.ALERT_TTL_SECONDS * A.FAN))
+    spread = A._spread(keys.withColumn("g", group), "g", "arrived").repartition(64, "alert_id", "g")
+    most = spread.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+    assert most <= keys.count() / 8
+    published = A.publications(keys).filter("alert_id = 'hot'").orderBy("arrived").collect()
+    seconds = [r.arrived for r in hot.orderBy("arrived").collect()]
+    want, last = [], None
+    for t in seconds:
+        if last is None or t - last >= day:
+            want.append(t)
+            last = t
+    assert [r.arrived for r in published] == want
+
+
+def test_no_alerts_publish_nothing(spark):
+    none = spark.createDataFrame([], "alert_id string, arrived long")
+    assert A.publications(none).collect() == []
+
+
 def test_dedup_stream_equals_a_loop(spark, repeats):
     df, arrivals = repeats
     path, schema = landed(df, "alerts", 6, 1)
