@@ -42,7 +42,7 @@ RANK_SHARES = 64
 BITS = 21
 #: Texts, and distinct phrases of theirs, that the ranges of the stream are cut by, at most (about).
 SAMPLE_TEXTS = 4_000
-SAMPLE_KEYS = 50_000
+SAMPLE_KEYS = 32_000
 #: Stands between the parts of a stream key. It sorts before every word byte, for words are escaped.
 SEP = b"\x00"
 BREAK = b"."
@@ -190,7 +190,9 @@ def _bounds(given: DataFrame, parts: int) -> list[bytes]:
         return []
     sample = given if rows <= SAMPLE_TEXTS else given.sample(SAMPLE_TEXTS / rows, 7)
     grams = sample.mapInArrow(_count, "gram binary, n bigint").select("gram", F.xxhash64("gram").alias("h"))
-    chosen = sorted(bytes(r["gram"]) for r in grams.orderBy("h").limit(SAMPLE_KEYS).collect())
+    # the least hashes of each share: tasks and the driver take no more than SAMPLE_KEYS keys, however long texts are
+    place = F.row_number().over(Window.partitionBy(F.pmod("h", F.lit(RANK_SHARES))).orderBy("h"))
+    chosen = sorted(bytes(r["gram"]) for r in grams.withColumn("k", place).where(F.col("k") <= SAMPLE_KEYS // RANK_SHARES).select("gram").collect())
     return sorted({chosen[len(chosen) * i // parts] for i in range(1, parts)}) if chosen else []
 
 
