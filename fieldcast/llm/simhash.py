@@ -109,14 +109,15 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest doc_id, once if it is repeated.
 
-    Different texts may share a doc_id: in one component the text with the smaller digest stays, in two components one
-    text of each. Rows without a doc_id cannot be named as a group's survivor and all stay."""
+    Rows without a doc_id come last: such a row stays only if its component has none with an id. Different texts may
+    share a doc_id, or have none: in one component the text with the smallest digest stays, in two components one text of
+    each."""
     columns = docs.columns
     digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    named = docs.where("doc_id IS NOT NULL").withColumn("_digest", digest)
     rows = stored(fingerprints(docs, digest=digest), "fingerprints")
-    least = _labelled(rows, radius)
-    survivors = rows.join(least, "fp").where("doc_id = component_id").groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("one"))
-    survivors = survivors.select("one.doc_id", F.col("one.digest").alias("_digest"))
-    once = named.join(survivors, ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return once.select(*columns).unionByName(docs.where("doc_id IS NULL"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    survivors = rows.join(_labelled(rows, radius), "fp").groupBy("label").agg(F.min(order).alias("one"))
+    survivors = survivors.select(F.col("one.doc_id").alias("_doc_id"), F.col("one.digest").alias("_kept"))
+    marked = docs.withColumn("_digest", digest)
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_digest") == F.col("_kept"))
+    return marked.join(survivors, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).select(*columns)
