@@ -23,6 +23,9 @@ ORDERS = (1, 2, 3)
 TRAIN_ROWS = 8_000
 SMOOTHING = 0.5
 UNKNOWN = "und"
+#: Share of a language's texts below which its floor is measured, and n-grams that a text needs to be measured.
+LOW = 0.005
+LEAST_GRAMS = 200
 SLICE = 1 << 18
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,24 +59,64 @@ class Model:
     def __init__(self, languages: list[str], logs: np.ndarray) -> None:
         self.languages, self.logs = languages, logs
 
-    def score(self, text: str) -> tuple[str, float]:
-        """Most probable language and its posterior with equal priors."""
+    def totals(self, text: str) -> tuple[np.ndarray, int]:
+        """Log likelihood of a text in each language, and its number of n-grams."""
         found = buckets(text)
         total = np.zeros(len(self.languages))
         for at in range(0, len(found), SLICE):
             total += self.logs[found[at : at + SLICE]].sum(axis=0, dtype=np.float64)
+        return total, len(found)
+
+    def score(self, text: str) -> tuple[str, float]:
+        """Most probable language and its posterior with equal priors."""
+        total, _ = self.totals(text)
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
+    def fits(self, text: str | None, least_score: float, floors: np.ndarray) -> bool:
+        """Whether a text has a letter, one language that stands out, and is as likely in it, per n-gram, as texts of
+        that language are."""
+        if text is None or not any(map(str.isalpha, text)):
+            return False
+        total, n = self.totals(text)
+        best = int(np.argmax(total))
+        return bool(1 / np.exp(total - total[best]).sum() >= least_score and total[best] / n >= floors[best])
 
-def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
-    """Model from at most ``train_rows`` documents with text and lang whose fold is not 0; None if there are none."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    bound_batches(spark)
+
+def _learnt(docs: DataFrame, train_rows: int) -> DataFrame:
+    """(lang, text) of at most ``train_rows`` doc_ids whose fold is not 0."""
     usable = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").where(fold(F.col("doc_id")) != 0)
     chosen = bounded_sample(usable.select("doc_id", "lang"), "doc_id", train_rows).select("doc_id").distinct()
-    learnt = usable.join(chosen, "doc_id", "left_semi").select("lang", "text")
+    return usable.join(chosen, "doc_id", "left_semi").select("lang", "text")
+
+
+def floors(docs: DataFrame, model: Model, train_rows: int = TRAIN_ROWS) -> np.ndarray:
+    """For each language the least log likelihood per n-gram that a text may have. It lies as far below the low quantile
+    of the texts that were learnt from as that lies below their median, so clean texts of other shapes pass as well."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        place = {x: i for i, x in enumerate(model.languages)}
+        for rows in batches:
+            mean = []
+            for lang, text in zip(rows["lang"], rows["text"], strict=True):
+                total, n = model.totals(text)
+                mean.append(total[place[lang]] / n if n >= LEAST_GRAMS else None)
+            yield pd.DataFrame({"lang": rows["lang"], "mean": mean}).dropna()
+
+    scored = _learnt(docs, train_rows).mapInPandas(run, "lang string, mean double")
+    # at most two figures per language that the model holds
+    found = scored.groupBy("lang").agg(F.percentile("mean", F.lit(LOW)).alias("low"), F.median("mean").alias("middle")).collect()
+    least = {r["lang"]: 2 * r["low"] - r["middle"] for r in found}
+    return np.array([least.get(x, -np.inf) for x in model.languages])
+
+
+def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
+    """Model from at most ``train_rows`` documents with text and lang whose fold is not 0; None if there are none."""
+    ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
+    learnt = _learnt(docs, train_rows)
     counts = (
         learnt.mapInPandas(_counted, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     )
@@ -119,8 +162,18 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def keep(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with at least ``least_score``."""
-    own = "_language_"
+    """The rows of ``docs`` whose text is in a language that was learnt: one that stands out with ``least_score``, and in
+    which the text is not far less likely, per n-gram, than the language's own texts. Foreign scripts and strings of
+    random letters fail that; texts that are NULL or have no letter are dropped, and so is everything if nothing could be
+    learnt. Repeated rows are judged alike, an empty table gives none."""
     model = fit(docs)
-    passed = predict(docs, model, own).where((F.col(f"{own}lang_pred") != UNKNOWN) & (F.col(f"{own}score") >= least_score))
-    return passed.select(*docs.columns)
+    if model is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast((model, floors(docs, model)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, least = shared.value
+        for rows in batches:
+            yield rows[[model.fits(t, least_score, least) for t in rows["text"]]]
+
+    return docs.mapInPandas(run, docs.schema)

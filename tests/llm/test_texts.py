@@ -1,6 +1,7 @@
 """Chat rotation, toxicity, licences, quality, URLs, languages and the pipeline."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -102,6 +103,18 @@ def test_language_held_out_and_odd(spark, odd_docs, no_docs):
     assert langid.keep(odd_docs).columns == odd_docs.columns
 
 
+def test_language_stage_rejects_what_was_not_learnt(spark):
+    rnd = random.Random(8)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    russian = " ".join("".join(rnd.choices("абвгдежзиклмнопрстуфхцчшыэюя", k=rnd.randrange(2, 9))) for _ in range(80))
+    kana = "".join(rnd.choices("あいうえおかきくけこさしすせそ", k=300))
+    noise = " ".join("".join(rnd.choices("bcdfghjklmnpqrstvwxz", k=rnd.randrange(3, 10))) for _ in range(80))
+    odd = spark.createDataFrame([(-1, russian, None), (-2, kana, None), (-3, noise, None), (-4, russian + " " + noise, "en")], docs.schema)
+    kept = [r["doc_id"] for r in langid.keep(docs.unionByName(odd)).select("doc_id").collect()]
+    clean = docs.where("length(text) > 200").count()
+    assert not {-1, -2, -3, -4} & set(kept) and len(kept) > 0.98 * clean
+
+
 def test_naive_bayes_equals_the_sum_of_logs():
     model = langid.Model(["a", "b"], np.log(np.random.default_rng(0).random((langid.BUCKETS, 2))).astype(np.float32))
     text = "Grüße " * 200
