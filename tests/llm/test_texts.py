@@ -109,7 +109,7 @@ def test_language_stage_rejects_what_was_not_learnt(spark):
     russian = " ".join("".join(rnd.choices("абвгдежзиклмнопрстуфхцчшыэюя", k=rnd.randrange(2, 9))) for _ in range(80))
     kana = "".join(rnd.choices("あいうえおかきくけこさしすせそ", k=300))
     noise = " ".join("".join(rnd.choices("bcdfghjklmnpqrstvwxz", k=rnd.randrange(3, 10))) for _ in range(80))
-    odd = spark.createDataFrame([(-1, russian, None), (-2, kana, None), (-3, noise, None), (-4, russian + " " + noise, "en")], docs.schema)
+    odd = spark.createDataFrame([(-1, russian, None), (-2, kana, None), (-3, noise, None), (-4, russian + " " + noise, None)], docs.schema)
     kept = [r["doc_id"] for r in langid.keep(docs.unionByName(odd)).select("doc_id").collect()]
     clean = docs.where("length(text) > 200").count()
     assert not {-1, -2, -3, -4} & set(kept) and len(kept) > 0.98 * clean
