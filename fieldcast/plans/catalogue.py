@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.grading import factor_text
-from ..operators import climate, cure, daily as day_ops, hours, jobs as job_ops, model, pairs, quality, reasons, sealer
+from ..operators import answers, climate, cure, daily as day_ops, hours, jobs as job_ops, model, pairs, quality, reasons, sealer
 from ..schemas import HOURLY_FIELDS
 from ..session import scratch_dir
 from ..sinks import tables
@@ -437,12 +437,28 @@ def live_updates(spark, sf):
 
 @query
 def live_alerts(spark, sf):
-    return alert_stream.live_alerts(alert_stream.dedup_batch(D.alerts(spark, sf)))
+    return alert_stream.live_alerts(alert_stream.dedup_batch(D.alerts(spark, sf))).drop("seq")
 
 
 @query
 def weather_log(spark, sf):
-    return change_stream.weather_messages(change_stream.changes_batch(_scored_readings(spark, sf)))
+    return change_stream.weather_messages(change_stream.changes_batch(change_stream.score_readings(D.readings(spark, sf))))
+
+
+@query
+def bounded_log(spark, sf):
+    """The log of alerts after four micro-batches, the last two of them behind a restart."""
+    path, schema = landed(D.alerts(spark, sf), "log-in", 4, 1)
+    run = scratch_dir(spark, "log-run")
+    for _ in range(2):
+        stream = streams.tail(spark, path, schema, 2).select("ts", "seq", "alert_id", "event")
+        job = streams.write_bounded_log(stream, "alerts", f"{run}/log", f"{run}/progress")
+        job.awaitTermination()
+        if job.exception():
+            raise job.exception()
+        landed_again = D.alerts(spark, sf).withColumns({"seq": F.col("seq") + 10_000_000, "ts": F.col("ts") - F.expr("INTERVAL 36 HOURS")})
+        landed_again.repartition(2).write.mode("append").parquet(path)
+    return flat(streams.bounded_log(spark, f"{run}/log"))
 
 
 @query
@@ -483,10 +499,50 @@ def keep_latest_n(spark, sf):
 def stream_health(spark, sf):
     changed = change_stream.changes_batch(_scored_readings(spark, sf))
     logs = {
-        "weather": change_stream.live_updates(changed),
-        "alerts": alert_stream.live_alerts(alert_stream.dedup_batch(D.alerts(spark, sf))),
+        "weather": streams.trim_log(change_stream.live_updates(changed), "weather"),
+        "alerts": streams.trim_log(alert_stream.live_alerts(alert_stream.dedup_batch(D.alerts(spark, sf))), "alerts"),
     }
-    return flat(streams.stream_health(logs).drop("last_payload"))
+    return flat(streams.stream_health(logs))
+
+
+def _feeds(spark, sf):
+    """What was fetched around AS_OF, and when: sites fetch at different moments, some feeds of some sites never. Each
+    forecast was fetched once before, without temperatures; the alerts of a site are those of the day, for one in three."""
+    hourly = D.hourly(spark, sf)
+    number = F.substring("station_id", 2, 10).cast("bigint")
+    seen = hourly.select("station_id", number.alias("k")).distinct()
+    ago = lambda minutes: hours.wall_clock(D.AS_OF) - F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))
+    k = F.col("k")
+    feed = lambda name, rows, minutes: rows.select("station_id", F.lit(name).alias("feed"), ago(minutes).alias("fetched_at"))
+    forecast = seen.filter(k % 13 != 0)
+    fetches = feed("forecast", forecast, k % 5 * 20).unionByName(feed("forecast", forecast, k % 5 * 20 + 180))
+    fetches = fetches.unionByName(feed("history", seen, k % 4 * 10)).unionByName(feed("alerts", seen.filter(k % 7 != 0), k % 4 * 2))
+    fetches = fetches.unionByName(feed("forecast", forecast, F.lit(-30)))  # later than AS_OF: not known yet
+    rows = hourly.join(fetches.filter("feed = 'forecast'").drop("feed"), "station_id")
+    old = F.col("fetched_at") < ago(number % 5 * 20)
+    rows = rows.withColumn("temp_f", F.when(~old, F.col("temp_f")))
+    warned = documents.relevant_alerts(D.alerts(spark, sf)).filter(F.col("ts").cast("date") == F.lit(D.AS_OF.date()))
+    site = F.regexp_extract("areas", "([0-9]+)", 1).cast("bigint")
+    warned = warned.select(D.station_key(site).alias("station_id"), site.alias("k"), "seq", "event", "severity_rank").filter(k % 3 == 0)
+    warned = warned.withColumn("fetched_at", ago(k % 4 * 2)).drop("k")
+    return fetches, rows, warned
+
+
+@query
+def forecast_answer(spark, sf):
+    fetches, rows, warned = _feeds(spark, sf)
+    return flat(answers.forecast_answers(D.stations(spark, sf), fetches, rows, warned, D.AS_OF))
+
+
+@query
+def cure_answer(spark, sf):
+    """The curing decision with its freshness, over the newest forecast of each listed site."""
+    fetches, rows, _ = _feeds(spark, sf)
+    fresh = answers.freshness(fetches, D.AS_OF)
+    sites = D.stations(spark, sf)
+    newest = answers.newest_rows(rows, fresh, "forecast").drop("fetched_at").join(sites.select("station_id"), "station_id", "left_semi")
+    decided = cure.cure_check(newest, D.AS_OF, sites).select("station_id", "hours", "score", "verdict")
+    return flat(answers.with_freshness(decided, sites, fresh, ["forecast", "history"]))
 
 
 @query

@@ -13,11 +13,28 @@ def _permissive(text: Column, schema) -> Column:
     return F.from_json(text, schema, {"mode": "PERMISSIVE"})
 
 
-def _opened_hours(documents: DataFrame, text: str) -> tuple[list[str], DataFrame]:
+BAD = "_corrupt_record"
+#: Measures are read as text, so that one wrong value is one wrong value and not a lost document.
+HOURLY_TEXT = f"struct<{BAD}:string,hourly:struct<time:array<string>," + ",".join(f"{f}:array<string>" for f in S.HOURLY_FIELDS.values()) + ">>"
+
+
+def _hourly(documents: DataFrame, text: str) -> tuple[list[str], DataFrame]:
+    """The documents with their parsed form and whether it can be read: JSON of the expected shape with a list of hours."""
     kept = [c for c in documents.columns if c != text]
-    return kept, documents.select(*kept, _permissive(F.col(text), S.HOURLY_DOCUMENT)["hourly"].alias("h")).select(
-        *kept, "h", F.posexplode("h.time").alias("_pos", "_time")
-    )
+    parsed = F.from_json(F.col(text), HOURLY_TEXT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    whole = F.col(f"_d.{BAD}").isNull() & F.col("_d.hourly.time").isNotNull()
+    return kept, documents.select("*", parsed.alias("_d")).withColumn("_whole", F.coalesce(whole, F.lit(False)))
+
+
+def _opened_hours(documents: DataFrame, text: str) -> tuple[list[str], DataFrame]:
+    """A row per hour of the readable documents: its place, its text, its measures as text, and whether all can be read."""
+    kept, parsed = _hourly(documents, text)
+    hours = parsed.filter("_whole").select(*kept, F.col("_d.hourly").alias("h"), F.posexplode("_d.hourly.time").alias("_pos", "_time"))
+    values = {n: F.get(F.col(f"h.{f}"), F.col("_pos")) for n, f in S.HOURLY_FIELDS.items()}
+    right = _hour_time().isNotNull()
+    for v in values.values():
+        right = right & (v.isNull() | v.try_cast("double").isNotNull())
+    return kept, hours.select(*kept, "_pos", "_time", *[v.try_cast("double").alias(n) for n, v in values.items()], right.alias("_right"))
 
 
 def _hour_time() -> Column:
@@ -27,30 +44,23 @@ def _hour_time() -> Column:
 
 
 def unreadable(documents: DataFrame, text: str = "payload") -> DataFrame:
-    """Quarantine of forecast documents: a row per document that is no JSON (``position`` NULL, its text) and per
-    hour whose text is no time (its place and text), with the other columns of ``documents``."""
-    readable, broken = split_bad_documents(documents, S.HOURLY_DOCUMENT, text)
-    kept, opened = _opened_hours(readable, text)
-    hours = opened.filter(_hour_time().isNull()).select(*kept, F.col("_pos").alias("position"), F.col("_time").alias("content"))
-    whole = broken.select(*kept, F.lit(None).cast("int").alias("position"), F.col(text).alias("content"))
-    return whole.unionByName(hours)
+    """Quarantine of forecast documents: a row per document that is no JSON of the expected shape (``position`` NULL, its
+    text) and per hour whose text is no time or that has a measure which is no number (its place and text), with the
+    other columns of ``documents``. What is here is not in ``forecast_hours``, and the other way round."""
+    kept, opened = _opened_hours(documents, text)
+    hours = opened.filter("NOT _right").select(*kept, F.col("_pos").alias("position"), F.col("_time").alias("content"))
+    broken = _hourly(documents, text)[1].filter("NOT _whole")
+    return broken.select(*kept, F.lit(None).cast("int").alias("position"), F.col(text).alias("content")).unionByName(hours)
 
 
 def forecast_hours(documents: DataFrame, text: str = "payload") -> DataFrame:
     """Parallel arrays of a document to one row per hour. A field the document lacks gives NULLs.
 
-    Every other column of ``documents`` (site, fetch time) is kept. Hours whose text is no time, and documents that are
-    no JSON, do not stop the others: ``unreadable`` lists them.
+    Every other column of ``documents`` (site, fetch time) is kept. Hours that cannot be read, and documents that
+    cannot, do not stop the others: ``unreadable`` lists them.
     """
     kept, opened = _opened_hours(documents, text)
-    opened = opened.filter(_hour_time().isNotNull())
-    measures = [F.get(F.col(f"h.{field}"), F.col("_pos")).alias(name) for name, field in S.HOURLY_FIELDS.items()]
-    return opened.select(
-        *kept,
-        _hour_time().alias("time"),
-        F.hour(_hour_time()).alias("hour"),
-        *measures,
-    )
+    return opened.filter("_right").select(*kept, _hour_time().alias("time"), F.hour(_hour_time()).alias("hour"), *S.HOURLY_FIELDS)
 
 
 def history_hours(documents: DataFrame, text: str = "payload") -> DataFrame:

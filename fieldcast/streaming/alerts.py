@@ -262,4 +262,4 @@ def live_alerts(alerts: DataFrame) -> DataFrame:
         F.lit("nws_alert").alias("type"),
         *[text(c) for c in ("event", "headline", "severity", "areas", "onset", "expires")],
     )
-    return alerts.select("alert_id", "ts", F.to_json(payload).alias("payload"))
+    return alerts.select("alert_id", "ts", "seq", F.to_json(payload).alias("payload"))

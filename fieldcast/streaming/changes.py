@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import seconds_since_1970
@@ -14,6 +14,7 @@ from ..operators.ordered import BLOCK_ROWS, ROW, block_window, blocks, core_rows
 from ..session import ship_package
 
 STATE = "last string"
+MESSAGE_FACTORS = ["temperature", "humidity", "wind", "precipitation", "dewpoint", "data"]
 READINGS = ["temp_f", "humidity_pct", "wind_mph", "wind_gust_mph", "dewpoint_f", "cloud_cover_pct", "precip_in"]
 
 
@@ -92,10 +93,18 @@ def weather_messages(changes: DataFrame) -> DataFrame:
         seconds_since_1970(changes, "ts").cast("string").alias("timestamp"),
         *[text(c) for c in READINGS],
         text("pour_score"),
+        factor_json(F.col("pour_factors")).alias("pour_factors"),
         F.when(F.col("score_changed"), "1").otherwise("0").alias("score_changed"),
     )
 
 
+def factor_json(factors: Column) -> Column:
+    """Factors and their grades as a JSON object in the order in which they are graded; ``{}`` if there are none."""
+    named = F.filter(F.lit(list(MESSAGE_FACTORS)), lambda n: F.coalesce(F.map_contains_key(factors, n), F.lit(False)))
+    pairs = F.transform(named, lambda n: F.concat(F.lit('"'), n, F.lit('": "'), F.element_at(factors, n), F.lit('"')))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
+
 def live_updates(changes: DataFrame) -> DataFrame:
     """Typed payloads for subscribers."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
@@ -107,4 +116,4 @@ def live_updates(changes: DataFrame) -> DataFrame:
         text("pour_score"),
         "score_changed",
     )
-    return changes.select("station_id", "ts", F.to_json(payload).alias("payload"))
+    return changes.select("station_id", "ts", "seq", F.to_json(payload).alias("payload"))

@@ -128,21 +128,40 @@ def write_published(
     return _stepwise(alerts, step, state, checkpoint, poll, out)
 
 
-def trim_log(messages: DataFrame, stream: str, per_station: bool = True) -> DataFrame:
-    """The messages a bounded log keeps: the newest N of each station, or of the whole stream."""
+def trim_log(messages: DataFrame, stream: str, per_station: bool = False) -> DataFrame:
+    """The messages a bounded log keeps: the newest N of the whole stream, or of each station."""
     order = [F.col("ts").desc(), F.col("seq").desc()]
     return latest_rows(messages, KEPT_MESSAGES[stream], order, ["station_id"] if per_station else None)
 
 
+def write_bounded_log(stream: DataFrame, name: str, path: str, checkpoint: str, poll: str | None = None) -> StreamingQuery:
+    """Keeps the newest N messages (columns ts, seq, anything else) of a stream. A micro-batch is cut to N where it lies
+    and meets the N that the log held before; each batch leaves a new version, so a restart carries on from the last one
+    that was finished. ``bounded_log`` reads it."""
+
+    def step(batch: DataFrame, before: DataFrame | None, put):
+        newest = trim_log(batch, name)
+        return newest if before is None else trim_log(before.unionByName(newest), name)
+
+    return _stepwise(stream, step, path, checkpoint, poll)
+
+
+def bounded_log(spark: SparkSession, path: str) -> DataFrame:
+    """The messages that a log holds now: its newest version."""
+    versions = spark.read.option("recursiveFileLookup", "false").parquet(path)
+    last = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == last).drop("version")
+
+
 def stream_health(logs: dict[str, DataFrame]) -> DataFrame:
-    """Entries and latest message time and text per log."""
+    """Entries and latest message time and text per log (ts, seq, payload)."""
     rows = None
     for name, log in logs.items():
         one = log.agg(
             F.lit(name).alias("stream"),
             F.count(F.lit(1)).alias("entries"),
             F.max("ts").alias("last_ts"),
-            F.max_by("payload", F.struct("ts", "payload")).alias("last_payload"),
+            F.max_by("payload", F.struct("ts", "seq")).alias("last_payload"),
         )
         rows = one if rows is None else rows.unionByName(one)
     return rows

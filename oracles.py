@@ -656,10 +656,15 @@ SQL["tail_streams"] = (
     "select ts, payload, 'weather' as stream from (" + SQL["live_updates"] + ") union all "
     "select ts, payload, 'alerts' as stream from (" + SQL["live_alerts"] + ")"
 )
+FACTOR_JSON = (
+    "'{' || array_to_string(list_filter(["
+    + ", ".join(f"""'"{n}": "' || ({label('f_' + n)}) || '"'""" for n in ("temperature", "humidity", "wind", "precipitation", "dewpoint", "data"))
+    + "], lambda x: x is not null), ', ') || '}'"
+)
 SQL["weather_log"] = sql(
     "select station_id as station, 'site ' || site as station_name, cast(cast(floor(epoch(ts)) as bigint) as varchar) as timestamp, "
     + ", ".join(f"{T(x)} as {n}" for n, x in READING.items())
-    + f", verdict as pour_score, case when {CHANGED} then '1' else '0' end as score_changed from live",
+    + f", verdict as pour_score, {FACTOR_JSON} as pour_factors, case when {CHANGED} then '1' else '0' end as score_changed from live",
     LIVE,
 )
 SQL["current_conditions"] = sql(
@@ -673,10 +678,49 @@ SQL["keep_latest_n"] = sql(
     f"""select station_id, ts, seq, {label('sev')} as pour_score from
         (select *, row_number() over (partition by station_id order by ts desc, seq desc) as n from readings) where n <= 100"""
 )
-SQL["stream_health"] = sql(
-    f"""select 'weather' as stream, count(*) as entries, max(ts) as last_ts from readings
-       union all select 'alerts', count(*), max(ts) from {PUBLISHED}""",
-    *DEDUP,
+SQL["stream_health"] = (
+    "with w as (select ts, row_number() over (order by ts desc) as n, payload from (" + SQL["live_updates"] + ")), "
+    "a as (select ts, row_number() over (order by ts desc) as n, payload from (" + SQL["live_alerts"] + ")) "
+    "select 'weather' as stream, count(*) as entries, max(ts) as last_ts, max(payload) filter (n = 1) as last_payload from w where n <= 1000 "
+    "union all select 'alerts', count(*), max(ts), max(payload) filter (n = 1) from a where n <= 100"
+)
+SQL["bounded_log"] = sql(
+    """select ts, seq, alert_id, event from (select *, row_number() over (order by ts desc, seq desc) as n from (
+         select ts, seq, alert_id, event from alert_rows
+         union all select ts - interval 36 hours, seq + 10000000, alert_id, event from alert_rows)) where n <= 100"""
+)
+SITES = (
+    ("fed", "select distinct station_id, site as k from hourly"),
+    ("listed", """select s.station_id, s.name, s.covers, coalesce(f.k % 13 <> 0, false) as has_forecast, f.k is not null as seen, f.k
+        from stations s left join fed f on f.station_id = s.station_id"""),
+)
+SQL["forecast_answer"] = sql(
+    f"""select s.station_id, s.name, s.covers, case when has_forecast then 'ok' else 'unavailable' end as status,
+          case when has_forecast then k % 5 >= 3 end as stale,
+          case when has_forecast then {AS_OF} - to_minutes(cast(k % 5 * 20 as bigint)) end as data_fetched_at,
+          case when has_forecast then told.days end as days, case when has_forecast then best.date end as best_date,
+          case when has_forecast then best.best_window end as best_window, case when has_forecast then best.window_hours end as best_hours,
+          case when not seen or k % 7 = 0 then 'unknown' when warned.alerts is null then 'none' else 'active' end as alert_state,
+          case when k % 7 <> 0 then warned.alerts end as alerts
+        from listed s left join best using (station_id) left join told using (station_id)
+          left join (select areas, string_agg(coalesce(event, ''), '|' order by
+                       case severity when 'Extreme' then 0 when 'Severe' then 1 when 'Moderate' then 2 when 'Minor' then 3 else 4 end, seq) as alerts
+                     from relevant_alerts where cast(ts as date) = date '2024-01-15' and cast(substr(areas, 6) as bigint) % 3 = 0 group by 1) warned
+            on warned.areas = 'area ' || s.k""",
+    *SITES,
+    ("best", "select * from (" + SQL["best_window_overall"] + ")"),
+    ("told", """select station_id, string_agg(line, '|' order by line) as days from (
+          select station_id, date || ' ' || coalesce(score, 'no data') || ' ' || coalesce(best_window, '-') || case when outlook then ' outlook' else '' end as line
+          from (""" + SQL["day_reasons"] + ")) group by 1"),
+)
+SQL["cure_answer"] = sql(
+    f"""select s.station_id, case when has_forecast then c.hours else 0 end as hours, case when has_forecast then c.score end as score,
+          case when has_forecast then c.verdict else 'NO DATA — DO NOT POUR' end as verdict,
+          case when has_forecast then 'ok' else 'unavailable' end as status, case when has_forecast then k % 5 >= 3 or k % 4 = 3 end as stale,
+          case when has_forecast then {AS_OF} - to_minutes(cast(greatest(k % 5 * 20, k % 4 * 10) as bigint)) end as data_fetched_at
+        from listed s join checked c using (station_id)""",
+    *SITES,
+    ("checked", "select * from (" + SQL["cure_check"] + ")"),
 )
 SQL["latest_snapshot"] = sql(
     f"""select station_id, time as forecast_hour, t10/10.0 as temp_f, {label('sev')} as pour_score, fetched_at, false as stale

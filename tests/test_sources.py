@@ -119,3 +119,48 @@ def test_declared_tables(spark, tmp_path):
     facts.write.parquet(str(tmp_path / "daily_weather"))
     back = tables.declared_table(spark, str(tmp_path), "daily_weather")
     assert back.filter(F.col("score_details.pour")["data"] == "yellow").count() > 0
+
+
+def test_a_wrong_value_sets_aside_its_hour_only(spark):
+    """Each hour is read or set aside, never both and never neither."""
+    import json
+
+    hour = lambda n: [f"2024-01-01T{i:02d}:00" for i in range(n)]
+    texts = {
+        "wrong value": json.dumps({"hourly": {"time": hour(3), "temperature_2m": [50, "abc", 51.5], "wind_speed_10m": [1, 2, None]}}),
+        "numbers as text": json.dumps({"hourly": {"time": hour(2), "temperature_2m": ["50", "51"]}}),
+        "wrong time": json.dumps({"hourly": {"time": ["noon", *hour(1)], "temperature_2m": [1, 2]}}),
+        "nested": json.dumps({"hourly": {"time": hour(2), "temperature_2m": [{"a": 1}, 2]}}),
+        "no list": json.dumps({"hourly": {"time": hour(2), "temperature_2m": 5}}),
+        "empty object": "{}", "no hours": json.dumps({"hourly": {}}), "text": "no JSON", "null": None, "empty": "",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "name string, payload string")
+    read, aside = {}, {}
+    for r in documents.forecast_hours(docs).collect():
+        read.setdefault(r["name"], []).append((r["hour"], r["temp_f"]))
+    for r in documents.unreadable(docs).collect():
+        aside.setdefault(r["name"], []).append(r["position"])
+    assert read["wrong value"] == [(0, 50.0), (2, 51.5)] and aside["wrong value"] == [1]
+    assert read["numbers as text"] == [(0, 50.0), (1, 51.0)] and "numbers as text" not in aside
+    assert read["wrong time"] == [(0, 2.0)] and aside["wrong time"] == [0]
+    assert read["nested"] == [(1, 2.0)] and aside["nested"] == [0]
+    for name in ("no list", "empty object", "no hours", "text", "null", "empty"):
+        assert name not in read and aside[name] == [None], name
+
+
+def test_freshness_has_four_answers(spark):
+    from datetime import datetime, timedelta
+
+    from fieldcast.operators import answers
+
+    now = datetime(2024, 1, 1, 12)
+    rows = [("fresh", "forecast", 59), ("fresh", "forecast", 300), ("old", "forecast", 60), ("later", "forecast", -1), ("fresh", "alerts", 1), ("old", "alerts", 9)]
+    fetches = spark.createDataFrame([(s, f, now - timedelta(minutes=m)) for s, f, m in rows], "station_id string, feed string, fetched_at timestamp_ntz")
+    sites = spark.createDataFrame([(s, s, s) for s in ("fresh", "old", "later", "silent")], "station_id string, name string, covers string")
+    alerts = spark.createDataFrame([("old", now - timedelta(minutes=9), 2, "Flood", 1), ("old", now - timedelta(minutes=9), 5, None, 0)], "station_id string, fetched_at timestamp_ntz, seq long, event string, severity_rank int")
+    hours = spark.createDataFrame([], "station_id string, fetched_at timestamp_ntz, time timestamp_ntz, hour int, temp_f double, humidity_pct double, dewpoint_f double, precip_prob_pct double, precip_in double, wind_mph double, wind_gust_mph double, cloud_cover_pct double")
+    got = {r.station_id: r for r in answers.forecast_answers(sites, fetches, hours, alerts, now).collect()}
+    assert [(s, got[s].status, got[s].stale, got[s].alert_state, got[s].alerts) for s in ("fresh", "old", "later", "silent")] == [
+        ("fresh", "ok", False, "none", None), ("old", "ok", True, "active", ["", "Flood"]),
+        ("later", "unavailable", None, "unknown", None), ("silent", "unavailable", None, "unknown", None),
+    ]
