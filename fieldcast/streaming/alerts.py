@@ -22,6 +22,7 @@ MAP = "alert_id string, g bigint, until array<bigint>, leaves array<bigint>"
 #: TTLs in a stretch, and stretches in the next larger one.
 FAN = 32
 NEVER = -(1 << 62)
+FRAME_VALUES = 20_000
 
 
 def _publications(seconds: np.ndarray, last: int | None, ttl: int) -> tuple[list[int], int | None]:
@@ -70,6 +71,26 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[s
         yield joined()
 
 
+def _gathered(fold):
+    """Makes frames of what ``fold`` yields for single groups (columns by name), many groups to a frame."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = {}
+        size = 0
+        frame = lambda: pd.DataFrame({c: pd.array(v, dtype="Int64") if c == "x" else v for c, v in held.items()})
+        for part in fold(batches):
+            for column, values in part.items():
+                held.setdefault(column, []).extend(values)
+            size += len(part["until"][0]) if "until" in part else len(part["alert_id"])
+            if size >= FRAME_VALUES:
+                yield frame()
+                held, size = {}, 0
+        if held:
+            yield frame()
+
+    return run
+
+
 def _map_of(seconds: np.ndarray, first_end: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:
     """What a stretch does to the TTL, as (until, leaves): whoever may publish from second x on enters at the first
     ``until`` that is not before x and leaves with ``leaves`` as last publication; beyond the last one nothing is
@@ -146,16 +167,16 @@ def publications(
                 for one in _groups(batches, ["alert_id", "g"]):
                     start = origin + int(one["g"][0]) * width
                     until, leaves = _map_of(one["arrived"].astype(np.int64), start + ttl, ttl)
-                    yield pd.DataFrame({"alert_id": one["alert_id"][:1], "g": one["g"][:1], "until": [until], "leaves": [leaves]})
+                    yield {"alert_id": one["alert_id"][:1], "g": one["g"][:1], "until": [until], "leaves": [leaves]}
 
-            lifted = arrivals.mapInPandas(lift, MAP)
+            lifted = arrivals.mapInPandas(_gathered(lift), MAP)
         else:
             def lift(batches):
                 for one in _groups(batches, ["alert_id", "parent"]):
                     until, leaves = _composed(list(zip(one["until"], one["leaves"])), ttl)
-                    yield pd.DataFrame({"alert_id": one["alert_id"][:1], "g": one["parent"][:1], "until": [until], "leaves": [leaves]})
+                    yield {"alert_id": one["alert_id"][:1], "g": one["parent"][:1], "until": [until], "leaves": [leaves]}
 
-            lifted = _spread(maps[-1].withColumn("parent", F.floor(F.col("g") / fan)), "parent", "g").mapInPandas(lift, MAP)
+            lifted = _spread(maps[-1].withColumn("parent", F.floor(F.col("g") / fan)), "parent", "g").mapInPandas(_gathered(lift), MAP)
         maps.append(stored(lifted, "maps"))
     # downwards: from which second on each stretch may publish; an id's first arrival always may
     entry = None
@@ -167,28 +188,28 @@ def publications(
                 entries.append(x)
                 hit, last = _through(until, leaves, np.array([NEVER if pd.isna(x) else x]))
                 x = int(last[0]) + ttl if hit[0] else x
-            yield pd.DataFrame({"alert_id": one["alert_id"], "g": one["g"], "x": pd.array(entries, dtype="Int64")})
+            yield {"alert_id": one["alert_id"], "g": one["g"], "x": [None if pd.isna(e) else int(e) for e in entries]}
 
     for level in reversed(maps):
         if entry is None:  # one group of stretches holds all of an id
             rows = level.withColumns({"parent": F.lit(0).cast("bigint"), "x": F.lit(None).cast("bigint")})
         else:
             rows = level.withColumn("parent", F.floor(F.col("g") / fan)).join(entry.withColumnRenamed("g", "parent"), ["alert_id", "parent"])
-        entry = _spread(rows, "parent", "g").mapInPandas(enter, "alert_id string, g bigint, x bigint")
+        entry = _spread(rows, "parent", "g").mapInPandas(_gathered(enter), "alert_id string, g bigint, x bigint")
 
     def walk(batches):
         for one in _groups(batches, ["alert_id", "g"]):
             x = one["x"][0]
             seconds = one["arrived"].astype(np.int64)
             picked, _ = _publications(seconds, None if pd.isna(x) else int(x) - ttl, ttl)
-            yield pd.DataFrame({"alert_id": one["alert_id"][picked], "arrived": seconds[picked]})
+            yield {"alert_id": one["alert_id"][picked], "arrived": seconds[picked]}
 
     entered = keys.withColumn("g", group)
     if entry is None:
         entered = entered.withColumn("x", F.lit(None).cast("bigint"))
     else:
         entered = entered.join(entry, ["alert_id", "g"])
-    return _spread(entered, "g", "arrived").mapInPandas(walk, "alert_id string, arrived bigint")
+    return _spread(entered, "g", "arrived").mapInPandas(_gathered(walk), "alert_id string, arrived bigint")
 
 
 def dedup_batch(
