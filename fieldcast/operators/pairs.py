@@ -1,14 +1,15 @@
 """Station-to-station comparison.
 
-Joining all stations of a day with each other would emit every pair for every day. Instead stations fall into
-blocks, each pair of blocks and calendar year meets in one task as two small matrices (stations x days), and
-only one row of partial sums per station pair and year leaves the task. All sums are integers, so the result does
+Joining all stations of a day with each other would emit every pair for every day. Instead stations fall into blocks, and
+the days of a block over four years are packed once into a tile: a matrix of stations by days as bytes. Tiles, not days,
+travel to the cells where they meet other tiles; counts and sums of all pairs of two tiles are matrix products, and only one
+row of partial sums per station pair and four years leaves a task. All sums are integers below 2 ** 53, so the result does
 not depend on how the work was split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,63 +21,89 @@ from ..functions.numeric import percent, tenths
 from ..session import ship_package
 
 PARTIALS = ["n", "abs_sum", "abs_max", "differ", "sa", "sb", "saa", "sbb", "sab"]
-#: Stations of a block, about: a task compares two blocks over one year.
+#: Stations of a block, about.
 BLOCK_STATIONS = 64
-_SCHEMA = "station_a string, station_b string, " + ", ".join(f"{p} bigint" for p in PARTIALS)
-
-
-def _matrices(pdf: pd.DataFrame, ids: np.ndarray, days: int):
-    rows = np.searchsorted(ids, pdf["station_id"].to_numpy(dtype=object))
-    cols = pdf["doy"].to_numpy()
-    temp = np.zeros((len(ids), days), np.int64)
-    known = np.zeros((len(ids), days), bool)
-    grade = np.zeros((len(ids), days), np.int8)
-    temp[rows, cols] = pdf["t"].to_numpy(np.int64)
-    known[rows, cols] = True
-    grade[rows, cols] = pdf["sev"].to_numpy(np.int8)
-    return temp, known, grade
-
-
-def _block_partials(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    first, second = int(pdf["block_a"].iloc[0]), int(pdf["block_b"].iloc[0])
-    left = pdf[pdf["block"] == first]
-    right = left if first == second else pdf[pdf["block"] == second]
-    ids_a = np.unique(left["station_id"].to_numpy(dtype=object))
-    ids_b = np.unique(right["station_id"].to_numpy(dtype=object))
-    temp_a, known_a, grade_a = _matrices(left, ids_a, 367)
-    temp_b, known_b, grade_b = _matrices(right, ids_b, 367)
-    for i, a in enumerate(ids_a):
-        # inside one block each pair once; across blocks every pair, smaller id first
-        others = np.arange(i + 1, len(ids_b)) if first == second else np.arange(len(ids_b))
-        if not len(others):
-            continue
-        both = known_b[others] & known_a[i]
-        n = both.sum(axis=1)
-        ta = np.where(both, temp_a[i], 0)
-        tb = np.where(both, temp_b[others], 0)
-        gap = np.abs(ta - tb)
-        graded = both & (grade_a[i] > 0) & (grade_b[others] > 0)
-        differ = (graded & (grade_a[i] != grade_b[others])).sum(axis=1)
-        out = pd.DataFrame(
-            {
-                "station_a": a, "station_b": ids_b[others], "n": n,
-                "abs_sum": gap.sum(axis=1), "abs_max": gap.max(axis=1), "differ": differ,
-                "sa": ta.sum(axis=1), "sb": tb.sum(axis=1),
-                "saa": (ta * ta).sum(axis=1), "sbb": (tb * tb).sum(axis=1), "sab": (ta * tb).sum(axis=1),
-            }
-        )
-        out = out[out["n"] > 0]
-        swap = out["station_a"] > out["station_b"]
-        if swap.any():
-            flip = {"station_a": "station_b", "station_b": "station_a", "sa": "sb", "sb": "sa",
-                    "saa": "sbb", "sbb": "saa"}
-            out = pd.concat([out[~swap], out[swap].rename(columns=flip)], ignore_index=True)
-        yield out[["station_a", "station_b", *PARTIALS]]
-
-
-def _partials(pdf: pd.DataFrame) -> pd.DataFrame:
-    parts = list(_block_partials(pdf))
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["station_a", "station_b", *PARTIALS])
+#: Years of a tile.
+TILE_YEARS = 4
+#: Blocks along one side of a cell: a tile is sent to every cell of its row and column.
+CELL_BLOCKS = 4
+DAYS = TILE_YEARS * 366
+UNKNOWN = np.iinfo(np.int32).min
+_PARTIAL_SCHEMA = "station_a string, station_b string, " + ", ".join(f"{p} bigint" for p in PARTIALS)
+_TILE_SCHEMA = "team string, block int, blocks int, period int, ids array<string>, temps binary, grades binary"
+
+
+def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row: the days of a block over TILE_YEARS years as packed matrices."""
+    ids, rows = np.unique(pdf["station_id"].to_numpy(dtype=object), return_inverse=True)
+    temps = np.full((len(ids), DAYS), UNKNOWN, np.int32)
+    grades = np.zeros((len(ids), DAYS), np.int8)
+    columns = pdf["day"].to_numpy()
+    temps[rows, columns] = pdf["t"].to_numpy(np.int32)
+    grades[rows, columns] = pdf["sev"].to_numpy(np.int8)
+    first = pdf.iloc[0]
+    return pd.DataFrame(
+        {
+            "team": [first["team"]], "block": [first["block"]], "blocks": [first["blocks"]], "period": [first["period"]],
+            "ids": [list(ids)], "temps": [temps.tobytes()], "grades": [grades.tobytes()],
+        }
+    )
+
+
+class Tile(NamedTuple):
+    ids: np.ndarray
+    temps: np.ndarray  # tenths, 0 where unknown
+    known: np.ndarray
+    grades: np.ndarray
+
+
+def _open(row) -> Tile:
+    ids = np.array(list(row.ids), dtype=object)
+    temps = np.frombuffer(row.temps, np.int32).reshape(len(ids), DAYS)
+    known = temps != UNKNOWN
+    return Tile(ids, np.where(known, temps, 0), known, np.frombuffer(row.grades, np.int8).reshape(len(ids), DAYS))
+
+
+def _meet(a: Tile, b: Tile, same: bool) -> pd.DataFrame:
+    """Partial sums of the station pairs of two tiles, each pair once."""
+    ka, kb = a.known.astype(np.float64), b.known.astype(np.float64)
+    ta, tb = a.temps.astype(np.float64), b.temps.astype(np.float64)
+    ga, gb = np.where(a.known, a.grades, 0), np.where(b.known, b.grades, 0)
+    # days graded on both sides, less those with the same grade
+    differ = (ga > 0).astype(np.float64) @ (gb > 0).astype(np.float64).T
+    for grade in np.intersect1d(ga[ga > 0], gb[gb > 0]):
+        differ -= (ga == grade).astype(np.float64) @ (gb == grade).astype(np.float64).T
+    sums = {
+        "n": ka @ kb.T, "differ": differ, "sa": ta @ kb.T, "sb": ka @ tb.T,
+        "saa": (ta * ta) @ kb.T, "sbb": ka @ (tb * tb).T, "sab": ta @ tb.T,
+    }
+    # absolute gaps are no product: one station at a time, over the days it knows
+    gaps, widest = np.zeros(differ.shape, np.int64), np.zeros(differ.shape, np.int64)
+    for i in range(len(a.ids)):
+        days = np.flatnonzero(a.known[i])
+        gap = np.abs(b.temps[:, days] - a.temps[i, days]) * b.known[:, days]
+        gaps[i], widest[i] = gap.sum(axis=1, dtype=np.int64), gap.max(axis=1, initial=0)
+    sums |= {"abs_sum": gaps, "abs_max": widest}
+    meet = sums["n"] > 0
+    i, j = np.nonzero(np.triu(meet, 1) if same else meet)
+    out = pd.DataFrame({"station_a": a.ids[i], "station_b": b.ids[j]} | {p: sums[p][i, j].astype(np.int64) for p in PARTIALS})
+    # the smaller id first
+    swap = out["station_a"] > out["station_b"]
+    flip = {"station_a": "station_b", "station_b": "station_a", "sa": "sb", "sb": "sa", "saa": "sbb", "sbb": "saa"}
+    turned = out[swap].rename(columns=flip)
+    return pd.concat([out[~swap], turned], ignore_index=True)[["station_a", "station_b", *PARTIALS]]
+
+
+def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All tile pairs of one cell: blocks of its row with blocks of its column."""
+    row, column = int(pdf["row"].iloc[0]), int(pdf["col"].iloc[0])
+    tiles = {int(r.block): _open(r) for r in pdf.itertuples()}
+    parts = [
+        _meet(tiles[x], tiles[y], x == y)
+        for x in tiles if x // CELL_BLOCKS == row
+        for y in tiles if y // CELL_BLOCKS == column and (row != column or x <= y)
+    ]
+    return pd.concat(parts, ignore_index=True)[["station_a", "station_b", *PARTIALS]] if parts else pd.DataFrame(columns=["station_a", "station_b", *PARTIALS])
 
 
 def _blocks_of(stations: DataFrame, within: str | None, station_blocks: int | None) -> DataFrame:
@@ -93,27 +120,28 @@ def _blocks_of(stations: DataFrame, within: str | None, station_blocks: int | No
 def station_pairs(daily: DataFrame, stations: DataFrame, station_blocks: int | None = None, within: str | None = None) -> DataFrame:
     """Mean and largest temperature gap, verdict disagreement and correlation for every station pair.
 
-    A task holds two matrices of about BLOCK_STATIONS stations by 366 days however many stations there are, since the
-    number of blocks follows from their count; ``station_blocks`` fixes it instead. ``within`` names a column of
-    ``stations``, such as ``state``: then only stations with the same value meet (NULL is a value of its own), and
-    neither the work nor the result grows with the square of all stations.
+    A task holds the tiles of one cell, 2 x CELL_BLOCKS matrices of about BLOCK_STATIONS stations by TILE_YEARS years,
+    however many stations there are, since the number of blocks follows from their count; ``station_blocks`` fixes it
+    instead. A day is shuffled once, into its tile; a tile is copied once per CELL_BLOCKS blocks of its team. ``within``
+    names a column of ``stations``, such as ``state``: then only stations with the same value meet (NULL is a value of
+    its own), and neither the work nor the result grows with the square of all stations.
     """
     ship_package(daily.sparkSession)
+    year = F.year("observation_date")
     days = daily.filter(F.col("temp_max_f").isNotNull()).select(
         "station_id",
-        F.year("observation_date").alias("year"),
-        F.dayofyear("observation_date").alias("doy"),
+        F.floor(year / TILE_YEARS).cast("int").alias("period"),
+        (F.pmod(year, F.lit(TILE_YEARS)) * 366 + F.dayofyear("observation_date") - 1).alias("day"),
         tenths(F.col("temp_max_f")).alias("t"),
         F.coalesce(severity_of(F.col("pour_score")), F.lit(0)).alias("sev"),
     )
-    # each row goes to every block pair of its team that its own block belongs to
     placed = days.join(_blocks_of(stations, within, station_blocks), "station_id")
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "station_id", "team", "year", "doy", "t", "sev", "block",
-        F.least("block", "other").alias("block_a"),
-        F.greatest("block", "other").alias("block_b"),
-    )
-    partial = placed.groupBy("team", "block_a", "block_b", "year").applyInPandas(_partials, _SCHEMA)
+    tiles = placed.groupBy("team", "block", "period").applyInPandas(_tile, _TILE_SCHEMA)
+    own, other = F.floor(F.col("block") / CELL_BLOCKS).cast("int"), F.col("other")
+    sent = tiles.withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / CELL_BLOCKS).cast("int")))
+    ).withColumns({"row": F.least(own, other), "col": F.greatest(own, other)})
+    partial = sent.groupBy("team", "row", "col", "period").applyInPandas(_cell, _PARTIAL_SCHEMA)
     sums = partial.groupBy("station_a", "station_b").agg(
         *[(F.max(p) if p == "abs_max" else F.sum(p)).alias(p) for p in PARTIALS]
     )

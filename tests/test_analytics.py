@@ -82,6 +82,33 @@ def test_pairs_within_a_column_and_blocks_from_the_count(spark, monkeypatch):
     assert pairs.station_pairs(facts.limit(0), stations.limit(0)).count() == 0
 
 
+def test_pairs_against_loops_over_years_and_cells(spark):
+    """Nine blocks of forty stations with gaps, missing verdicts, leap days and two tiles of years."""
+    import random
+
+    draw = random.Random(4)
+    span = [date(2003, 12, 30) + timedelta(n) for n in range(4)] + [date(2004, 2, 29), date(2004, 12, 31), date(2007, 12, 31), date(2008, 1, 1)]
+    facts = {
+        (f"s{k:02d}", d): (draw.randint(-400, 1200), draw.choice(["green", "yellow", "red", None]))
+        for k in range(40) for d in span if draw.random() < 0.6
+    }
+    rows = [(s, d, dec(t / 10), v) for (s, d), (t, v) in facts.items()]
+    daily = spark.createDataFrame(rows, "station_id string, observation_date date, temp_max_f decimal(5,1), pour_score string")
+    want = {}
+    for a in range(40):
+        for b in range(a + 1, 40):
+            both = [(facts[f"s{a:02d}", d], facts[f"s{b:02d}", d]) for d in span if (f"s{a:02d}", d) in facts and (f"s{b:02d}", d) in facts]
+            if both:
+                gaps = [abs(x[0] - y[0]) for x, y in both]
+                want[f"s{a:02d}", f"s{b:02d}"] = (len(both), max(gaps), sum(1 for x, y in both if x[1] and y[1] and x[1] != y[1]))
+    frame = pairs.station_pairs(daily, named(spark, *[f"s{k:02d}" for k in range(40)]), 9)
+    got = {(r.station_a, r.station_b): (r.compared_days, round(float(r.max_temp_diff_f) * 10), r.score_disagree_days) for r in frame.collect()}
+    assert got == want
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    # copies are made of tiles, above the step that packs them, and of nothing else
+    assert plan.count("explode(") == 1 and plan.index("explode(") < plan.index("_tile(")
+
+
 def test_previous_year_is_the_previous_present_one(spark):
     rows = spark.createDataFrame(
         [("a", date(y, 5, 1), dec(t), "green", dec(0)) for y, t in ((2001, 50), (2004, 55), (2005, 53))],
