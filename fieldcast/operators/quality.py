@@ -1,6 +1,8 @@
 """Data checks: one row per rule with the number of failures; a rule passes with 0.
 
-All row-level rules of a table run in a single scan.
+Every table is scanned at most twice: once for all its row rules, once for the keys that it owns or refers to. The keys of
+all tables form one tagged union, counted in one grouped aggregate: uniqueness and references are read off the same groups, so
+there are no joins, and a frequent key is one row per task before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -72,6 +74,11 @@ def _row_rules(table: DataFrame, rules: list[Rule]) -> DataFrame:
     counts = table.agg(
         *[F.count_if(F.coalesce(_broken(r), F.lit(False))).alias(f"r{i}") for i, r in enumerate(rules)]
     )
+    return _lines(counts, rules)
+
+
+def _lines(counts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One row per rule from one row with a column r0, r1, ... per rule."""
     lines = [
         F.struct(
             F.lit(r.check).alias("check"), F.lit(r.table).alias("table"), F.lit(r.column).alias("column"),
@@ -82,36 +89,61 @@ def _row_rules(table: DataFrame, rules: list[Rule]) -> DataFrame:
     return counts.select(F.inline(F.array(*lines)))
 
 
-def _key_rule(tables: dict[str, DataFrame], rule: Rule) -> DataFrame:
-    keys = rule.column.split(",")
-    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    per_key = tables[rule.table].filter(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if rule.check == "unique":
-        failures = F.count_if(F.col("_n") > 1)
-    else:
-        target, columns = rule.arg
-        have = tables[target].select(
-            *[F.col(c).alias(k) for c, k in zip(columns.split(","), keys)]
+def _lookup(rule: Rule) -> tuple[str, str]:
+    """The table and columns whose keys a key rule is about."""
+    return (rule.table, rule.column) if rule.check == "unique" else rule.arg
+
+
+def _tagged_keys(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
+    """(lookup, key, user, n): one row per table row and role. ``user`` is NULL where the row owns the key, else the number
+    of the rule by which it refers to it. Keys with a NULL part take no part; they are text in the type of the owner."""
+    lookups = list(dict.fromkeys(_lookup(r) for r in rules))
+    roles: dict[str, list] = {}
+    for number, (table, columns) in enumerate(lookups):
+        roles.setdefault(table, []).append((number, columns, None))
+    for number, rule in enumerate(rules):
+        if rule.check == "references":
+            roles.setdefault(rule.table, []).append((lookups.index(_lookup(rule)), rule.column, number))
+    parts = []
+    for table, uses in roles.items():
+        entries = []
+        for number, columns, user in uses:
+            owner, owned = lookups[number]
+            types = [tables[owner].schema[c].dataType for c in owned.split(",")]
+            key = F.array(*[F.col(c).cast(t).cast("string") for c, t in zip(columns.split(","), types)])
+            entries.append(F.struct(F.lit(number).alias("lookup"), key.alias("key"), F.lit(user).cast("int").alias("user")))
+        parts.append(
+            tables[table].select(F.inline(F.array(*entries))).filter(~F.exists("key", lambda part: part.isNull()))
         )
-        # distinct keys first, so a frequent key is looked up once
-        per_key = per_key.join(have, keys, "left_anti")
-        failures = F.coalesce(F.sum("_n"), F.lit(0))
-    return per_key.agg(failures.alias("failures")).select(
-        F.lit(rule.check).alias("check"), F.lit(rule.table).alias("table"), F.lit(rule.column).alias("column"),
-        "failures",
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _key_rules(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
+    """A unique rule counts keys owned more than once, a reference rule the rows whose key nobody owns."""
+    lookups = list(dict.fromkeys(_lookup(r) for r in rules))
+    used = {i: F.count_if(F.col("user") == i).alias(f"u{i}") for i, r in enumerate(rules) if r.check == "references"}
+    per_key = _tagged_keys(tables, rules).groupBy("lookup", "key").agg(F.count_if(F.col("user").isNull()).alias("owned"), *used.values())
+    mine = lambda r: F.col("lookup") == lookups.index(_lookup(r))
+    counts = per_key.agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("owned") == 0, F.col(f"u{i}"))), F.lit(0)).alias(f"r{i}")
+            if i in used else F.count_if(mine(r) & (F.col("owned") > 1)).alias(f"r{i}")
+            for i, r in enumerate(rules)
+        ]
     )
+    return _lines(counts, rules)
 
 
 def run_checks(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
-    """check, table, column, failures. Rules on tables that are not given are left out."""
-    rules = [r for r in rules if r.table in tables]
-    key_checks = ("unique", "references")
+    """check, table, column, failures. Rules on tables that are not given, or that refer to one, are left out."""
+    keyed = [r for r in rules if r.check in ("unique", "references") and {r.table, _lookup(r)[0]} <= tables.keys()]
     parts = []
-    for name in dict.fromkeys(r.table for r in rules):
-        mine = [r for r in rules if r.table == name and r.check not in key_checks]
+    for name in dict.fromkeys(r.table for r in rules if r.table in tables):
+        mine = [r for r in rules if r.table == name and r.check not in ("unique", "references")]
         if mine:
             parts.append(_row_rules(tables[name], mine))
-    parts += [_key_rule(tables, r) for r in rules if r.check in key_checks]
+    if keyed:
+        parts.append(_key_rules(tables, keyed))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -7,8 +7,10 @@ can be compared with any SQL engine.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -629,16 +631,20 @@ def export_jobs(spark, sf):
 
 @query
 def dq_report(spark, sf):
+    """All rules over the sources and the marts, each mart stored before it is checked."""
     daily, stations, jobs = _daily(spark, sf), D.stations(spark, sf), _staged_jobs(spark, sf)
-    checked = {
-        "stations": stations,
-        "daily": daily,
-        "jobs": jobs,
-        "coverage": climate.coverage_audit(daily, stations),
-        "seasons": climate.season_bounds(daily, stations),
-        "job_weather": job_ops.job_weather(jobs, daily, stations),
-        "year_over_year": climate.year_over_year(daily, stations),
+    marts = {
+        "coverage": lambda: climate.coverage_audit(daily, stations),
+        "seasons": lambda: climate.season_bounds(daily, stations),
+        "job_weather": lambda: job_ops.job_weather(jobs, daily, stations),
+        "year_over_year": lambda: climate.year_over_year(daily, stations),
     }
+    root = scratch_dir(spark, "marts")
+    # the marts do not depend on each other: their jobs share the cluster
+    with ThreadPoolExecutor(len(marts)) as pool:
+        store = inheritable_thread_target(spark)(lambda name: tables.materialise(marts[name](), name, "mart", root))
+        stored = dict(zip(marts, pool.map(store, marts)))
+    checked = {"stations": stations, "daily": daily, "jobs": jobs, **stored}
     return flat(quality.run_checks(checked, quality.standard_rules(DQ_DAY)))
 
 

@@ -179,13 +179,14 @@ def export_table(table: DataFrame, name: str, path: str) -> bool:
     return True
 
 
-def materialise(df: DataFrame, name: str, layer: str, root: str | None = None) -> None:
-    """Staging and intermediate layers become views, marts become Parquet tables."""
-    if layer in ("staging", "intermediate"):
-        df.createOrReplaceTempView(name)
-        return
-    if root is None:
-        raise ValueError("a mart needs a root folder")
-    path = f"{root.rstrip('/')}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    df.sparkSession.read.schema(df.schema).parquet(path).createOrReplaceTempView(name)
+def materialise(df: DataFrame, name: str, layer: str, root: str | None = None) -> DataFrame:
+    """Staging and intermediate layers become views, marts become Parquet tables with a view on them. Returns the frame
+    behind the view: what reads a mart reads the stored rows."""
+    if layer not in ("staging", "intermediate"):
+        if root is None:
+            raise ValueError("a mart needs a root folder")
+        path = f"{root.rstrip('/')}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
+    df.createOrReplaceTempView(name)
+    return df

@@ -177,6 +177,31 @@ def test_checks_find_what_is_wrong(spark):
     assert quality.unrealistic_temperatures(bad).count() == 1 and quality.future_observations(bad, date(2023, 3, 1)).count() == 1
 
 
+def test_key_rules_count_rows_and_keys_in_one_aggregate_over_two_scans(spark, tmp_path):
+    """Repeats, NULL parts, keys of another type, a target without rows and a frequent stray key."""
+    parent = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (None, "x"), (2, "x")], "id bigint, part string")
+    child = spark.createDataFrame([(n, i, p) for n, (i, p) in enumerate([(1, "x")] + [(9, "x")] * 50 + [(None, "x"), (2, None), (2, "y")])],
+                                  "no int, id int, part string")
+    parent.write.parquet(f"{tmp_path}/parent")
+    child.write.parquet(f"{tmp_path}/child")
+    tables = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in ("parent", "child")} | {"none": parent.limit(0)}
+    R = quality.Rule
+    rules = [
+        R("unique", "parent", "id"), R("unique", "parent", "id,part"), R("unique", "child", "no"), R("unique", "none", "id"),
+        R("references", "child", "id", ("parent", "id")), R("references", "child", "id,part", ("parent", "id,part")),
+        R("references", "child", "id", ("none", "id")), R("not_null", "child", "part"), R("references", "child", "id", ("absent", "id")),
+    ]
+    frame = quality.run_checks(tables, rules)
+    got = [(r.check, r.table, r.column, r.failures) for r in frame.collect()]
+    assert sorted(got) == sorted([
+        ("unique", "parent", "id", 2), ("unique", "parent", "id,part", 1), ("unique", "child", "no", 0), ("unique", "none", "id", 0),
+        ("references", "child", "id", 50), ("references", "child", "id,part", 51), ("references", "child", "id", 53),
+        ("not_null", "child", "part", 1),
+    ])
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3 and "Join" not in plan  # child twice, parent once
+
+
 def test_model(spark):
     rows = model.split_in_order(model.features(model.training_rows(D.fact_table(spark, "/root/testdata/sf0.01"))))
     total, first = rows.count(), rows.filter("is_train").count()
