@@ -1,7 +1,9 @@
 """Keyed writes to partitioned Parquet tables.
 
-The row logic (``merge_rows`` and so on) is plain DataFrame code; the writers add a staged copy, since a Parquet
-path must not be overwritten while it is read. Only partitions that receive rows are read and rewritten.
+The row logic (``merge_rows`` and so on) is plain DataFrame code. Incoming rows are stored once, so that they are evaluated
+once; the table itself is written once, straight from the partitions that it replaces: a dynamic overwrite writes beside them
+and swaps folders when all tasks are done. Only partitions that receive rows are read and rewritten, and each is written as at
+most FILES files, whatever the number of tasks.
 """
 
 from __future__ import annotations
@@ -12,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..session import scratch_dir
+from ..session import remove_path, scratch_dir
 
 DAILY_KEY = ["station_id", "observation_date"]
 SNAPSHOT_KEY = ["station_id", "forecast_hour", "fetched_at"]
+#: Files of one partition in one write, at most. More let more tasks share a large partition.
+FILES = 8
 
 
 # --- row logic -------------------------------------------------------------------------------
@@ -23,11 +27,14 @@ SNAPSHOT_KEY = ["station_id", "forecast_hour", "fetched_at"]
 
 def latest_per_key(rows: DataFrame, keys: list[str], sequence: str | None) -> DataFrame:
     """One row per key, the one with the highest ``sequence``; partial aggregation, so repeats of a key meet
-    as one row per task."""
-    if sequence is None:
-        return rows.dropDuplicates(keys)
+    as one row per task. Of rows with equal sequence, or without one, the one with the greatest JSON text stays: the choice
+    does not depend on the order in which rows arrive."""
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), sequence).alias("_r")).select(
+    if not rest:
+        return rows.dropDuplicates(keys)
+    text = F.to_json(F.struct(*rest))
+    order = F.struct(F.col(sequence), text) if sequence else text
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(
         *keys, *[F.col(f"_r.{c}").alias(c) for c in rest]
     ).select(*rows.columns)
 
@@ -42,7 +49,7 @@ def merge_rows(existing: DataFrame, incoming: DataFrame, keys: list[str], sequen
 
 def absent_rows(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming rows whose key is not in the table yet, once each."""
-    return incoming.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    return latest_per_key(incoming, keys, None).join(existing.select(*keys), keys, "left_anti")
 
 
 def unexpired(snapshots: DataFrame, now: datetime, days: int = R.RETENTION_DAYS) -> DataFrame:
@@ -71,28 +78,37 @@ def last_known(messages: DataFrame, fields: list[str], key: str = "station_id",
 # --- writers ---------------------------------------------------------------------------------
 
 
-def _stage(rows: DataFrame, partition: str) -> DataFrame:
-    """Writes ``rows`` aside and reads them back: evaluated once, and free of the plan that made them."""
-    path = scratch_dir(rows.sparkSession, "staged")
-    rows.write.partitionBy(partition).parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+def _partitions_of(rows: DataFrame, partition: str) -> list:
+    """Partition values are few (years, days), unlike the rows behind them."""
+    return [r[0] for r in rows.select(partition).distinct().collect()]
 
 
-def _partitions_of(staged: DataFrame, partition: str) -> list:
-    """Partition values are few (years, days), unlike the rows behind them."""
-    return [r[0] for r in staged.select(partition).distinct().collect()]
+def _aside(rows: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as stored in a scratch folder, and that folder."""
+    path = scratch_dir(rows.sparkSession, "incoming")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), path
 
 
-def _overwrite_partitions(rows: DataFrame, path: str, partition: str) -> None:
-    (
-        _stage(rows, partition)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    )
+def _placed(rows: DataFrame, partition: str, keys: list[str]) -> DataFrame:
+    """Every partition in at most FILES tasks, sorted by key: bounded files, and a large partition is still shared."""
+    share = F.pmod(F.xxhash64(*keys), F.lit(FILES))
+    return rows.repartition(F.col(partition), share).sortWithinPartitions(partition, *keys)
+
+
+def _overwrite_partitions(rows: DataFrame, path: str, partition: str, keys: list[str]) -> None:
+    writer = _placed(rows, partition, keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(partition).parquet(path)
+
+
+def in_ranges(rows: DataFrame, partition: str, keys: list[str]) -> DataFrame:
+    """Range-partitioned by partition and key. Spark samples the rows for the bounds, so this goes before costly columns."""
+    return rows.repartitionByRange(partition, *keys)
 
 
 def create_table(rows: DataFrame, path: str, partition: str, keys: list[str]) -> None:
-    """Range-partitioned by partition and key: even tasks, few files, tight min/max statistics."""
-    rows.repartitionByRange(partition, *keys).write.partitionBy(partition).parquet(path)
+    """Even tasks, few files, tight min/max statistics."""
+    in_ranges(rows, partition, keys).write.partitionBy(partition).parquet(path)
 
 
 def upsert(
@@ -100,22 +116,26 @@ def upsert(
 ) -> None:
     """Insert or replace ``incoming`` in the table at ``path``. The key must determine the partition."""
     fresh = latest_per_key(incoming, keys, sequence)
-    fresh = _stage(fresh.drop(sequence) if sequence else fresh, partition)
+    fresh, folder = _aside(fresh.drop(sequence) if sequence else fresh)
     existing = spark.read.schema(fresh.schema).parquet(path)
     touched = existing.filter(F.col(partition).isin(_partitions_of(fresh, partition)))
-    _overwrite_partitions(merge_rows(touched, fresh, keys), path, partition)
+    _overwrite_partitions(merge_rows(touched, fresh, keys), path, partition, keys)
+    remove_path(spark, folder)
 
 
 def append_absent(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], partition: str) -> None:
-    """Insert-or-ignore on keys that determine the partition; other partitions are not read."""
-    fresh = _stage(incoming.dropDuplicates(keys), partition)
+    """Insert-or-ignore on keys that determine the partition; other partitions are not read. The files of the table are
+    listed before the write, so what is appended is not read back."""
+    fresh, folder = _aside(latest_per_key(incoming, keys, None))
     existing = spark.read.schema(fresh.schema).parquet(path)
     near = existing.filter(F.col(partition).isin(_partitions_of(fresh, partition)))
-    # written aside first: the result depends on the table it is appended to
-    _stage(absent_rows(near, fresh, keys), partition).write.mode("append").partitionBy(partition).parquet(path)
+    _placed(absent_rows(near, fresh, keys), partition, keys).write.mode("append").partitionBy(partition).parquet(path)
+    remove_path(spark, folder)
 
 
-def expire(spark: SparkSession, path: str, schema, now: datetime, partition: str = "fetched_date") -> None:
+def expire(
+    spark: SparkSession, path: str, schema, now: datetime, partition: str = "fetched_date", keys: list[str] = SNAPSHOT_KEY
+) -> None:
     """Deletes snapshots past retention. What the rows say decides: one aggregate per partition tells which partitions
     hold nothing to keep (removed as folders) and which hold both (rewritten); the others are left alone."""
     table = spark.read.schema(schema).parquet(path)
@@ -124,7 +144,7 @@ def expire(spark: SparkSession, path: str, schema, now: datetime, partition: str
     mixed = [r[partition] for r in found if r["kept"] and r["kept"] < r["rows"]]
     gone = {str(r[partition]) for r in found if not r["kept"] and r[partition] is not None}
     if mixed:
-        _overwrite_partitions(unexpired(table.filter(F.col(partition).isin(mixed)), now), path, partition)
+        _overwrite_partitions(unexpired(table.filter(F.col(partition).isin(mixed)), now), path, partition, keys)
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for status in fs.listStatus(root):

@@ -40,6 +40,26 @@ def test_upsert_replaces_whole_rows_and_touches_only_its_partitions(spark, tmp_p
     assert {p.name for p in (tmp_path / "t" / "obs_year=2020").iterdir()} == old
 
 
+def test_writes_leave_few_files_and_differing_repeats_have_an_order(spark, tmp_path):
+    path = str(tmp_path / "t")
+    year = F.year("observation_date")
+    rows = spark.range(600).select(
+        F.concat(F.lit("s"), F.col("id") % 100).alias("station_id"), F.date_add(F.lit(date(2020, 1, 1)), (F.col("id") / 3).cast("int") * 5).alias("observation_date"),
+        (F.col("id") % 7).cast("decimal(5,1)").alias("temp"), F.lit("red").alias("score")).withColumn("obs_year", year)
+    tables.create_table(rows.limit(0), path, "obs_year", KEY)
+    tables.append_absent(spark, path, rows.repartition(40), KEY, "obs_year")
+    files = lambda: [len(list(folder.glob("*.parquet"))) for folder in (tmp_path / "t").glob("obs_year=*")]
+    assert len(files()) == 3 and max(files()) <= tables.FILES
+    differing = rows.withColumn("score", F.explode(F.array(F.lit("green"), F.lit("yellow"), F.lit(None))))
+    for tasks in (3, 40):  # the same rows win however they arrive
+        tables.upsert(spark, path, differing.repartition(tasks), KEY, "obs_year")
+        stored = spark.read.schema(rows.schema).parquet(path)
+        assert stored.count() == 600 and {r.score for r in stored.select("score").distinct().collect()} == {"yellow"}
+        assert max(files()) <= tables.FILES
+    ranked = tables.latest_per_key(differing.withColumn("seq", F.lit(1)), KEY, "seq")
+    assert {r.score for r in ranked.select("score").distinct().collect()} == {"yellow"}
+
+
 def snapshot(spark, rows):
     df = spark.createDataFrame(rows, "station_id string, forecast_hour timestamp_ntz, fetched_at timestamp_ntz, v int")
     at = F.col("fetched_at").cast("timestamp")
