@@ -95,6 +95,23 @@ def train(rows: DataFrame, iterations: int = 200, l2: float = 1e-3) -> Viability
     return ViabilityModel(stats, estimator.fit(_assemble(standardise(rows, stats))))
 
 
+def report(fitted: ViabilityModel, scored: DataFrame) -> DataFrame:
+    """section, name, n, value: rows and accuracy per split, rows and share per label, and the features by weight, ``n`` being
+    the rank. ``scored`` has ``is_train``."""
+    line = lambda section, name, n, value: [
+        F.lit(section).alias("section"), name.alias("name"), n.cast("bigint").alias("n"), value.cast("double").alias("value")
+    ]
+    c = F.col
+    splits = accuracy(scored).select(*line("accuracy", F.when(c("is_train"), "train").otherwise("test"), c("n"), c("accuracy")))
+    green = F.when(c("label") == 1, "green").otherwise("not green")
+    total = scored.agg(F.count(F.lit(1)).alias("n"))
+    labels = scored.groupBy(green.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    labels = labels.select(*line("label", c("kind"), c("n"), c("n") / total.scalar()))
+    ranked = [("importance", name, rank, weight) for rank, (name, weight) in enumerate(fitted.importance(), 1)]
+    weights = scored.sparkSession.createDataFrame(ranked, "section string, name string, n bigint, value double")
+    return splits.unionByName(labels).unionByName(weights)
+
+
 def accuracy(scored: DataFrame) -> DataFrame:
     hit = F.avg((F.col("predicted") == F.col("label")).cast("double"))
     return scored.groupBy("is_train").agg(F.count(F.lit(1)).alias("n"), hit.alias("accuracy"))

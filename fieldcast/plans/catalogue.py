@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 from ..functions.grading import factor_text
 from ..operators import answers, climate, cure, daily as day_ops, hours, jobs as job_ops, model, pairs, quality, reasons, sealer
 from ..schemas import HOURLY_FIELDS
-from ..session import scratch_dir
+from ..session import remove_path, scratch_dir
 from ..sinks import tables
 from ..sources import documents, station_files
+from ..sources import tables as declared
 from ..streaming import alerts as alert_stream
 from ..streaming import changes as change_stream
 from ..streaming import jobs as streams
@@ -64,7 +65,7 @@ def _by_year(spark, sf):
 
 
 def _staged_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    return day_ops.stage_jobs(D.jobs(spark, sf))
+    return day_ops.stage_jobs(declared.declared_table(spark, D.source_root(spark, sf, "jobs"), "jobs"))
 
 
 # --- sources and daily rows ------------------------------------------------------------------
@@ -99,7 +100,18 @@ def stage_daily(spark, sf):
 
 @query
 def stage_stations(spark, sf):
-    return flat(day_ops.stage_stations(D.stations(spark, sf)))
+    return flat(day_ops.stage_stations(declared.declared_table(spark, D.source_root(spark, sf, "stations"), "stations")))
+
+
+@query
+def schema_drift(spark, sf):
+    """Tables that came with other columns than declared, and how many rows each of them holds."""
+    root = scratch_dir(spark, "drifted")
+    D.stations(spark, sf).drop("elevation_m").withColumn("opened", F.lit(1)).write.parquet(f"{root}/stations")
+    D.jobs(spark, sf).withColumn("final_revenue", F.col("final_revenue").cast("double")).write.parquet(f"{root}/jobs")
+    held = [spark.read.parquet(f"{root}/{n}").agg(F.lit(n).alias("table"), F.count("*").alias("rows")) for n in ("stations", "jobs")]
+    drift = declared.schema_drift(spark, root, ["stations", "jobs"])
+    return drift.join(held[0].unionByName(held[1]), "table")
 
 
 @query
@@ -243,6 +255,25 @@ def point_lookup(spark, sf):
     return flat(reports.point(daily, station, day).drop("obs_year"))
 
 
+@query
+def point_answers(spark, sf):
+    """Every job asks for the weather of its first day: by town and date text, some of them unknown or no dates."""
+    asked = _staged_jobs(spark, sf).join(D.stations(spark, sf).select("station_id", "name"), "station_id", "left")
+    k, day = F.col("job_id"), F.col("start_date")
+    form = lambda pattern: F.date_format(day, pattern)
+    text = (
+        F.when(k % 7 == 1, form("yyyy-M-d")).when(k % 7 == 2, form("yyyy/MM/dd")).when(k % 7 == 3, F.concat(form("yyyy-MM"), F.lit("-31")))
+        .when(k % 7 == 4, F.concat(form("yyyy-MM-dd"), F.lit(" "))).when(k % 7 != 5, form("yyyy-MM-dd"))
+    )
+    requests = asked.select(k.alias("request_id"), F.when(k % 11 == 0, "Nowhere").otherwise(F.col("name")).alias("town"), text.alias("date"))
+    return flat(
+        reports.points_by_text(requests, D.stations(spark, sf), _daily(spark, sf)).select(
+            "request_id", "town", "date", "status", "temp_max_f", "temp_min_f", "temp_mean_f", "precip_in", "snow_in",
+            "wind_avg_mph", "wind_max_mph", "pour_score", "sealer_score",
+        )
+    )
+
+
 # --- hours -----------------------------------------------------------------------------------
 
 
@@ -431,6 +462,25 @@ def stream_changes(spark, sf):
     return flat(_finish(streams.write_changes(scored, f"{run}/out", f"{run}/state", f"{run}/progress"), f"{run}/out").select(*CHANGE))
 
 
+@query
+def stream_restart(spark, sf):
+    """The change stream when the driver dies in its last batch: that batch's output, state and commit are lost, the batch is
+    run again from the offsets that were planned for it, and what arrived meanwhile follows."""
+    path, schema = landed(D.readings(spark, sf).filter("seq % 3 <> 0"), "restart-in", 3, 1)
+    run = scratch_dir(spark, "restart-run")
+
+    def attempt() -> DataFrame:
+        scored = change_stream.score_readings(streams.tail(spark, path, schema, 1)).drop("pour_factors")
+        return _finish(streams.write_changes(scored, f"{run}/out", f"{run}/state", f"{run}/progress"), f"{run}/out")
+
+    last = attempt().agg(F.max("batch")).first()[0]
+    for lost in (f"out/batch={last}", f"state/version={last}", f"progress/commits/{last}", f"progress/commits/.{last}.crc"):
+        remove_path(spark, f"{run}/{lost}")
+    later = D.readings(spark, sf).filter("seq % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 400 DAYS"))
+    later.coalesce(1).write.mode("append").parquet(path)
+    return flat(attempt().select(*CHANGE))
+
+
 @query
 def live_updates(spark, sf):
     changed = change_stream.changes_batch(_scored_readings(spark, sf))
@@ -675,18 +725,31 @@ def model_features(spark, sf):
     return _features(spark, sf).withColumn("temp_range", F.round("temp_range", 6))
 
 
+def _training(spark, sf):
+    return _features(spark, sf).filter("is_train")
+
+
 @query
 def model_moments(spark, sf):
-    rows = model.features(model.training_rows(_daily(spark, sf)))
-    both = rows.agg(
-        *[F.round(F.avg(f), 6).alias(f"m_{f}") for f in model.FEATURES],
-        *[F.round(F.stddev_pop(f), 6).alias(f"s_{f}") for f in model.FEATURES],
-    )
-    lines = [
-        F.struct(F.lit(f).alias("feature"), F.col(f"m_{f}").alias("mean"), F.col(f"s_{f}").alias("deviation"))
-        for f in model.FEATURES
-    ]
-    return both.select(F.inline(F.array(*lines)))
+    """Of the training rows alone, as the model uses them."""
+    stats = model.moments(_training(spark, sf))
+    rows = [(name, mean, deviation) for name, (mean, deviation) in stats.items()]
+    held = spark.createDataFrame(rows, "feature string, mean double, deviation double")
+    return held.select("feature", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
+@query
+def model_inputs(spark, sf):
+    """All rows in units of the training rows' deviation."""
+    scaled = model.standardise(_features(spark, sf), model.moments(_training(spark, sf)))
+    return scaled.select("station_id", "observation_date", "is_train", *[F.round(f"z_{f}", 6).alias(f"z_{f}") for f in model.FEATURES])
+
+
+@query
+def model_report(spark, sf):
+    rows = _features(spark, sf)
+    fitted = model.train(rows.filter("is_train"))
+    return model.report(fitted, fitted.score(rows))
 
 
 @query

@@ -6,6 +6,7 @@ the scale factor.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from datetime import datetime
 
@@ -122,9 +123,9 @@ def _stamps(spark: SparkSession, sf: str, names: tuple[str, ...]) -> tuple[int,
     return tuple(stamps)
 
 
-def _once(spark: SparkSession, sf: str, name: str, write: Callable[[str], None]) -> str:
+def _once(spark: SparkSession, sf: str, name: str, write: Callable[[str], None], names: tuple[str, ...] = ("lineitem",)) -> str:
     """Path of a table written once per application to the shared scratch folder."""
-    key = (spark.sparkContext.applicationId, sf, name, _stamps(spark, sf, ("lineitem",)))
+    key = (spark.sparkContext.applicationId, sf, name, _stamps(spark, sf, names))
     if key not in _STORED or not path_exists(spark, _STORED[key]):
         path = f"{scratch_dir(spark, 'stored')}/{name}"
         write(path)
@@ -180,6 +181,15 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_GIVEN = {"stations": (stations, ("supplier", "nation", "region")), "jobs": (jobs, ("orders",))}
+
+
+def source_root(spark: SparkSession, sf: str, name: str) -> str:
+    """Folder that holds the stations or the jobs as a stored table, the form in which the staging views read them."""
+    rows, given = _GIVEN[name]
+    return os.path.dirname(_once(spark, sf, name, lambda path: rows(spark, sf).write.parquet(path), given))
+
+
 def fixed_width_lines(elements: DataFrame) -> DataFrame:
     """Element rows rendered as archive lines; days with h % 53 = 0 carry a quality flag. One month of a station
     meets in a group (at most 31 rows)."""

@@ -11,6 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.labels import strict_date
 from ..operators import climate, jobs as J, pairs
 
 TOP = 50
@@ -101,6 +102,21 @@ def one_job(staged_jobs, daily, job_id: int) -> DataFrame:
     return J.job_days(staged_jobs.filter(F.col("job_id") == job_id), daily).orderBy(climate.DAY)
 
 
+def points_by_text(requests: DataFrame, stations: DataFrame, daily: DataFrame) -> DataFrame:
+    """Answers to requests (town, date, anything else) for the weather of a day, both given as text: one row per request with
+    ``status`` and, where that is ``ok``, the measures of the day. An unknown town is told before an invalid date, and that
+    before a day without data. Of stations with one name the smallest id answers."""
+    towns = stations.groupBy(F.col("name").alias("_town")).agg(F.min("station_id").alias("station_id"))
+    days = daily.drop("obs_year").withColumnRenamed("station_id", "_s")
+    asked = requests.join(towns, F.col("town") == F.col("_town"), "left").drop("_town").withColumn("_day", strict_date(F.col("date")))
+    found = asked.join(days, (F.col("station_id") == F.col("_s")) & (F.col("_day") == F.col(climate.DAY)), "left")
+    status = (
+        F.when(F.col("station_id").isNull(), "unknown town").when(F.col("_day").isNull(), "invalid date")
+        .when(F.col("_s").isNull(), "no data").otherwise("ok")
+    )
+    return found.withColumn("status", status).drop("_s", "_day", climate.DAY)
+
+
 def point(daily: DataFrame, station_id: str, day: date) -> DataFrame:
     """One station-day; zeros stay zeros."""
     return _in_days(daily.filter(F.col("station_id") == station_id), day, day)

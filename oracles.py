@@ -801,11 +801,40 @@ SQL["model_features"] = sql(
     """select station_id, d as observation_date, temp_max_f, temp_min_f, round(temp_range, 6) as temp_range, precip_in, wind_max_mph, cast(label as double) as label,
          row_number() over (order by d, station_id) <= cast(floor(0.8 * count(*) over ()) as bigint) as is_train from feats""", FEATURES
 )
+TRAINED = ("trained", """select * from (select *, row_number() over (order by d, station_id) <= cast(floor(0.8 * count(*) over ()) as bigint) as is_train
+    from feats)""")
+MODEL_INPUTS = ("temp_max_f", "temp_min_f", "temp_range", "precip_in", "wind_max_mph")
 SQL["model_moments"] = sql(
     " union all ".join(
-        f"select '{f}' as feature, round(avg({f}), 6) as mean, round(stddev_pop({f}), 6) as deviation from feats"
-        for f in ("temp_max_f", "temp_min_f", "temp_range", "precip_in", "wind_max_mph")
-    ), FEATURES
+        f"select '{f}' as feature, round(avg({f}), 6) as mean, round(stddev_pop({f}), 6) as deviation from trained where is_train"
+        for f in MODEL_INPUTS
+    ), FEATURES, TRAINED
+)
+SQL["model_inputs"] = sql(
+    "select station_id, d as observation_date, is_train, "
+    + ", ".join(f"round(({f} - (avg({f}) filter (is_train) over ())) / ((stddev_pop({f}) filter (is_train) over ()) + 1e-8), 6) as z_{f}" for f in MODEL_INPUTS)
+    + " from trained", FEATURES, TRAINED
+)
+REQUESTS = ("requests", """select job_id as request_id, case when job_id % 11 = 0 then 'Nowhere' else s.name end as town,
+      [strftime(start_date, '%Y-%m-%d'), strftime(start_date, '%Y-%-m-%-d'), strftime(start_date, '%Y/%m/%d'), strftime(start_date, '%Y-%m') || '-31',
+       strftime(start_date, '%Y-%m-%d') || ' ', null, strftime(start_date, '%Y-%m-%d')][job_id % 7 + 1] as date
+    from staged_jobs j left join stations s using (station_id)""")
+ASKED = ("asked", """select r.*, s.station_id, case when date like '____-__-__' then cast(try_strptime(date, '%Y-%m-%d') as date) end as day
+    from requests r left join stations s on s.name = r.town""")
+SQL["point_answers"] = sql(
+    """select request_id, town, date, case when a.station_id is null then 'unknown town' when day is null then 'invalid date'
+         when w.d is null then 'no data' else 'ok' end as status, f_hi as temp_max_f, f_lo as temp_min_f, f_mean as temp_mean_f,
+         f_rain as precip_in, f_snow as snow_in, f_wavg as wind_avg_mph, f_wmax as wind_max_mph, pour as pour_score, seal as sealer_score
+       from asked a left join daily w on w.station_id = a.station_id and w.d = a.day""", REQUESTS, ASKED
+)
+SQL["schema_drift"] = """select 'stations' as "table", 'elevation_m' as "column", 'decimal(6,1)' as declared, null::varchar as found, 'missing' as difference,
+      (select count(*) from supplier) as "rows"
+    union all select 'stations', 'opened', null, 'int', 'extra', (select count(*) from supplier)
+    union all select 'jobs', 'final_revenue', 'decimal(10,2)', 'double', 'type', (select count(*) from orders)"""
+LATER = ("later", f"""select station_id, case when seq % 3 = 0 then ts + interval 400 day else ts end as ts, seq, {label('sev')} as pour_score from readings""")
+SQL["stream_restart"] = sql(
+    """select *, previous_score is not null and previous_score is distinct from pour_score as score_changed
+       from (select *, lag(pour_score) over (partition by station_id order by ts, seq) as previous_score from later)""", LATER
 )
 
 # the same rows in report order

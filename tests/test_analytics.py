@@ -216,3 +216,50 @@ def test_model(spark):
         [(70.0, 55.0, 15.0, 0.0, 5.0), (75.0, 60.0, 15.0, 0.5, 20.0)], ", ".join(f"{f} double" for f in model.FEATURES))
     fine, wet = (r.probability_green for r in fitted.score(examples).collect())
     assert fine > 0.5 > wet
+
+
+def test_model_equals_a_newton_fit(spark):
+    """Weights, accuracy and order of importance against numpy, with the moments of the training rows alone."""
+    import numpy as np
+
+    rows = model.split_in_order(model.features(model.training_rows(D.fact_table(spark, "/root/testdata/sf0.01")))).persist()
+    pdf = rows.toPandas()
+    x, y, train = pdf[model.FEATURES].to_numpy(), pdf["label"].to_numpy(), pdf["is_train"].to_numpy()
+    mean, deviation = x[train].mean(axis=0), x[train].std(axis=0)
+    z = np.hstack([(x - mean) / (deviation + model.EPSILON), np.ones((len(x), 1))])
+    w, penalty = np.zeros(6), np.diag([1e-3] * 5 + [0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z[train] @ w))
+        slope = z[train].T @ (p - y[train]) / train.sum() + penalty @ w
+        w -= np.linalg.solve((z[train] * (p * (1 - p))[:, None]).T @ z[train] / train.sum() + penalty + 1e-12 * np.eye(6), slope)
+    fitted = model.train(rows.filter("is_train"))
+    stats = model.moments(rows.filter("is_train"))
+    assert np.allclose([stats[f] for f in model.FEATURES], np.stack([mean, deviation], 1), rtol=1e-9)
+    # range is high less low: the three weights are held apart by the penalty alone, so the fit is compared by its scores
+    scored = fitted.score(rows).toPandas().set_index(["station_id", "observation_date"])["probability_green"]
+    want = 1 / (1 + np.exp(-z @ w))
+    got = scored.loc[list(zip(pdf["station_id"], pdf["observation_date"]))].to_numpy()
+    assert np.abs(got - want).max() < 0.02
+    said = {(r.section, r.name): (r.n, r.value) for r in model.report(fitted, fitted.score(rows)).collect()}
+    for name, part in (("train", train), ("test", ~train)):
+        right = ((want[part] >= 0.5) == (y[part] == 1)).mean()
+        assert said["accuracy", name][0] == part.sum() and abs(said["accuracy", name][1] - right) < 0.003
+        assert said["accuracy", name][1] >= 0.9
+    assert said["label", "green"] == (int(y.sum()), pytest.approx(y.mean()))
+    assert said["label", "not green"][0] == len(y) - int(y.sum())
+    order = sorted((n, name) for (section, name), (n, _) in said.items() if section == "importance")
+    assert [n for n, _ in order] == [1, 2, 3, 4, 5] and order[0][1] == model.FEATURES[int(np.abs(w[:5]).argmax())]
+    rows.unpersist()
+
+
+def test_lookups_by_text(spark):
+    daily = days(spark, [plain("a", 0), plain("a", 1), plain("z", 1)]).withColumn("obs_year", F.year("observation_date"))
+    stations = named(spark, "a", "b").unionByName(named(spark, "z").withColumn("name", F.lit("town a")))
+    asked = spark.createDataFrame(
+        [(1, "town a", "2023-03-01"), (2, "town a", "2023-03-03"), (3, "town a", "2023-02-30"), (4, "town a", "2023-3-1"), (5, "town a", None),
+         (6, "town x", "2023-02-30"), (7, None, "2023-03-01"), (8, "town b", "2023-03-01"), (1, "town a", "2023-03-01")], "k int, town string, date string")
+    got = [(r.k, r.status, r.station_id, r.pour_score) for r in reports.points_by_text(asked, stations, daily).orderBy("k").collect()]
+    assert got == [
+        (1, "ok", "a", "green"), (1, "ok", "a", "green"), (2, "no data", "a", None), (3, "invalid date", "a", None), (4, "invalid date", "a", None),
+        (5, "invalid date", "a", None), (6, "unknown town", None, None), (7, "unknown town", None, None), (8, "no data", "b", None),
+    ]

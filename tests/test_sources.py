@@ -1,6 +1,7 @@
 import json
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldcast.plans import derive as D
@@ -164,3 +165,19 @@ def test_freshness_has_four_answers(spark):
         ("fresh", "ok", False, "none", None), ("old", "ok", True, "active", ["", "Flood"]),
         ("later", "unavailable", None, "unknown", None), ("silent", "unavailable", None, "unknown", None),
     ]
+
+
+def test_declared_tables_refuse_other_types_and_tell_what_differs(spark, tmp_path):
+    root = str(tmp_path)
+    good = spark.createDataFrame([("a", "n", "c", "s", None, None, None)], S.STATIONS)
+    good.write.parquet(f"{root}/stations")
+    assert tables.schema_drift(spark, root, ["stations"]).count() == 0
+    assert tables.declared_table(spark, root, "stations").schema == S.STATIONS
+    jobs = spark.createDataFrame([], S.JOBS)
+    jobs.drop("month").withColumn("site", F.lit("x")).write.parquet(f"{root}/jobs")
+    assert tables.declared_table(spark, root, "jobs").columns == [f.name for f in S.JOBS]
+    got = {(r.column, r.declared, r.found, r.difference) for r in tables.schema_drift(spark, root, ["stations", "jobs"]).collect()}
+    assert got == {("month", "string", None, "missing"), ("site", None, "string", "extra")}
+    good.select("station_id", F.lit("2020-01-01").alias("observation_date")).write.parquet(f"{root}/daily_weather")
+    with pytest.raises(ValueError, match="table daily_weather: observation_date is string, not date"):
+        tables.declared_table(spark, root, "daily_weather")
