@@ -277,15 +277,54 @@ def point_answers(spark, sf):
 # --- hours -----------------------------------------------------------------------------------
 
 
-@query
-def quarantine(spark, sf):
-    """Every eleventh site sends text that is no JSON, every seventh a first hour that is no time: what is read and what
-    is set aside, per site."""
+def _spoilt_forecasts(spark, sf):
     site = F.substring("station_id", 2, 10).cast("int")
     text = F.when(site % 11 == 0, F.substring("payload", 1, 40)).when(
         site % 7 == 0, F.regexp_replace("payload", '"time":\\["[^"]*"', '"time":["half past nine"')
     )
-    given = D.forecast_documents(D.hourly(spark, sf)).withColumn("payload", F.coalesce(text, "payload"))
+    return D.forecast_documents(D.hourly(spark, sf)).withColumn("payload", F.coalesce(text, "payload"))
+
+
+@query
+def stream_quarantine(spark, sf):
+    """Streams of all three kinds of documents, some of them cut off, some with an entry that cannot be read: rows per kind
+    that were read and set aside, as stored and as counted on the way."""
+    current = _current_documents(spark, sf)
+    text = F.when(F.col("seq") % 11 == 0, F.substring("payload", 1, 30)).when(
+        F.col("seq") % 7 == 0, F.lit('{"current":{"temperature_2m":50.5,"wind_gusts_10m":"strong"}}')
+    )
+    warned = D.alert_documents(D.alerts(spark, sf))
+    listed = F.when(F.col("document_id") % 11 == 0, F.lit("[]")).when(
+        F.col("document_id") % 7 == 0, F.regexp_replace("payload", '"features":\\[', '"features":[7,"x",null,')
+    )
+    given = {
+        "forecast": _spoilt_forecasts(spark, sf),
+        "current": current.withColumn("payload", F.coalesce(text, "payload")),
+        "alerts": warned.withColumn("payload", F.coalesce(listed, "payload")),
+    }
+    run = scratch_dir(spark, "documents-run")
+    out = None
+    for kind, rows in given.items():
+        rows.repartition(2).write.parquet(f"{run}/{kind}/in")
+        stream = streams.tail(spark, f"{run}/{kind}/in", rows.schema, 1)
+        job = streams.write_documents(stream, kind, f"{run}/{kind}", f"{run}/{kind}/progress")
+        counts = _finish(job, f"{run}/{kind}/counts").groupBy().pivot("part", ["read", "aside"]).agg(F.sum("n"))
+        aside = spark.read.parquet(f"{run}/{kind}/aside").agg(
+            F.count_if(F.col("position").isNull()).alias("documents_aside"), F.count("position").alias("entries_aside")
+        )
+        stored = spark.read.parquet(f"{run}/{kind}/read").agg(F.count(F.lit(1)).alias("entries_read"))
+        one = stored.select(F.lit(kind).alias("kind"), "*", aside.select("documents_aside").scalar().alias("documents_aside"),
+                            aside.select("entries_aside").scalar().alias("entries_aside"),
+                            counts.select("read").scalar().alias("counted_read"), counts.select("aside").scalar().alias("counted_aside"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def quarantine(spark, sf):
+    """Every eleventh site sends text that is no JSON, every seventh a first hour that is no time: what is read and what
+    is set aside, per site."""
+    given = _spoilt_forecasts(spark, sf)
     read = documents.forecast_hours(given).groupBy("station_id").agg(F.count("*").alias("hours_read"))
     aside = documents.unreadable(given).groupBy("station_id").agg(
         F.count(F.when(F.col("position").isNull(), 1)).alias("broken_documents"), F.count("position").alias("broken_hours")
@@ -513,14 +552,16 @@ def bounded_log(spark, sf):
     return flat(streams.bounded_log(spark, f"{run}/log"))
 
 
+def _current_documents(spark, sf):
+    names = {n: f for n, f in HOURLY_FIELDS.items() if n != "precip_prob_pct"}
+    document = F.struct(F.struct(*[F.col(n).alias(f) for n, f in names.items()]).alias("current"))
+    return D.readings(spark, sf).select("station_id", "ts", "seq", F.to_json(document).alias("payload"))
+
+
 @query
 def current_conditions(spark, sf):
     """Readings written as current-conditions documents and read back."""
-    rows = D.readings(spark, sf)
-    names = {n: f for n, f in HOURLY_FIELDS.items() if n != "precip_prob_pct"}
-    document = F.struct(F.struct(*[F.col(n).alias(f) for n, f in names.items()]).alias("current"))
-    documents_in = rows.select("station_id", "ts", "seq", F.to_json(document).alias("payload"))
-    return flat(documents.current_conditions(documents_in))
+    return flat(documents.current_conditions(_current_documents(spark, sf)))
 
 
 @query

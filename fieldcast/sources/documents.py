@@ -68,13 +68,34 @@ def history_hours(documents: DataFrame, text: str = "payload") -> DataFrame:
     return forecast_hours(documents, text).withColumn("precip_prob_pct", F.lit(None).cast("double"))
 
 
+CURRENT_FIELDS = {n: f for n, f in S.HOURLY_FIELDS.items() if n != "precip_prob_pct"}
+CURRENT_TEXT = f"struct<{BAD}:string,current:struct<" + ",".join(f"{f}:string" for f in CURRENT_FIELDS.values()) + ">>"
+
+
+def _opened_current(documents: DataFrame, text: str) -> DataFrame:
+    """The documents with their measures as text (``_c``) and whether all of it can be read."""
+    parsed = F.from_json(F.col(text), CURRENT_TEXT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    right = F.col(f"_d.{BAD}").isNull() & F.col("_c").isNotNull()
+    for f in CURRENT_FIELDS.values():
+        right = right & (F.col(f"_c.{f}").isNull() | F.col(f"_c.{f}").try_cast("double").isNotNull())
+    opened = documents.select("*", parsed.alias("_d")).withColumn("_c", F.col("_d.current"))
+    return opened.withColumn("_right", F.coalesce(right, F.lit(False)))
+
+
 def current_conditions(documents: DataFrame, text: str = "payload") -> DataFrame:
+    """One row per readable document; measures that it lacks are NULL. ``unreadable_current`` lists the others, so a broken
+    document is not taken for a silent station."""
     kept = [c for c in documents.columns if c != text]
-    opened = documents.select(*kept, _permissive(F.col(text), S.CURRENT_DOCUMENT)["current"].alias("c"))
-    return opened.select(
-        *kept,
-        *[F.col(f"c.{f}").alias(n) for n, f in S.HOURLY_FIELDS.items() if n != "precip_prob_pct"],
-    )
+    measures = [F.col(f"_c.{f}").try_cast("double").alias(n) for n, f in CURRENT_FIELDS.items()]
+    return _opened_current(documents, text).filter("_right").select(*kept, *measures)
+
+
+def unreadable_current(documents: DataFrame, text: str = "payload") -> DataFrame:
+    """Quarantine of current conditions: the documents that are no JSON with a ``current`` object, or have a measure that is no
+    number. ``position`` is NULL, as for every document that is set aside whole."""
+    kept = [c for c in documents.columns if c != text]
+    broken = _opened_current(documents, text).filter("NOT _right")
+    return broken.select(*kept, F.lit(None).cast("int").alias("position"), F.col(text).alias("content"))
 
 
 def split_bad_documents(documents: DataFrame, schema, text: str = "payload") -> tuple[DataFrame, DataFrame]:
@@ -112,18 +133,51 @@ def relevant_alerts(alerts: DataFrame, description_length: int = 300) -> DataFra
     )
 
 
+ALERT_TEXT = f"struct<{BAD}:string,features:array<string>>"
+
+
+def _alert_lists(documents: DataFrame, text: str) -> DataFrame:
+    """The documents with the texts of their features, and whether there is such a list."""
+    parsed = F.from_json(F.col(text), ALERT_TEXT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    whole = F.col(f"_d.{BAD}").isNull() & F.col("_d.features").isNotNull()
+    return documents.select("*", parsed.alias("_d")).withColumn("_whole", F.coalesce(whole, F.lit(False)))
+
+
+def _opened_features(documents: DataFrame, text: str) -> DataFrame:
+    """A row per feature of the readable documents: its place, its text, its parsed form, and whether it is an object."""
+    features = _alert_lists(documents, text).filter("_whole").select("*", F.posexplode("_d.features").alias("position", "content"))
+    feature = S.ALERT_DOCUMENT["features"].dataType.elementType.simpleString().replace("struct<", f"struct<{BAD}:string,", 1)
+    parsed = F.from_json("content", feature, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    right = F.col("f").isNotNull() & F.col(f"f.{BAD}").isNull() & F.ltrim("content").startswith("{")
+    return features.withColumn("f", parsed).withColumn("_right", F.coalesce(right, F.lit(False)))
+
+
 def alert_features(documents: DataFrame, text: str = "payload") -> DataFrame:
-    """Alert documents to one row per feature, in document order."""
+    """Alert documents to one row per feature, in document order. ``unreadable_alerts`` lists documents and features that
+    cannot be read."""
     kept = [c for c in documents.columns if c != text]
-    opened = documents.select(
-        *kept,
-        F.posexplode(_permissive(F.col(text), S.ALERT_DOCUMENT)["features"]).alias("position", "f"),
-    )
     p = lambda n: F.col(f"f.properties.{n}")
-    return opened.select(
+    return _opened_features(documents, text).filter("_right").select(
         *kept, "position",
         F.coalesce(p("id"), F.lit("")).alias("alert_id"),
         *[p(n).alias(n) for n in ("event", "headline", "severity", "urgency")],
         p("areaDesc").alias("areas"),
         *[p(n).alias(n) for n in ("onset", "expires", "description")],
     )
+
+
+def unreadable_alerts(documents: DataFrame, text: str = "payload") -> DataFrame:
+    """Quarantine of alert documents: a row per document without a list of features (``position`` NULL, its text) and per
+    feature that is no object of the expected shape (its place and text). An empty list is no fault."""
+    kept = [c for c in documents.columns if c != text]
+    broken = _alert_lists(documents, text).filter("NOT _whole")
+    whole = broken.select(*kept, F.lit(None).cast("int").alias("position"), F.col(text).alias("content"))
+    return whole.unionByName(_opened_features(documents, text).filter("NOT _right").select(*kept, "position", "content"))
+
+
+#: Kind of document: how it is read, and what is set aside.
+KINDS = {
+    "forecast": (forecast_hours, unreadable),
+    "current": (current_conditions, unreadable_current),
+    "alerts": (alert_features, unreadable_alerts),
+}

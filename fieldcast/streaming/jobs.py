@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,6 +18,7 @@ from ..functions.times import seconds_since_1970
 from ..operators.hours import wall_clock
 from ..session import clear_scratch, remove_path, scratch_mark
 from ..sinks.tables import last_known, latest_rows
+from ..sources.documents import KINDS
 from .alerts import dedup_batch, still_held
 from .changes import changes_batch, last_verdicts
 
@@ -128,6 +129,31 @@ def write_published(
     return _stepwise(alerts, step, state, checkpoint, poll, out)
 
 
+def write_documents(stream: DataFrame, kind: str, path: str, checkpoint: str, poll: str | None = None) -> StreamingQuery:
+    """Reads a stream of documents (``kind`` of ``documents.KINDS``): what can be read goes to ``path``/read, what cannot to
+    ``path``/aside, and how many rows either got to ``path``/counts, a folder per micro-batch each. One broken document or
+    entry does not stop the others. The batch is taken from its source once; the counts are observed while it is written."""
+    read, aside = KINDS[kind]
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            counts = []
+            for name, rows in (("read", read(batch)), ("aside", aside(batch))):
+                seen = Observation()
+                rows = rows.observe(seen, F.count(F.lit(1)).alias("n"))
+                rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+                counts.append((name, seen.get["n"]))
+            told = batch.sparkSession.createDataFrame(counts, "part string, n bigint")
+            told.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    trigger = {"processingTime": poll} if poll else {"availableNow": True}
+    return writer.trigger(**trigger).start()
+
+
 def trim_log(messages: DataFrame, stream: str, per_station: bool = False) -> DataFrame:
     """The messages a bounded log keeps: the newest N of the whole stream, or of each station."""
     order = [F.col("ts").desc(), F.col("seq").desc()]

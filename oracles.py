@@ -365,6 +365,16 @@ SQL["quarantine"] = sql(
          case when k % 11 = 0 then d else 0 end as broken_documents, case when k % 11 <> 0 and k % 7 = 0 then d else 0 end as broken_hours
        from (select station_id, cast(substr(station_id, 2) as bigint) as k, count(*) as n, count(distinct cast(time as date)) as d from hourly group by 1, 2)"""
 )
+SITES = ("sites", "select station_id, cast(substr(station_id, 2) as bigint) as k, count(*) as n, count(distinct cast(time as date)) as d from hourly group by 1, 2")
+WARNED = ("warned", "select areas, onset, min(seq) as id, count(*) as n from alert_rows group by 1, 2")
+TALLY = ("tally", """select 'forecast' as kind, sum(case when k % 11 = 0 then 0 when k % 7 = 0 then n - d else n end) as r,
+      sum(case when k % 11 = 0 then d else 0 end) as w, sum(case when k % 11 <> 0 and k % 7 = 0 then d else 0 end) as e from sites
+    union all select 'current', count(*) filter (seq % 11 <> 0 and seq % 7 <> 0), count(*) filter (seq % 11 = 0 or seq % 7 = 0), 0 from readings
+    union all select 'alerts', coalesce(sum(n) filter (id % 11 <> 0), 0), count(*) filter (id % 11 = 0), 3 * count(*) filter (id % 11 <> 0 and id % 7 = 0) from warned""")
+SQL["stream_quarantine"] = sql(
+    """select kind, cast(r as bigint) as entries_read, cast(w as bigint) as documents_aside, cast(e as bigint) as entries_aside,
+         cast(r as bigint) as counted_read, cast(w + e as bigint) as counted_aside from tally""", SITES, WARNED, TALLY
+)
 SQL["flatten_history"] = SQL["flatten_forecast"].replace("cast(prob as double) as precip_prob_pct", "cast(null as double) as precip_prob_pct")
 SQL["hourly_pour"] = sql(f"select station_id, time, {label('sev')} as pour_score, {HOUR_TEXT} as pour_factors from graded")
 WORK = "hour >= 7 and hour < 17"

@@ -181,3 +181,42 @@ def test_declared_tables_refuse_other_types_and_tell_what_differs(spark, tmp_pat
     good.select("station_id", F.lit("2020-01-01").alias("observation_date")).write.parquet(f"{root}/daily_weather")
     with pytest.raises(ValueError, match="table daily_weather: observation_date is string, not date"):
         tables.declared_table(spark, root, "daily_weather")
+
+
+def test_each_document_and_feature_is_read_or_set_aside(spark):
+    texts = [
+        (1, '{"current":{"temperature_2m":50.5}}'), (2, '{"current":{}}'), (3, '{"current":{"temperature_2m":"warm"}}'), (4, "{}"),
+        (5, '{"current":'), (6, None), (7, ""), (8, '{"current":[1]}'), (9, '{"current":{"temperature_2m":"50.5","position":9}}'),
+    ]
+    df = spark.createDataFrame(texts, "k int, payload string")
+    read = {r.k: r.temp_f for r in documents.current_conditions(df).collect()}
+    aside = {r.k: (r.position, r.content) for r in documents.unreadable_current(df).collect()}
+    assert read == {1: 50.5, 2: None, 9: 50.5}
+    assert aside == {k: (None, t) for k, t in texts if k not in read}
+
+    whole = json.dumps({"features": [feature("Hail", id="h")]})
+    mixed = '{"features":[{"properties":{"id":"a"}},7,"x",null,{"properties":"none"},[1],{},{"properties":{"id":"b"}}]}'
+    alerts = [(1, whole), (2, mixed), (3, '{"features":[]}'), (4, "{}"), (5, '{"features":7}'), (6, "[]"), (7, None), (8, '{"features":[{'), (2, mixed)]
+    df = spark.createDataFrame(alerts, "k int, payload string")
+    read = sorted((r.k, r.position, r.alert_id) for r in documents.alert_features(df).collect())
+    assert read == sorted([(1, 0, "h")] + [(2, 0, "a"), (2, 6, ""), (2, 7, "b")] * 2)
+    aside = sorted((r.k, -1 if r.position is None else r.position) for r in documents.unreadable_alerts(df).collect())
+    assert aside == sorted([(2, p) for p in (1, 2, 3, 4, 5)] * 2 + [(k, -1) for k in (4, 5, 6, 7, 8)])
+    empty = df.limit(0)
+    assert documents.alert_features(empty).count() == documents.unreadable_alerts(empty).count() == 0
+
+
+def test_documents_in_a_stream_with_nothing_or_all_set_aside(spark, tmp_path):
+    from fieldcast.streaming import jobs
+
+    root = str(tmp_path)
+    schema = "station_id string, payload string"
+    for k, text in enumerate(['{"current":{"temperature_2m":1}}', "broken", '{"current":{"temperature_2m":2}}']):
+        spark.createDataFrame([(f"s{k}", text)] * 3, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        job = jobs.write_documents(jobs.tail(spark, f"{root}/in", schema, 1), "current", root, f"{root}/progress")
+        job.awaitTermination()
+        assert job.exception() is None
+    counts = {(r.batch, r.part): r.n for r in spark.read.parquet(f"{root}/counts").collect()}
+    assert counts == {(0, "read"): 3, (0, "aside"): 0, (1, "read"): 0, (1, "aside"): 3, (2, "read"): 3, (2, "aside"): 0}
+    assert spark.read.parquet(f"{root}/read").count() == 6
+    assert [r.content for r in spark.read.parquet(f"{root}/aside").collect()] == ["broken"] * 3
