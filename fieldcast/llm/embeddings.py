@@ -3,7 +3,8 @@
 Vectors are sorted by the cells of a grid on their leading principal dimensions; the grid is as wide as the distance
 that the cosine allows. The sequence is cut into blocks. Blocks whose boxes are farther apart than that distance are
 never paired; pairs that are left are joined recursively by halving intervals of the sequence, again skipping distant
-ones, down to small matrix products. A pair of blocks reports link counts and a spanning forest, never its pairs, so
+ones, down to small matrix products. Pairs of blocks are dealt to cells, rows of blocks by columns of blocks, and a block is
+sent to a cell once, however many pairs it has there. A cell reports link counts and a spanning forest, never its pairs, so
 dense groups cost no more output than sparse ones. Equal vectors are one vector with a number of copies.
 """
 
@@ -24,9 +25,10 @@ from .components import connected_components
 LEAD = 6
 BLOCK = 2048
 LEAF = 128
+#: Blocks along one side of a cell, at most, and numbers that one side may hold.
+SIDE, SIDE_NUMBERS = 4, 1 << 22
 #: Vectors that the principal dimensions are taken from, at most, and numbers that may be taken for them.
 FIT_ROWS, FIT_NUMBERS = 20_000, 4_000_000
-DOUBT = 1e-5
 EDGE = 1e-9
 
 
@@ -62,6 +64,12 @@ def _gap(lo_a, hi_a, lo_b, hi_b) -> float:
     return float((apart * apart).sum())
 
 
+def rounding(size: int) -> float:
+    """How far a cosine in single precision may be off: rounding both vectors, the products and their sum in any order
+    adds less than (size + 4) roundings of 2 ** -24, as the products of two unit vectors sum to one at most."""
+    return (size + 4) * 2.0**-24 * 1.01
+
+
 class Block:
     """A stretch of the sequence with the boxes of its leaves."""
 
@@ -104,7 +112,7 @@ def _leaf_links(a: Block, b: Block, i: int, j: int, least: float, forest: Forest
     sa, sb = a.leaf(i), b.leaf(j)
     cosine = a.short[sa] @ b.short[sb].T
     hit = cosine >= least
-    doubt = np.abs(cosine - least) < DOUBT
+    doubt = np.abs(cosine - least) <= rounding(a.unit.shape[1])
     if doubt.any():
         x, y = np.nonzero(doubt)
         hit[x, y] = np.einsum("ij,ij->i", a.unit[sa][x], b.unit[sb][y]) >= least
@@ -153,15 +161,26 @@ def join_blocks(a: Block, b: Block, least: float, reach: float, forest: Forest)
 def _joined(least: float, reach: float, kind: str):
     names = ("keys", "copies", "vectors", "lead")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for row in rows.to_dict("records"):
-                a = Block(row["size"], *(row[f"{n}_a"] for n in names), kind)
-                b = a if row["a"] == row["b"] else Block(row["size"], *(row[f"{n}_b"] for n in names), kind)
-                forest = Forest()
-                join_blocks(a, b, least, reach, forest)
-                found = [(k, n, forest.root(k)) for x in ((a,) if a is b else (a, b)) for k, n in zip(x.keys.tolist(), x.counts.tolist(), strict=True) if n]
-                yield pd.DataFrame(found, columns=["key", "n_links", "root"], dtype=np.int64)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """All block pairs of one cell. Two blocks are open at a time; the others wait as bytes."""
+        packed = {r["block"]: r for r in rows.to_dict("records")}
+        opened = lambda n: Block(packed[n]["size"], *(packed[n][name] for name in names), kind)
+        counts: dict[int, np.ndarray] = {}
+        forest, a, at = Forest(), None, None
+        for left, right in sorted((p["a"], p["b"]) for p in rows["pairs"].iloc[0]):
+            if left != at:
+                a, at = opened(left), left
+            b = a if left == right else opened(right)
+            a.counts[:] = 0
+            join_blocks(a, b, least, reach, forest)
+            for number, block in {left: a, right: b}.items():
+                counts[number] = counts.get(number, 0) + block.counts
+        found = [
+            (k, n, forest.root(k))
+            for number, links in counts.items()
+            for k, n in zip(np.frombuffer(packed[number]["keys"], dtype="<i8").tolist(), links.tolist(), strict=True) if n
+        ]
+        return pd.DataFrame(found, columns=["key", "n_links", "root"], dtype=np.int64)
 
     return run
 
@@ -246,9 +265,15 @@ def near_duplicates(
     made = "size int, block bigint, keys binary, copies binary, vectors binary, lead binary, lo array<double>, hi array<double>"
     blocks = stored(ordered.groupBy("size", "block").applyInPandas(_blocks(kind), made), "blocks")
     pairs = _pairs(blocks, width, reach, lead)
-    side = lambda s: blocks.select("size", F.col("block").alias(s), *[F.col(n).alias(f"{n}_{s}") for n in ("keys", "copies", "vectors", "lead")])
-    both = pairs.join(side("a"), ["size", "a"]).join(side("b"), ["size", "b"])
-    found = stored(both.mapInPandas(_joined(least, reach, kind), "key bigint, n_links bigint, root bigint"), "found")
+    # a cell has SIDE x SIDE pairs at most, and each of its blocks once
+    side = F.least(F.lit(SIDE), F.greatest(F.lit(1), F.floor(F.lit(SIDE_NUMBERS) / (F.col("size") * block)))).cast("int")
+    cell = ["size", "row", "col"]
+    dealt = pairs.withColumns({"row": F.floor(F.col("a") / side), "col": F.floor(F.col("b") / side)})
+    cells = dealt.groupBy(*cell).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    sent = cells.withColumn("block", F.explode(F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["a"], p["b"]))))))
+    sent = sent.join(blocks.select("size", "block", "keys", "copies", "vectors", "lead"), ["size", "block"])
+    found = sent.groupBy(*cell).applyInPandas(_joined(least, reach, kind), "key bigint, n_links bigint, root bigint")
+    found = stored(found, "found")
     counts = found.groupBy("key").agg(F.sum("n_links").alias("linked"))
     labels = connected_components(found.select(F.col("key").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "key")
     placed = groups.select("vector", "copies", "first_id", "key").join(labels, "key", "left").join(counts, "key", "left")
