@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -144,6 +145,61 @@ def test_toxicity_learns_words_and_their_forms(spark, odd_docs, no_docs):
     assert nothing.score(WORDY) < 0.5
 
 
+def test_toxicity_pairs_of_words_matter(spark):
+    """Toxic is "zonk" right before "blip"; both words stand apart, or the other way round, in clean texts."""
+    r = np.random.default_rng(5)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    texts, labels = [], []
+    for i in range(2400):
+        words = r.choice(vocabulary, 30).tolist()
+        at, toxic = int(r.integers(1, 25)), i % 2
+        words[at : at + 2] = ["zonk", "blip"] if toxic else ["blip", "zonk"]
+        texts.append(toxicity.words(" ".join(words)))
+        labels.append(toxic)
+    model = toxicity.train(texts[:2000], np.array(labels[:2000]), ["en"] * 2000)
+    right = np.mean([(model.logit(t) >= model.thresholds[0]) == y for t, y in zip(texts[2000:], labels[2000:])])
+    for f in model.filters[1:]:
+        f[1:] = 0
+    alone = np.mean([(model.logit(t) >= model.thresholds[0]) == y for t, y in zip(texts[2000:], labels[2000:])])
+    assert right > 0.9 and alone < right - 0.2
+
+
+def test_toxicity_with_few_labels_is_not_switched_off():
+    r = np.random.default_rng(3)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    text = lambda bad: " ".join(r.choice(vocabulary, 20).tolist() + (["zonkers", "zonked"] if bad else []))
+    labels = np.array([int(i % 75 == 0) for i in range(600)])
+    model = toxicity.train([toxicity.words(text(y)) for y in labels], labels, [None] * 600)
+    assert labels.sum() == 8 and all(model.score(text(True)) >= 0.5 for _ in range(20))
+    assert sum(model.score(text(False)) >= 0.5 for _ in range(200)) <= 2
+
+
+def test_toxicity_thresholds_by_hand():
+    labels = np.array([1, 1, 0, 0, 1, 0, 0, 1, 0, 1])
+    groups = np.array([0, 0, 0, 0, 1, 1, 1, 1, 1, 2])
+    logits = np.array([9.0, 8, 5, 4, 3, 2, 1, 2.5, 0, 2.2])
+    pooled = toxicity._best_threshold(logits, labels)
+    # two rows of the rarer class in the first two groups, none in the third
+    want = [(2 * 6.5 + 12 * pooled) / 14, (2 * 2.25 + 12 * pooled) / 14, pooled]
+    assert np.allclose(toxicity._thresholds(logits, labels, groups, 3), want)
+    assert (toxicity._thresholds(logits, labels * 0, groups, 3) > 20).all()
+    dealt = toxicity._deal(np.array([0] * 50 + [1] * 7), np.arange(57) % 3, 3, np.random.default_rng(0))
+    for y in (dealt[:50], dealt[50:]):
+        assert np.ptp(np.bincount(y, minlength=3)) <= 1
+
+
+def test_toxicity_sample_is_bounded_by_documents_and_bytes(spark):
+    docs = [(7, "en", "a" * 40)] * 5 + [(7, "de", None), (None, "en", "x"), (9, "fr", "b" * 1000)] + [(i, "en", "c" * 30) for i in range(20, 60)]
+    df = spark.createDataFrame(docs, "doc_id long, lang string, text string").withColumn("toxic", F.lit("clash"))
+    marks = spark.createDataFrame([(i, 0, int(i == 7)) for i in [7, 7, 9, *range(20, 60)]] + [(7, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    usable = {i for i in [7, 9, *range(20, 60)] if zlib.crc32(str(i).encode()) % 5}
+    rows = toxicity.sample(df, marks).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(usable) and all(r["toxic"] == int(r["doc_id"] == 7) for r in rows)
+    few = toxicity.sample(df, marks, train_bytes=200).collect()
+    assert 0 < sum(len(r["text"] or "") for r in few) <= 200 and len(few) < len(rows)
+    assert toxicity.sample(df, marks, train_rows=4).count() == 4 and toxicity.sample(df.limit(0), marks).count() == 0
+
+
 def test_toxicity_query_shape(spark):
     got = QUERIES["op2_toxicity"](spark, SF).toPandas()
     assert sorted(got["doc_id"]) == sorted(small(SF, "documents")["doc_id"]) and list(got.columns) == ["doc_id", "held_out", "score", "predicted"]
