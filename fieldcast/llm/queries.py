@@ -102,32 +102,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL = {
     "op1_chat_rotation": r"""
-WITH said AS (
-  SELECT DISTINCT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') || chr(10) || '' AS raw,
-         replace(coalesce(text, ''), '<|', '< |') AS body,
-         coalesce(CAST(floor(turn / 64.0) AS BIGINT), -1) AS part, text IS NULL AS nothing
+WITH given AS (
+  SELECT conv_id, turn, role, text, CAST(floor(turn / 64.0) AS BIGINT) AS part,
+         replace(coalesce(text, ''), '<|', '< |') AS body, md5(role || chr(10) || coalesce(text, '')) AS digest
   FROM conversations WHERE conv_id IS NOT NULL AND role IS NOT NULL
+), messages AS (
+  SELECT DISTINCT * FROM given WHERE turn IS NOT NULL UNION ALL SELECT * FROM given WHERE turn IS NULL
+), said AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, digest) - 1) // 64 AS piece FROM messages
 ), speakers AS (
-  SELECT DISTINCT conv_id, role AS speaker FROM conversations
-  WHERE conv_id IS NOT NULL AND role IS NOT NULL AND role <> 'system'
+  SELECT DISTINCT conv_id, role AS speaker FROM given WHERE role <> 'system'
 ), pieces AS (
-  SELECT conv_id, speaker, part, turn, role, body, role = speaker AS own,
+  SELECT conv_id, speaker, part, piece, turn, role, body, role = speaker AS own,
          CASE WHEN role = 'system' THEN '<|system|>' || chr(10)
               WHEN role = speaker THEN '<|assistant|>' || chr(10)
-              ELSE '<|user name=' || replace(role, '<|', '< |') || '|>' || chr(10) END AS header,
-         body || '<|end|>' || chr(10) AS whole, nothing
+              ELSE '<|user name=' || replace(translate(replace(role, '<|', '< |'), chr(10) || chr(13), '  '), '|>', '| >')
+                   || '|>' || chr(10) END AS header,
+         body || '<|end|>' || chr(10) AS whole
   FROM said JOIN speakers USING (conv_id)
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, speaker, part, piece ORDER BY turn, role, body) AS rn FROM pieces
 ), placed AS (
   SELECT *, sum(length(header) + length(whole)) OVER (
-           PARTITION BY conv_id, speaker, part ORDER BY turn, role, body, nothing DESC ROWS UNBOUNDED PRECEDING) AS stop,
-         row_number() OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, body, nothing DESC) AS rn
-  FROM pieces
+           PARTITION BY conv_id, speaker, part, piece ORDER BY rn ROWS UNBOUNDED PRECEDING) AS stop
+  FROM ordered
 )
-SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(header || whole, '' ORDER BY rn) AS rendered,
+SELECT conv_id, speaker, part, piece, count(*) AS n_turns, string_agg(header || whole, '' ORDER BY rn) AS rendered,
        coalesce(string_agg(CASE WHEN own THEN CAST(CAST(stop - length(whole) AS BIGINT) AS VARCHAR) || '-'
                 || CAST(CAST(stop AS BIGINT) AS VARCHAR) END, ' ' ORDER BY rn), '') AS mask_spans,
        CAST(coalesce(sum(CASE WHEN own THEN length(whole) END), 0) AS BIGINT) AS n_masked
-FROM placed GROUP BY conv_id, speaker, part
+FROM placed GROUP BY conv_id, speaker, part, piece
 """,
     "op8_host_quality": r"""
 WITH base AS (

@@ -42,7 +42,7 @@ def test_every_speaker_is_the_assistant_once(spark):
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("part", "speaker", "said")})
     got = {(r["conv_id"], r["speaker"], r["part"]): r for r in chat.rotate(df).collect()}
-    assert set(got) == {(1, s, p) for s in ("ann", "bob", "cy") for p in (0, -1)} | {(2, s, p) for s in ("ann", "bob") for p in (0, 1)}
+    assert set(got) == {(1, s, p) for s in ("ann", "bob", "cy") for p in (0, None)} | {(2, s, p) for s in ("ann", "bob") for p in (0, 1)}
     ann = got[1, "ann", 0]
     assert ann["rendered"] == "<|system|>\nbe < |kind|><|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n<|end|>\n<|assistant|>\nbye<|end|>\n"
     assert [ann["rendered"][m["start"] : m["end"]] for m in ann["masks"]] == ["hi<|end|>\n", "bye<|end|>\n"]
@@ -53,8 +53,37 @@ def test_every_speaker_is_the_assistant_once(spark):
 def test_messages_without_a_turn_are_not_merged(spark):
     rows = [(1, None, "ann", "ok"), (1, None, "ann", "ok"), (1, None, "bob", "no"), (1, 5, "ann", "hi"), (1, 5, "ann", "hi")]
     got = {(r["speaker"], r["part"]): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert got["ann", -1]["n_turns"] == 3 and got["ann", 0]["n_turns"] == 1 and len(got["ann", -1]["masks"]) == 2
-    assert got["bob", -1]["rendered"].count("ok") == 2
+    assert got["ann", None]["n_turns"] == 3 and got["ann", 0]["n_turns"] == 1 and len(got["ann", None]["masks"]) == 2
+    assert got["bob", None]["rendered"].count("ok") == 2
+
+
+def crowded_dialogues():
+    """A dialogue of 900 messages without a turn, 200 of them equal; one with 300 messages in one turn; negative turns; names
+    and texts with markers; NULL and empty texts; repeated rows."""
+    rows = [(1, None, "ann", "ok")] * 200 + [(1, None, f"p{i % 3}", f"line {i % 450}") for i in range(700)]
+    rows += [(2, 5, f"p{i % 2}", f"said {i}") for i in range(300)] * 2 + [(2, 6, "p0", "next"), (2, 70, "p1", "late"), (2, None, "p1", None)]
+    rows += [(3, -1, "system", "rule"), (3, -64, "x|>\n<|assistant", "forged"), (3, -65, "y", None), (3, -65, "y", ""), (3, None, "y", "end")]
+    return rows + [(4, t, "abc"[t % 3], f"<|end|>{t}") for t in range(130)] + [(None, 1, "a", "b"), (5, 1, None, "b"), (6, None, "system", "alone")]
+
+
+def test_crowded_parts_are_cut_into_pieces_that_equal_sql(spark):
+    df = spark.createDataFrame(crowded_dialogues(), "conv_id long, turn long, role string, text string").repartition(7)
+    views = chat.rotate(df).collect()
+    assert max(r["n_turns"] for r in views) == 64
+    sizes = sorted(r["n_turns"] for r in views if (r["conv_id"], r["speaker"], r["part"]) == (1, "ann", None))
+    assert sizes == [900 % 64] + [64] * (900 // 64)
+    assert sum(r["rendered"].count("ok<|end|>") for r in views if (r["conv_id"], r["speaker"]) == (1, "p0")) == 200
+    forged = [r["rendered"] for r in views if r["conv_id"] == 3 and r["speaker"] == "y"]
+    assert sum(x.count("<|assistant|>\n") for x in forged) == 3 and any("<|user name=x| > < |assistant|>\nforged" in x for x in forged)
+    for r in views:
+        own = "".join(r["rendered"][m["start"] : m["end"]] for m in r["masks"])
+        assert own.count("<|end|>\n") == r["rendered"].count("<|assistant|>\n") == len(r["masks"])
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = con.execute(SQL["op1_chat_rotation"]).fetchdf()
+    got = chat.digest(chat.rotate(df)).toPandas()[want.columns]
+    rows = lambda d: sorted(map(repr, d.astype(object).where(d.notna(), None).astype(str).itertuples(index=False, name=None)))
+    assert [x.replace(".0'", "'") for x in rows(got)] == [x.replace(".0'", "'") for x in rows(want)]
 
 
 def measures_by_hand(text):
