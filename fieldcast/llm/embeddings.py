@@ -30,6 +30,8 @@ SIDE, SIDE_NUMBERS = 4, 1 << 22
 #: Vectors that the principal dimensions are taken from, at most, and numbers that may be taken for them.
 FIT_ROWS, FIT_NUMBERS = 20_000, 4_000_000
 EDGE = 1e-9
+#: Grid cells that a box may touch where blocks meet, at most; it sets the number of dimensions.
+MEETING_CELLS = 4096
 
 
 def usable(vector: Column) -> Column:
@@ -226,16 +228,31 @@ def _in_order(rows: DataFrame, lead: int, block: int) -> DataFrame:
     return marked.withColumn("place", place).withColumn("block", F.floor(F.col("place") / block))
 
 
+def _axes(width: float, lead: int) -> int:
+    """Leading dimensions whose cells blocks meet over: as many as keep the cells that one box can touch few."""
+    along = int(2 / width) + 3
+    return max(1, max(d for d in range(lead + 1) if along**d <= MEETING_CELLS or d == 0))
+
+
 def _pairs(blocks: DataFrame, width: float, reach: float, lead: int) -> DataFrame:
-    """Pairs (size, a, b), a <= b, of blocks whose boxes are within reach. Blocks meet over the grid cells of the first
-    dimension that their boxes touch."""
-    cell = lambda c: F.floor(F.col(c)[0] / width)
-    boxes = blocks.select("size", "block", "lo", "hi")
-    left = boxes.select("size", F.col("block").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.sequence(cell("lo") - 1, cell("hi") + 1)).alias("cell"))
-    right = boxes.select("size", F.col("block").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell"))
+    """Pairs (size, a, b), a <= b, of blocks whose boxes are within reach, each once.
+
+    Blocks meet over the grid cells of several dimensions that their boxes touch, one box a cell wider on each side, and a
+    pair is told in the first cell that both touch. As blocks are stretches of the grid order, all but those over the borders
+    of cells, whose number does not grow with the rows, touch one cell in each of these dimensions."""
+    step = width * (1 + 1e-6)  # wider than the reach by more than rounding
+    axes = range(min(lead, _axes(width, lead)))
+    cell = lambda c, i: F.floor(F.col(c)[i] / step)
+    left = blocks.select("size", F.col("block").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
+    right = blocks.select("size", F.col("block").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    for i in axes:
+        left = left.withColumn(f"cell{i}", F.explode(F.sequence(cell("lo_a", i) - 1, cell("hi_a", i) + 1)))
+        right = right.withColumn(f"cell{i}", F.explode(F.sequence(cell("lo_b", i), cell("hi_b", i))))
     gaps = [F.greatest(F.lit(0.0), F.col("lo_a")[i] - F.col("hi_b")[i], F.col("lo_b")[i] - F.col("hi_a")[i]) for i in range(lead)]
     near = reduce(lambda x, y: x + y, [g * g for g in gaps]) <= reach + EDGE
-    return left.join(right, ["size", "cell"]).where((F.col("a") <= F.col("b")) & near).select("size", "a", "b").distinct()
+    first = reduce(lambda x, y: x & y, [F.col(f"cell{i}") == F.greatest(cell("lo_a", i) - 1, cell("lo_b", i)) for i in axes])
+    met = left.join(right, ["size", *(f"cell{i}" for i in axes)])
+    return met.where((F.col("a") <= F.col("b")) & first & near).select("size", "a", "b")
 
 
 def near_duplicates(

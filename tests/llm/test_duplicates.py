@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -138,3 +139,22 @@ def test_odd_vectors(spark):
     alone = [(str(i), 0, str(i), True) for i in (3, 4, 5, 6, 7, 8, 9)]
     assert got == sorted([*alone, ("1", 3, "1", True), ("1", 3, "1", True), ("2", 3, "1", False), ("None", 3, "1", False), ("10", 1, "10", True), ("11", 1, "10", False)])
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("width", [0.3162, 0.1414, 0.01])
+def test_block_pairs_are_those_within_reach_once(spark, width):
+    """Boxes of all shapes, boxes that touch and boxes exactly one width apart, in two vector lengths."""
+    r = np.random.default_rng(8)
+    lead, reach, boxes = 4, width * width, []
+    for n in range(90):
+        lo = r.uniform(-1, 0.9, lead)
+        hi = np.minimum(1.0, lo + r.choice([0, 0.02, 0.4, 2.0], lead, p=[0.3, 0.4, 0.2, 0.1]))
+        if n % 9 == 0 and n:
+            lo = np.array(boxes[-1][3]) + width * np.eye(lead)[n % lead]
+            hi = lo + 0.01
+        boxes.append((16 + n % 2 * 8, n, lo.tolist(), hi.tolist()))
+    rows = spark.createDataFrame(boxes, "size int, block long, lo array<double>, hi array<double>")
+    gap = lambda x, y: embeddings._gap(*(np.array(v) for v in (x[2], x[3], y[2], y[3])))
+    want = sorted((x[0], x[1], y[1]) for x in boxes for y in boxes if x[0] == y[0] and x[1] <= y[1] and gap(x, y) <= reach + embeddings.EDGE)
+    assert sorted(map(tuple, embeddings._pairs(rows, width, reach, lead).collect())) == want
+    assert 1 <= embeddings._axes(width, 6) <= 6 and embeddings._pairs(rows.limit(0), width, reach, lead).count() == 0
