@@ -110,7 +110,9 @@ def prior(total: int, bad: int, hosts: int, squares: float) -> tuple[float, floa
 
 def judge(docs: DataFrame, host: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
     """doc_id, the measures, host_rate and kept for every row of ``docs``. A document stays if it passes the base
-    rules and its host's shrunk failure rate is at most ``host_rate``."""
+    rules and its host's shrunk failure rate is at most ``host_rate``. NULL and empty texts have no words and fail; a
+    NULL host is a host of its own; texts are measured whole; repeated rows each count and are each returned; a rate that
+    equals ``host_rate`` stays; other columns are ignored; an empty table gives none."""
     measured = stored(measures(docs.select("doc_id", host, "text")).drop("text"), "measures")
     rates = host_rates(measured, host, "base_failed").select(F.col("host").alias("_host"), "host_rate")
     joined = measured.join(rates, F.col(host).eqNullSafe(F.col("_host"))).drop("_host")
@@ -119,7 +121,8 @@ def judge(docs: DataFrame, host: str = "source", host_rate: float = HOST_RATE) -
 
 def keep(docs: DataFrame, host: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns. The measured rows are stored once with their texts,
-    so no key is needed to find the documents again."""
+    so no key is needed to find the documents again. Rows are decided as by ``judge``; columns may bear any name that does
+    not begin with ``_quality_``."""
     columns = docs.columns
     own = "_quality_"
     measured = measures(docs, own).select(*columns, f"{own}base_failed")
