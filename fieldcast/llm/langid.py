@@ -14,18 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import bound_batches, bounded_sample, fold
+from .common import bound_batches, fold
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = (1, 2, 3)
-#: Labelled documents that the counts are taken from, at most.
-TRAIN_ROWS = 8_000
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Share of a language's texts below which its floor is measured, and n-grams that a text needs to be measured.
 LOW = 0.005
 LEAST_GRAMS = 200
+#: Digits of a text's mean log likelihood that quantiles are taken from.
+MEAN_DIGITS = 4
 SLICE = 1 << 18
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,14 +83,13 @@ class Model:
         return bool(1 / np.exp(total - total[best]).sum() >= least_score and total[best] / n >= floors[best])
 
 
-def _learnt(docs: DataFrame, train_rows: int) -> DataFrame:
-    """(lang, text) of at most ``train_rows`` doc_ids whose fold is not 0."""
-    usable = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").where(fold(F.col("doc_id")) != 0)
-    chosen = bounded_sample(usable.select("doc_id", "lang"), "doc_id", train_rows).select("doc_id").distinct()
-    return usable.join(chosen, "doc_id", "left_semi").select("lang", "text")
+def _learnt(docs: DataFrame) -> DataFrame:
+    """(lang, text) of every document whose fold is not 0."""
+    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(fold(F.col("doc_id")) != 0)
+    return usable.select("lang", "text")
 
 
-def floors(docs: DataFrame, model: Model, train_rows: int = TRAIN_ROWS) -> np.ndarray:
+def floors(docs: DataFrame, model: Model) -> np.ndarray:
     """For each language the least log likelihood per n-gram that a text may have. It lies as far below the low quantile
     of the texts that were learnt from as that lies below their median, so clean texts of other shapes pass as well."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -105,18 +104,21 @@ def floors(docs: DataFrame, model: Model, train_rows: int = TRAIN_ROWS) -> np.nd
                 mean.append(total[place[lang]] / n if n >= LEAST_GRAMS else None)
             yield pd.DataFrame({"lang": rows["lang"], "mean": mean}).dropna()
 
-    scored = _learnt(docs, train_rows).mapInPandas(run, "lang string, mean double")
+    scored = _learnt(docs).mapInPandas(run, "lang string, mean double")
+    # quantiles of counted steps: a language has few of them, however many texts it has
+    steps = scored.groupBy("lang", F.round("mean", MEAN_DIGITS).alias("mean")).agg(F.count(F.lit(1)).alias("n"))
+    quantile = lambda share: F.percentile("mean", F.lit(share), F.col("n"))
     # at most two figures per language that the model holds
-    found = scored.groupBy("lang").agg(F.percentile("mean", F.lit(LOW)).alias("low"), F.median("mean").alias("middle")).collect()
+    found = steps.groupBy("lang").agg(quantile(LOW).alias("low"), quantile(0.5).alias("middle")).collect()
     least = {r["lang"]: 2 * r["low"] - r["middle"] for r in found}
     return np.array([least.get(x, -np.inf) for x in model.languages])
 
 
-def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
-    """Model from at most ``train_rows`` documents with text and lang whose fold is not 0; None if there are none."""
+def fit(docs: DataFrame) -> Model | None:
+    """Model from all documents with text and lang whose fold is not 0; None if there are none."""
     ship_package(docs.sparkSession)
     bound_batches(docs.sparkSession)
-    learnt = _learnt(docs, train_rows)
+    learnt = _learnt(docs)
     counts = (
         learnt.mapInPandas(_counted, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     )
@@ -151,10 +153,10 @@ def predict(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFrame
     return docs.mapInPandas(run, ", ".join([*kinds, f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
-def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row, learnt from the other folds. A NULL doc_id is not held out
     and never learnt from. Repeated rows are scored alike; an empty table gives no rows."""
-    model = fit(docs, train_rows)
+    model = fit(docs)
     # prediction sees the text alone; doc_id is carried past it
     scored = predict(docs.select("doc_id", "text"), model)
     held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")

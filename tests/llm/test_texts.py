@@ -145,6 +145,13 @@ def test_language_stage_rejects_what_was_not_learnt(spark):
     assert not {-1, -2, -3, -4} & set(kept) and len(kept) > 0.98 * clean
 
 
+def test_language_is_learnt_from_every_document(spark):
+    rare = [(20_000 + i, f"l{i:02d}", "xy z") for i in range(50)]
+    many = spark.range(12_000).selectExpr("id AS doc_id", "'en' AS lang", "'ab cd' AS text")
+    model = langid.fit(many.unionByName(spark.createDataFrame(rare, many.schema)))
+    assert model.languages == sorted({"en"} | {lang for i, lang, _ in rare if zlib.crc32(str(i).encode()) % 5})
+
+
 def test_naive_bayes_equals_the_sum_of_logs():
     model = langid.Model(["a", "b"], np.log(np.random.default_rng(0).random((langid.BUCKETS, 2))).astype(np.float32))
     text = "Grüße " * 200
