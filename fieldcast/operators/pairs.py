@@ -3,12 +3,14 @@
 Joining all stations of a day with each other would emit every pair for every day. Instead stations fall into blocks, and
 the days of a block over four years are packed once into a tile: a matrix of stations by days as bytes. Tiles, not days,
 travel to the cells where they meet other tiles; counts and sums of all pairs of two tiles are matrix products, and only one
-row of partial sums per station pair and four years leaves a task. All sums are integers below 2 ** 53, so the result does
+finished row per station pair leaves a task. All sums are integers below 2 ** 53, so the result does
 not depend on how the work was split.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -25,16 +27,19 @@ PARTIALS = ["n", "abs_sum", "abs_max", "differ", "sa", "sb", "saa", "sbb", "sab"
 BLOCK_STATIONS = 64
 #: Years of a tile.
 TILE_YEARS = 4
-#: Blocks along one side of a cell: a tile is sent to every cell of its row and column.
-CELL_BLOCKS = 4
+#: Blocks along one side of a cell, at most: a tile is sent to every cell of its row and column. With fewer blocks cells are
+#: smaller, so that there are about CELLS a side.
+CELL_BLOCKS = 32
+CELLS = 16
 DAYS = TILE_YEARS * 366
 UNKNOWN = np.iinfo(np.int32).min
-_PARTIAL_SCHEMA = "station_a string, station_b string, " + ", ".join(f"{p} bigint" for p in PARTIALS)
 _TILE_SCHEMA = "team string, block int, blocks int, period int, ids array<string>, temps binary, grades binary"
+_PAIR = ["station_a", "station_b", *PARTIALS]
+_SUM_SCHEMA = "station_a string, station_b string, station_a_name string, station_b_name string, " + ", ".join(f"{p} bigint" for p in PARTIALS)
 
 
 def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row: the days of a block over TILE_YEARS years as packed matrices."""
+    """One row: the days of a block over TILE_YEARS years as packed and compressed matrices."""
     ids, rows = np.unique(pdf["station_id"].to_numpy(dtype=object), return_inverse=True)
     temps = np.full((len(ids), DAYS), UNKNOWN, np.int32)
     grades = np.zeros((len(ids), DAYS), np.int8)
@@ -45,7 +50,7 @@ def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "team": [first["team"]], "block": [first["block"]], "blocks": [first["blocks"]], "period": [first["period"]],
-            "ids": [list(ids)], "temps": [temps.tobytes()], "grades": [grades.tobytes()],
+            "ids": [list(ids)], "temps": [zlib.compress(temps.tobytes(), 1)], "grades": [zlib.compress(grades.tobytes(), 1)],
         }
     )
 
@@ -59,9 +64,10 @@ class Tile(NamedTuple):
 
 def _open(row) -> Tile:
     ids = np.array(list(row.ids), dtype=object)
-    temps = np.frombuffer(row.temps, np.int32).reshape(len(ids), DAYS)
+    temps = np.frombuffer(zlib.decompress(row.temps), np.int32).reshape(len(ids), DAYS)
     known = temps != UNKNOWN
-    return Tile(ids, np.where(known, temps, 0), known, np.frombuffer(row.grades, np.int8).reshape(len(ids), DAYS))
+    grades = np.frombuffer(zlib.decompress(row.grades), np.int8).reshape(len(ids), DAYS)
+    return Tile(ids, np.where(known, temps, 0), known, grades)
 
 
 def _meet(a: Tile, b: Tile, same: bool) -> pd.DataFrame:
@@ -91,19 +97,46 @@ def _meet(a: Tile, b: Tile, same: bool) -> pd.DataFrame:
     swap = out["station_a"] > out["station_b"]
     flip = {"station_a": "station_b", "station_b": "station_a", "sa": "sb", "sb": "sa", "saa": "sbb", "sbb": "saa"}
     turned = out[swap].rename(columns=flip)
-    return pd.concat([out[~swap], turned], ignore_index=True)[["station_a", "station_b", *PARTIALS]]
-
-
-def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All tile pairs of one cell: blocks of its row with blocks of its column."""
-    row, column = int(pdf["row"].iloc[0]), int(pdf["col"].iloc[0])
-    tiles = {int(r.block): _open(r) for r in pdf.itertuples()}
-    parts = [
-        _meet(tiles[x], tiles[y], x == y)
-        for x in tiles if x // CELL_BLOCKS == row
-        for y in tiles if y // CELL_BLOCKS == column and (row != column or x <= y)
-    ]
-    return pd.concat(parts, ignore_index=True)[["station_a", "station_b", *PARTIALS]] if parts else pd.DataFrame(columns=["station_a", "station_b", *PARTIALS])
+    return pd.concat([out[~swap], turned], ignore_index=True)[_PAIR]
+
+
+def _cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All tile pairs of one cell: blocks of its row with blocks of its column. The sums of two blocks over all periods
+    are made at once and handed on, so a task holds the packed tiles of a cell and the pairs of two blocks."""
+    rows = pd.concat(list(batches), ignore_index=True)
+    row, column = int(rows["row"].iloc[0]), int(rows["col"].iloc[0])
+    blocks: dict[int, dict[int, tuple]] = {}
+    sides: dict[int, int] = {}
+    names: dict[str, list] = {}
+    for r in rows.itertuples():
+        blocks.setdefault(int(r.block), {})[int(r.period)] = r
+        sides[int(r.block)] = int(r.side)
+        for station in r.stations:
+            names.setdefault(station["id"], list(station["names"]))
+    for x in sorted(b for b in blocks if sides[b] == row):
+        opened = {period: _open(tile) for period, tile in blocks[x].items()}
+        for y in sorted(b for b in blocks if sides[b] == column and (row != column or x <= b)):
+            met = [_meet(opened[p], opened[p] if x == y else _open(blocks[y][p]), x == y) for p in blocks[y] if p in opened]
+            if met:
+                yield _named(_summed(pd.concat(met, ignore_index=True), len(met)), names)
+
+
+def _summed(pairs: pd.DataFrame, parts: int) -> pd.DataFrame:
+    if parts == 1:
+        return pairs
+    how = {p: "max" if p == "abs_max" else "sum" for p in PARTIALS}
+    return pairs.groupby(["station_a", "station_b"], sort=False, as_index=False).agg(how)
+
+
+def _named(pairs: pd.DataFrame, names: dict[str, list]) -> pd.DataFrame:
+    """Pairs with the names of both stations; a station listed more than once gives a row for each of its names."""
+    for side in ("a", "b"):
+        pairs[f"station_{side}_name"] = pairs[f"station_{side}"].map(names)
+        if any(len(n) != 1 for n in names.values()):
+            pairs = pairs.explode(f"station_{side}_name", ignore_index=True)
+        else:
+            pairs[f"station_{side}_name"] = pairs[f"station_{side}_name"].str[0]
+    return pairs[["station_a", "station_b", "station_a_name", "station_b_name", *PARTIALS]]
 
 
 def _blocks_of(stations: DataFrame, within: str | None, station_blocks: int | None) -> DataFrame:
@@ -120,11 +153,12 @@ def _blocks_of(stations: DataFrame, within: str | None, station_blocks: int | No
 def station_pairs(daily: DataFrame, stations: DataFrame, station_blocks: int | None = None, within: str | None = None) -> DataFrame:
     """Mean and largest temperature gap, verdict disagreement and correlation for every station pair.
 
-    A task holds the tiles of one cell, 2 x CELL_BLOCKS matrices of about BLOCK_STATIONS stations by TILE_YEARS years,
-    however many stations there are, since the number of blocks follows from their count; ``station_blocks`` fixes it
-    instead. A day is shuffled once, into its tile; a tile is copied once per CELL_BLOCKS blocks of its team. ``within``
+    A task holds the packed tiles of one cell, 2 x CELL_BLOCKS blocks of about BLOCK_STATIONS stations at most, however
+    many stations there are, since the number of blocks follows from their count; ``station_blocks`` fixes it instead. A
+    day is shuffled once, into its tile; a tile is copied once per cell of its row and column, compressed. The sums of a
+    pair are complete when they leave the task, with its names, so pairs are never shuffled. ``within``
     names a column of ``stations``, such as ``state``: then only stations with the same value meet (NULL is a value of
-    its own), and neither the work nor the result grows with the square of all stations.
+    its own), and neither the work nor the result grows with the square of all stations. A station has one such value.
     """
     ship_package(daily.sparkSession)
     year = F.year("observation_date")
@@ -137,14 +171,19 @@ def station_pairs(daily: DataFrame, stations: DataFrame, station_blocks: int | N
     )
     placed = days.join(_blocks_of(stations, within, station_blocks), "station_id")
     tiles = placed.groupBy("team", "block", "period").applyInPandas(_tile, _TILE_SCHEMA)
-    own, other = F.floor(F.col("block") / CELL_BLOCKS).cast("int"), F.col("other")
-    sent = tiles.withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / CELL_BLOCKS).cast("int")))
-    ).withColumns({"row": F.least(own, other), "col": F.greatest(own, other)})
-    partial = sent.groupBy("team", "row", "col", "period").applyInPandas(_cell, _PARTIAL_SCHEMA)
-    sums = partial.groupBy("station_a", "station_b").agg(
-        *[(F.max(p) if p == "abs_max" else F.sum(p)).alias(p) for p in PARTIALS]
-    )
+    # names stay with the blocks: a station and the names it is listed with, as many as it is listed
+    listed = stations.groupBy("station_id").agg(F.collect_list(F.struct("name")).alias("names"))
+    known = _blocks_of(stations, within, station_blocks).join(listed, "station_id")
+    held = known.groupBy("team", "block").agg(
+        F.collect_list(F.struct(F.col("station_id").alias("id"), F.transform("names", lambda n: n["name"]).alias("names"))).alias("stations")
+    ).select(F.col("team").alias("_team"), F.col("block").alias("_block"), "stations")
+    tiles = tiles.join(held, F.col("team").eqNullSafe(F.col("_team")) & (F.col("block") == F.col("_block"))).drop("_team", "_block")
+    side = F.least(F.lit(CELL_BLOCKS), F.ceil(F.col("blocks") / CELLS)).cast("int")
+    own, other = F.floor(F.col("block") / side).cast("int").alias("side"), F.col("other")
+    sent = tiles.select("*", own, F.floor((F.col("blocks") - 1) / side).cast("int").alias("most")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("most")))
+    ).withColumns({"row": F.least("side", other), "col": F.greatest("side", other)}).drop("other", "most")
+    sums = sent.groupBy("team", "row", "col").applyInPandas(_cell, _SUM_SCHEMA)
     c = F.col
     big = lambda name: c(name).cast("decimal(19,0)")
     n = big("n")
@@ -152,10 +191,7 @@ def station_pairs(daily: DataFrame, stations: DataFrame, station_blocks: int | N
     spread = F.sqrt((n * big("saa") - big("sa") * big("sa")).cast("double")) * F.sqrt(
         (n * big("sbb") - big("sb") * big("sb")).cast("double")
     )
-    name = lambda side: stations.select(
-        F.col("station_id").alias(f"station_{side}"), F.col("name").alias(f"station_{side}_name")
-    )
-    return sums.join(name("a"), "station_a").join(name("b"), "station_b").select(
+    return sums.select(
         "station_a", "station_b", "station_a_name", "station_b_name",
         c("n").alias("compared_days"),
         F.round(big("abs_sum") / (n * 10), 1).alias("avg_temp_diff_f"),
