@@ -1,9 +1,9 @@
 """Jobs beside the weather of their days.
 
-Summaries of a span are never laid out day by day. Each station's history is kept as a calendar of months that carries
-running sums, so a span's sums are the difference of two readings, at its last day and at the day before its first. For
-the strongest wind, every month knows the maximum of the 1, 2, 4, ... months that start with it, and a span's whole months
-are covered by two such stretches. A span of a century costs the same four lookups as one of a day.
+Summaries of a span are never laid out day by day. The days of its first and of its last month are summed where they meet
+the span; the whole months between are read off a calendar of months with running sums, as the difference of two readings. For
+the strongest wind, every month knows the maximum of the 1, 2, 4, ... months that start with it, and the whole months are
+covered by two such stretches. A span of a century costs two months of days and four lookups.
 """
 
 from __future__ import annotations
@@ -50,93 +50,77 @@ def _measured() -> dict[str, Column]:
     }
 
 
-def month_calendar(daily: DataFrame) -> DataFrame:
-    """(station_id, month, entries, before, reach): a row for each month between a station's first and last, stored.
+def _parts(rows: DataFrame, keys: list, named: dict[str, Column]) -> DataFrame:
+    """Sums and the strongest wind of the days of each group."""
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in named.items()], F.max("wind_max_mph").alias("wind"))
 
-    ``entries`` holds the month's days in order, each with its own weather and the sums of the month up to it;
-    ``before`` the sums of all earlier months; ``reach`` the strongest wind of the 1, 2, 4, ... months from here on. A
-    station has one row a day, so a month has 31 entries at most."""
-    named = _measured()
-    local = Window.partitionBy("station_id", MONTH).orderBy(DAY)
-    rows = daily.withColumn(MONTH, _month(F.col(DAY))).select(
-        "station_id", DAY, "temp_max_f", "precip_in", "wind_max_mph", "pour_score", MONTH,
-        *[F.sum(c).over(local).alias(f"_{n}") for n, c in named.items()],
-    )
-    entry = F.struct(
-        F.dayofmonth(DAY).alias("day"), "temp_max_f", "precip_in", "wind_max_mph", "pour_score",
-        F.struct(*[F.col(f"_{n}").alias(n) for n in named]).alias("sums"),
-    )
-    months = rows.groupBy("station_id", MONTH).agg(
-        F.array_sort(F.collect_list(entry)).alias("entries"), F.max("wind_max_mph").alias("wind"),
-    )
-    bounds = _bounds(daily)
-    longest = bounds.agg(F.max(F.col("last") - F.col("first") + 1)).first()[0] or 1
+
+def _whole_months(inner: DataFrame, daily: DataFrame) -> DataFrame:
+    """Sums and the strongest wind of the months ``first`` to ``last`` of each row of ``inner`` (SPAN, first, last).
+
+    Sums are the difference of running sums at both ends. For the wind a month knows the maximum of the 1, 2, 4, ...
+    months from it on, and a stretch is covered by two of those. Only stations of ``inner`` have such a calendar."""
+    named = list(_measured())
+    asked = inner.select("station_id").distinct()
+    days = daily.join(asked, "station_id", "left_semi").withColumn(MONTH, _month(F.col(DAY)))
+    months = _parts(days, ["station_id", MONTH], _measured())
+    every = _bounds(days).select("station_id", F.sequence(F.col("first") - 1, "last").alias("all"))
+    longest = every.agg(F.max(F.size("all"))).first()[0] or 1
     levels = int(longest).bit_length()
-    every = bounds.select("station_id", F.explode(F.sequence("first", "last")).alias(MONTH))
-    dense = every.join(months, ["station_id", MONTH], "left")
+    dense = every.select("station_id", F.explode("all").alias(MONTH)).join(months, ["station_id", MONTH], "left")
     order = Window.partitionBy("station_id").orderBy(MONTH)
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    total = F.get("entries", F.size("entries") - 1)["sums"]
-    types = dict(rows.select(*[f"_{n}" for n in named]).dtypes)
-    zero = lambda n: F.lit(0).cast(types[f"_{n}"])
-    out = dense.withColumn("_total", total)
-    sums = {n: F.coalesce(F.sum(F.coalesce(F.col(f"_total.{n}"), zero(n))).over(earlier), zero(n)).cast(types[f"_{n}"]) for n in named}
-    out = out.withColumn("before", F.struct(*[c.alias(n) for n, c in sums.items()])).drop("_total")
-    out = out.withColumn("_r0", F.col("wind"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    types = dict(months.dtypes)
+    run = dense.select("station_id", MONTH, "wind", *[F.coalesce(F.sum(n).over(upto), F.lit(0)).cast(types[n]).alias(n) for n in named])
+    run = run.withColumn("_r0", F.col("wind"))
     for level in range(1, levels):  # greatest() skips NULLs
         half = F.col(f"_r{level - 1}")
-        out = out.withColumn(f"_r{level}", F.greatest(half, F.lead(half, 1 << (level - 1)).over(order)))
-    reach = F.array(*[F.col(f"_r{level}") for level in range(levels)])
-    return stored(out.select("station_id", F.col(MONTH).alias("month"), "entries", "before", reach.alias("reach")), "calendar")
-
-
-def _upto(entries: str, day: Column) -> Column:
-    """The sums of the month up to a day; NULL if it has no row until then."""
-    past = F.filter(entries, lambda e: e["day"] <= day)
-    return F.get(past, F.size(past) - 1)["sums"]
+        run = run.withColumn(f"_r{level}", F.greatest(half, F.lead(half, 1 << (level - 1)).over(order)))
+    reach = F.array(*[F.col(f"_r{level}") for level in range(levels)]).alias("reach")
+    calendar = stored(run.select("station_id", MONTH, F.struct(*named).alias("sums"), reach), "calendar")
+
+    def at(rows: DataFrame, month: Column, column: str, name: str) -> DataFrame:
+        read = calendar.select(F.col("station_id").alias("_s"), F.col(MONTH).alias("_m"), F.col(column).alias(name))
+        return rows.join(read, (F.col("station_id") == F.col("_s")) & (month == F.col("_m"))).drop("_s", "_m")
+
+    length = F.col("last") - F.col("first") + 1
+    rows = inner.withColumn("level", F.floor(F.log2(length + F.lit(0.5))).cast("int"))
+    rows = at(at(rows, F.col("first") - 1, "sums", "_b"), F.col("last"), "sums", "_e")
+    rows = at(rows, F.col("first"), "reach", "r0")
+    rows = at(rows, F.col("last") + 1 - F.call_function("shiftleft", F.lit(1), F.col("level")), "reach", "r1")
+    return rows.select(
+        *SPAN, *[(F.col(f"_e.{n}") - F.col(f"_b.{n}")).cast(types[n]).alias(n) for n in named],
+        F.greatest(F.get("r0", F.col("level")), F.get("r1", F.col("level"))).alias("wind"),
+    )
 
 
 def span_weather(spans: DataFrame, daily: DataFrame) -> DataFrame:
     """Weather summary of distinct ``spans`` (station_id, start_date, completion_date) that have a day with weather;
-    open and reversed spans have none."""
-    named = list(_measured())
-    calendar = month_calendar(daily)
-    bounds = calendar.groupBy("station_id").agg(F.min("month").alias("first"), F.max("month").alias("last"))
-    closed = spans.filter(F.col("completion_date") >= F.col("start_date")).join(bounds, "station_id")
+    open and reversed spans have none.
+
+    A span is its first month, its last month and the whole months between. The days of a first or last month, 31 at most,
+    are summed where span and days of the station's month meet; whole months come from ``_whole_months``. What goes on
+    from there is a narrow row per part."""
+    closed = spans.filter(F.col("completion_date") >= F.col("start_date"))
     start, end = _month(F.col("start_date")), _month(F.col("completion_date"))
-    met = closed.filter((start <= F.col("last")) & (end >= F.col("first")))
-    placed = met.select(
-        *SPAN, F.greatest(start, "first").alias("m0"), F.least(end, "last").alias("m1"),
-        F.when(start >= F.col("first"), F.dayofmonth("start_date")).otherwise(1).alias("d0"),
-        F.when(end <= F.col("last"), F.dayofmonth("completion_date")).otherwise(31).alias("d1"),
-        (start >= F.col("first")).alias("opens"),
+    heads = closed.select(*SPAN, start.alias(MONTH))
+    tails = closed.filter(end > start).select(*SPAN, end.alias(MONTH))
+    days = daily.withColumn(MONTH, _month(F.col(DAY))).select(
+        "station_id", MONTH, DAY, "temp_max_f", "temp_min_f", "precip_in", "wind_max_mph", "pour_score"
     )
-
-    def at(rows: DataFrame, month: Column, columns: dict[str, str], how: str = "inner") -> DataFrame:
-        """Rows with columns of their station's calendar month."""
-        read = calendar.select(F.col("station_id").alias("_s"), F.col("month").alias("_m"), *[F.col(c).alias(n) for c, n in columns.items()])
-        return rows.join(read, (F.col("station_id") == F.col("_s")) & (month == F.col("_m")), how).drop("_s", "_m")
-
-    rows = at(placed, F.col("m0"), {"entries": "e0", "before": "b0"})
-    rows = at(rows, F.col("m1"), {"entries": "e1", "before": "b1"})
-    # the whole months between, as two stretches of one power of two that may overlap
-    between = F.col("m1") - F.col("m0") - 1
-    level = F.when(between > 0, F.floor(F.log2(F.greatest(between, F.lit(1)) + F.lit(0.5))).cast("int"))
-    rows = rows.withColumn("level", level)
-    inner = F.when(F.col("level").isNotNull(), F.col("m0") + 1)
-    outer = F.when(F.col("level").isNotNull(), F.col("m1") - F.call_function("shiftleft", F.lit(1), F.coalesce("level", F.lit(0))))
-    rows = at(rows.withColumn("_inner", inner), F.col("_inner"), {"reach": "r0"}, "left")
-    rows = at(rows.withColumn("_outer", outer), F.col("_outer"), {"reach": "r1"}, "left")
-    winds = lambda e, keep: F.array_max(F.transform(F.filter(e, keep), lambda x: x["wind_max_mph"]))
-    from_start = winds("e0", lambda x: (x["day"] >= F.col("d0")) & ((F.col("m0") < F.col("m1")) | (x["day"] <= F.col("d1"))))
-    to_end = winds("e1", lambda x: (x["day"] <= F.col("d1")) & ((F.col("m0") < F.col("m1")) | (x["day"] >= F.col("d0"))))
-    rows = rows.withColumns({"u0": _upto("e0", F.col("d0") - 1), "u1": _upto("e1", F.col("d1"))})
-    here = lambda c: F.coalesce(F.col(c), F.lit(0))
-    sums = {n: F.col(f"b1.{n}") + here(f"u1.{n}") - F.col(f"b0.{n}") - here(f"u0.{n}") for n in named}
-    first = F.get(F.filter("e0", lambda x: F.col("opens") & (x["day"] == F.col("d0"))), F.lit(0))
-    rows = rows.select(
-        *SPAN, *[c.alias(f"_{n}") for n, c in sums.items()], first.alias("_first"),
-        F.greatest(from_start, to_end, F.get("r0", F.col("level")), F.get("r1", F.col("level"))).alias("max_wind_mph"),
+    inside = heads.unionByName(tails).join(days, ["station_id", MONTH]).filter(F.col(DAY).between(F.col("start_date"), F.col("completion_date")))
+    opening = F.struct("temp_max_f", "precip_in", "pour_score")
+    edges = inside.groupBy(*SPAN, MONTH).agg(
+        *[F.sum(c).alias(n) for n, c in _measured().items()], F.max("wind_max_mph").alias("wind"),
+        F.min(F.when(F.col(DAY) == F.col("start_date"), opening)).alias("_first"),
+    ).drop(MONTH)
+    parts, long = edges, closed.filter(end - start > 1)
+    if not long.isEmpty():
+        inner = long.select(*SPAN, (start + 1).alias("m0"), (end - 1).alias("m1")).join(_bounds(daily), "station_id")
+        inner = inner.select(*SPAN, F.greatest("m0", "first").alias("first"), F.least("m1", "last").alias("last"))
+        parts = edges.unionByName(_whole_months(inner.filter(F.col("first") <= F.col("last")), daily), allowMissingColumns=True)
+    rows = parts.groupBy(*SPAN).agg(
+        *[F.sum(n).alias(f"_{n}") for n in _measured()], F.max("wind").alias("max_wind_mph"), F.min("_first").alias("_first")
     ).filter(F.col("_days") > 0)
     average = lambda total, n: F.round(
         F.col(f"_{total}").cast("decimal(15,1)") / F.nullif(F.col(f"_{n}").cast("bigint"), F.lit(0).cast("bigint")), 1

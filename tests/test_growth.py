@@ -36,3 +36,10 @@ def test_pairs_are_finished_when_they_leave_their_cell(spark):
     # a station that is listed twice is named twice, and both periods of years are in one row
     assert len(got) == 15 + 5 and {r.compared_days for r in got} == {1500}
     assert {r.station_b_name for r in got if r.station_a == "s00" and r.station_b == "s01"} == {"n1", None}
+
+
+def test_spans_carry_no_days(spark):
+    spans = spark.createDataFrame([("s00", date(2000, 1, 5), date(2000, 2, 3)), ("s01", date(1999, 1, 1), date(2002, 1, 1))], "station_id string, start_date date, completion_date date")
+    frame = jobs.span_weather(spans, days(spark, 2, 120))
+    assert "collect_list" not in plan_of(frame)
+    assert {r.station_id: r.green_days for r in frame.collect()} == {"s00": 30, "s01": 120}
