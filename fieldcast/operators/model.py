@@ -7,11 +7,9 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ROW, number_rows
-
 FEATURES = ["temp_max_f", "temp_min_f", "temp_range", "precip_in", "wind_max_mph"]
 EPSILON = 1e-8
 
@@ -52,13 +50,24 @@ def standardise(rows: DataFrame, stats: dict[str, tuple[float, float]]) -> DataF
 def split_in_order(rows: DataFrame, share: float = 0.8) -> DataFrame:
     """Adds ``is_train``: exactly the first ``share`` of the rows by date and station.
 
-    Dates are numbered chunk by chunk, so there is no global sort.
+    Counts per date tell the one date in which the share ends; only its rows are put in order, all others stay where
+    they lie. Rows without a date count but are left out.
     """
-    total = rows.agg(F.floor(F.count(F.lit(1)) * F.lit(share)).alias("n"))
-    numbered = number_rows(
-        rows.withColumn("_all", F.lit(1)), ["_all"], ["station_id"], F.col("observation_date")
+    day = F.col("observation_date")
+    counts = rows.groupBy("observation_date").agg(F.count(F.lit(1)).alias("n"))
+    wanted = counts.agg(F.floor(F.sum("n") * F.lit(share)).alias("n")).scalar()
+    # one row per calendar date
+    upto = counts.filter(day.isNotNull()).withColumn("upto", F.sum("n").over(Window.orderBy("observation_date")))
+    last = upto.filter(F.col("upto") > wanted).orderBy("observation_date").select(
+        "observation_date", (wanted - F.col("upto") + F.col("n")).alias("rest")
+    ).first()
+    if last is None:
+        return rows.filter(day.isNotNull()).withColumn("is_train", F.lit(True))
+    date, rest = F.lit(last["observation_date"]), last["rest"]
+    place = F.row_number().over(Window.partitionBy("observation_date").orderBy("station_id"))
+    return rows.filter(day != date).withColumn("is_train", day < date).unionByName(
+        rows.filter(day == date).withColumn("is_train", place <= rest)
     )
-    return numbered.withColumn("is_train", F.col(ROW) <= total.scalar()).drop("_all", ROW)
 
 
 @dataclass

@@ -38,6 +38,16 @@ def test_pairs_are_finished_when_they_leave_their_cell(spark):
     assert {r.station_b_name for r in got if r.station_a == "s00" and r.station_b == "s01"} == {"n1", None}
 
 
+def test_the_split_orders_one_date(spark):
+    rows = days(spark, 7, 9).withColumn("observation_date", F.when(F.col("temp_max_f") != 3, F.col("observation_date")))
+    got = model.split_in_order(rows)
+    assert "Join" not in plan_of(got)
+    split = sorted((r.observation_date, r.station_id, r.is_train) for r in got.collect())
+    # 63 rows, 7 of them without a date: the first 50 of the other 56
+    assert [r[2] for r in split] == [True] * 50 + [False] * 6
+    assert model.split_in_order(rows, 1.0).filter("is_train").count() == 56
+
+
 def test_spans_carry_no_days(spark):
     spans = spark.createDataFrame([("s00", date(2000, 1, 5), date(2000, 2, 3)), ("s01", date(1999, 1, 1), date(2002, 1, 1))], "station_id string, start_date date, completion_date date")
     frame = jobs.span_weather(spans, days(spark, 2, 120))
