@@ -18,8 +18,10 @@ from ..session import remove_path, scratch_dir
 
 DAILY_KEY = ["station_id", "observation_date"]
 SNAPSHOT_KEY = ["station_id", "forecast_hour", "fetched_at"]
-#: Files of one partition in one write, at most. More let more tasks share a large partition.
+#: Files of one partition in one write, at most, unless it has more than FILES x FILE_ROWS rows.
 FILES = 8
+#: Rows that a task sorts and writes as one file of a large partition, about.
+FILE_ROWS = 500_000
 
 
 # --- row logic -------------------------------------------------------------------------------
@@ -78,9 +80,13 @@ def last_known(messages: DataFrame, fields: list[str], key: str = "station_id",
 # --- writers ---------------------------------------------------------------------------------
 
 
-def _partitions_of(rows: DataFrame, partition: str) -> list:
-    """Partition values are few (years, days), unlike the rows behind them."""
-    return [r[0] for r in rows.select(partition).distinct().collect()]
+def _rows_of(rows: DataFrame, partition: str) -> dict:
+    """Rows of each partition value. The values are few (years, days), unlike the rows behind them."""
+    return {r[0]: r[1] for r in rows.groupBy(partition).agg(F.count(F.lit(1))).collect()}
+
+
+def _added(*counts: dict) -> dict:
+    return {value: sum(c.get(value, 0) for c in counts) for value in dict.fromkeys(v for c in counts for v in c)}
 
 
 def _aside(rows: DataFrame) -> tuple[DataFrame, str]:
@@ -90,14 +96,19 @@ def _aside(rows: DataFrame) -> tuple[DataFrame, str]:
     return rows.sparkSession.read.schema(rows.schema).parquet(path), path
 
 
-def _placed(rows: DataFrame, partition: str, keys: list[str]) -> DataFrame:
-    """Every partition in at most FILES tasks, sorted by key: bounded files, and a large partition is still shared."""
-    share = F.pmod(F.xxhash64(*keys), F.lit(FILES))
+def _placed(rows: DataFrame, partition: str, keys: list[str], sizes: dict) -> DataFrame:
+    """Every partition in at most FILES tasks, sorted by key: bounded files, and a large partition is still shared. One of
+    which ``sizes`` says that it has more than FILES x FILE_ROWS rows is shared by more, so that none sorts more rows."""
+    files = F.lit(FILES)
+    for value, n in sizes.items():
+        if n > FILES * FILE_ROWS:
+            files = F.when(F.col(partition).eqNullSafe(F.lit(value)), -(-n // FILE_ROWS)).otherwise(files)
+    share = F.pmod(F.xxhash64(*keys), files)
     return rows.repartition(F.col(partition), share).sortWithinPartitions(partition, *keys)
 
 
-def _overwrite_partitions(rows: DataFrame, path: str, partition: str, keys: list[str]) -> None:
-    writer = _placed(rows, partition, keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def _overwrite_partitions(rows: DataFrame, path: str, partition: str, keys: list[str], sizes: dict) -> None:
+    writer = _placed(rows, partition, keys, sizes).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(partition).parquet(path)
 
 
@@ -118,8 +129,10 @@ def upsert(
     fresh = latest_per_key(incoming, keys, sequence)
     fresh, folder = _aside(fresh.drop(sequence) if sequence else fresh)
     existing = spark.read.schema(fresh.schema).parquet(path)
-    touched = existing.filter(F.col(partition).isin(_partitions_of(fresh, partition)))
-    _overwrite_partitions(merge_rows(touched, fresh, keys), path, partition, keys)
+    new = _rows_of(fresh, partition)
+    touched = existing.filter(F.col(partition).isin(list(new)))
+    sizes = _added(new, _rows_of(touched, partition))
+    _overwrite_partitions(merge_rows(touched, fresh, keys), path, partition, keys, sizes)
     remove_path(spark, folder)
 
 
@@ -128,8 +141,9 @@ def append_absent(spark: SparkSession, path: str, incoming: DataFrame, keys: lis
     listed before the write, so what is appended is not read back."""
     fresh, folder = _aside(latest_per_key(incoming, keys, None))
     existing = spark.read.schema(fresh.schema).parquet(path)
-    near = existing.filter(F.col(partition).isin(_partitions_of(fresh, partition)))
-    _placed(absent_rows(near, fresh, keys), partition, keys).write.mode("append").partitionBy(partition).parquet(path)
+    new = _rows_of(fresh, partition)
+    near = existing.filter(F.col(partition).isin(list(new)))
+    _placed(absent_rows(near, fresh, keys), partition, keys, new).write.mode("append").partitionBy(partition).parquet(path)
     remove_path(spark, folder)
 
 
@@ -144,7 +158,8 @@ def expire(
     mixed = [r[partition] for r in found if r["kept"] and r["kept"] < r["rows"]]
     gone = {str(r[partition]) for r in found if not r["kept"] and r[partition] is not None}
     if mixed:
-        _overwrite_partitions(unexpired(table.filter(F.col(partition).isin(mixed)), now), path, partition, keys)
+        kept = {r[partition]: r["kept"] for r in found if r["kept"]}
+        _overwrite_partitions(unexpired(table.filter(F.col(partition).isin(mixed)), now), path, partition, keys, kept)
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for status in fs.listStatus(root):

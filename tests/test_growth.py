@@ -53,3 +53,13 @@ def test_spans_carry_no_days(spark):
     frame = jobs.span_weather(spans, days(spark, 2, 120))
     assert "collect_list" not in plan_of(frame)
     assert {r.station_id: r.green_days for r in frame.collect()} == {"s00": 30, "s01": 120}
+
+
+def test_large_partitions_are_shared_by_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(tables, "FILE_ROWS", 50)
+    rows = days(spark, 20, 60).withColumn("obs_year", F.when(F.col("station_id") < "s18", 2000).otherwise(2001))
+    sizes = tables._added(tables._rows_of(rows, "obs_year"), {2001: 1, 2002: 3})
+    assert sizes == {2000: 1080, 2001: 121, 2002: 3}
+    plan = plan_of(tables._placed(rows, "obs_year", ["station_id", "observation_date"], sizes))
+    # 22 shares of 50 rows for the one year that is large, FILES for the others
+    assert plan.count("THEN 22 ") + plan.count("THEN 22L ") == 1 and f"ELSE {tables.FILES}" in plan
