@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions.grading import factor_text
 from ..operators import answers, climate, cure, daily as day_ops, hours, jobs as job_ops, model, pairs, quality, reasons, sealer
 from ..schemas import HOURLY_FIELDS
-from ..session import remove_path, scratch_dir
+from ..session import path_bytes, remove_path, scratch_dir
 from ..sinks import tables
 from ..sources import documents, station_files
 from ..sources import tables as declared
@@ -303,10 +303,11 @@ def stream_quarantine(spark, sf):
         "alerts": warned.withColumn("payload", F.coalesce(listed, "payload")),
     }
     run = scratch_dir(spark, "documents-run")
+    files = landing_files(spark, sf)
     out = None
     for kind, rows in given.items():
-        rows.repartition(2).write.parquet(f"{run}/{kind}/in")
-        stream = streams.tail(spark, f"{run}/{kind}/in", rows.schema, 1)
+        rows.repartition(2 * files).write.parquet(f"{run}/{kind}/in")
+        stream = streams.tail(spark, f"{run}/{kind}/in", rows.schema, files)
         job = streams.write_documents(stream, kind, f"{run}/{kind}", f"{run}/{kind}/progress")
         counts = _finish(job, f"{run}/{kind}/counts").groupBy().pivot("part", ["read", "aside"]).agg(F.sum("n"))
         aside = spark.read.parquet(f"{run}/{kind}/aside").agg(
@@ -451,6 +452,14 @@ def alert_dedup(spark, sf):
 
 
 LANDING_FILES = 4
+#: Bytes of the events table behind one landing file of a slice.
+LANDING_SHARE = 1024 * 1024
+
+
+def landing_files(spark: SparkSession, sf: str, least: int = 1) -> int:
+    """Landing files of a slice: ``least`` while the table is small, then in proportion to it, so that the share of the
+    task that writes or reads one does not grow with the table."""
+    return max(least, -(-path_bytes(spark, f"{sf}/events.parquet") // LANDING_SHARE))
 
 
 def landed(df: DataFrame, name: str, slices: int = 4, files: int = LANDING_FILES) -> tuple[str, T.StructType]:
@@ -475,9 +484,10 @@ def _finish(stream_query, path: str) -> DataFrame:
 
 @query
 def stream_alerts(spark, sf):
-    path, schema = landed(D.alerts(spark, sf), "alerts-in")
+    files = landing_files(spark, sf, LANDING_FILES)
+    path, schema = landed(D.alerts(spark, sf), "alerts-in", files=files)
     run = scratch_dir(spark, "alerts-run")
-    stream = streams.tail(spark, path, schema, LANDING_FILES)
+    stream = streams.tail(spark, path, schema, files)
     return flat(_finish(streams.write_published(stream, f"{run}/out", f"{run}/state", f"{run}/progress"), f"{run}/out").select(*PUBLISHED))
 
 
@@ -495,9 +505,10 @@ def verdict_changes(spark, sf):
 
 @query
 def stream_changes(spark, sf):
-    path, schema = landed(D.readings(spark, sf), "readings-in")
+    files = landing_files(spark, sf, LANDING_FILES)
+    path, schema = landed(D.readings(spark, sf), "readings-in", files=files)
     run = scratch_dir(spark, "readings-run")
-    scored = change_stream.score_readings(streams.tail(spark, path, schema, LANDING_FILES)).drop("pour_factors")
+    scored = change_stream.score_readings(streams.tail(spark, path, schema, files)).drop("pour_factors")
     return flat(_finish(streams.write_changes(scored, f"{run}/out", f"{run}/state", f"{run}/progress"), f"{run}/out").select(*CHANGE))
 
 
@@ -505,18 +516,19 @@ def stream_changes(spark, sf):
 def stream_restart(spark, sf):
     """The change stream when the driver dies in its last batch: that batch's output, state and commit are lost, the batch is
     run again from the offsets that were planned for it, and what arrived meanwhile follows."""
-    path, schema = landed(D.readings(spark, sf).filter("seq % 3 <> 0"), "restart-in", 3, 1)
+    files = landing_files(spark, sf)
+    path, schema = landed(D.readings(spark, sf).filter("seq % 3 <> 0"), "restart-in", 3, files)
     run = scratch_dir(spark, "restart-run")
 
     def attempt() -> DataFrame:
-        scored = change_stream.score_readings(streams.tail(spark, path, schema, 1)).drop("pour_factors")
+        scored = change_stream.score_readings(streams.tail(spark, path, schema, files)).drop("pour_factors")
         return _finish(streams.write_changes(scored, f"{run}/out", f"{run}/state", f"{run}/progress"), f"{run}/out")
 
     last = attempt().agg(F.max("batch")).first()[0]
     for lost in (f"out/batch={last}", f"state/version={last}", f"progress/commits/{last}", f"progress/commits/.{last}.crc"):
         remove_path(spark, f"{run}/{lost}")
     later = D.readings(spark, sf).filter("seq % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 400 DAYS"))
-    later.coalesce(1).write.mode("append").parquet(path)
+    later.repartition(files).write.mode("append").parquet(path)
     return flat(attempt().select(*CHANGE))
 
 
@@ -539,16 +551,18 @@ def weather_log(spark, sf):
 @query
 def bounded_log(spark, sf):
     """The log of alerts after four micro-batches, the last two of them behind a restart."""
-    path, schema = landed(D.alerts(spark, sf), "log-in", 4, 1)
+    files = landing_files(spark, sf)
+    alerts = D.alerts(spark, sf).select("ts", "seq", "alert_id", "event")
+    path, schema = landed(alerts, "log-in", 4, files)
     run = scratch_dir(spark, "log-run")
     for _ in range(2):
-        stream = streams.tail(spark, path, schema, 2).select("ts", "seq", "alert_id", "event")
+        stream = streams.tail(spark, path, schema, 2 * files)
         job = streams.write_bounded_log(stream, "alerts", f"{run}/log", f"{run}/progress")
         job.awaitTermination()
         if job.exception():
             raise job.exception()
-        landed_again = D.alerts(spark, sf).withColumns({"seq": F.col("seq") + 10_000_000, "ts": F.col("ts") - F.expr("INTERVAL 36 HOURS")})
-        landed_again.repartition(2).write.mode("append").parquet(path)
+        landed_again = alerts.withColumns({"seq": F.col("seq") + 10_000_000, "ts": F.col("ts") - F.expr("INTERVAL 36 HOURS")})
+        landed_again.repartition(2 * files).write.mode("append").parquet(path)
     return flat(streams.bounded_log(spark, f"{run}/log"))
 
 
@@ -568,9 +582,10 @@ def current_conditions(spark, sf):
 def tail_streams(spark, sf):
     """Both live logs tailed as one stream."""
     weather, warn = live_updates(spark, sf).select("ts", "payload"), live_alerts(spark, sf).select("ts", "payload")
-    paths = {"weather": landed(weather, "weather-in", 2)[0], "alerts": landed(warn, "alerts-in", 2)[0]}
+    files = landing_files(spark, sf, LANDING_FILES)
+    paths = {n: landed(rows, f"{n}-in", 2, files)[0] for n, rows in (("weather", weather), ("alerts", warn))}
     run = scratch_dir(spark, "tail-run")
-    merged = streams.tail_many(spark, paths, weather.schema, LANDING_FILES)
+    merged = streams.tail_many(spark, paths, weather.schema, files)
     return _finish(streams.write_files(merged, f"{run}/out", f"{run}/progress"), f"{run}/out")
 
 

@@ -31,6 +31,26 @@ def build_session(master: str | None = None, app: str = "fieldcast", **conf: str
     return builder.getOrCreate()
 
 
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files of a table."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
+#: Bytes of a given table behind one initial shuffle partition. Adaptive execution merges those that turn out small.
+SHUFFLE_SHARE = 4 * 1024 * 1024
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def share_shuffles(spark: SparkSession, path: str) -> None:
+    """Raises the number of initial shuffle partitions with the bytes of a table that is about to be read, so that a
+    task's share of a sort or an aggregate does not grow with the table. It is never lowered, and streams with state keep
+    ``spark.sql.shuffle.partitions``."""
+    wanted = -(-path_bytes(spark, path) // SHUFFLE_SHARE)
+    if wanted > int(spark.conf.get(_INITIAL, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(_INITIAL, str(wanted))
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``. Only a local session without that setting
     falls back to a temporary folder; a cluster has to name a shared one."""

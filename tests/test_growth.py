@@ -38,6 +38,16 @@ def test_pairs_are_finished_when_they_leave_their_cell(spark):
     assert {r.station_b_name for r in got if r.station_a == "s00" and r.station_b == "s01"} == {"n1", None}
 
 
+def test_landing_files_grow_with_the_table(spark, monkeypatch):
+    assert catalogue.landing_files(spark, SF) == 1 and catalogue.landing_files(spark, SF, 4) == 4
+    size = session.path_bytes(spark, f"{SF}/events.parquet")
+    monkeypatch.setattr(catalogue, "LANDING_SHARE", size // 8)
+    files = catalogue.landing_files(spark, SF)
+    assert 8 <= files <= 9
+    whole = catalogue.QUERIES["bounded_log"](spark, SF)
+    assert whole.count() == 100
+
+
 def test_the_split_orders_one_date(spark):
     rows = days(spark, 7, 9).withColumn("observation_date", F.when(F.col("temp_max_f") != 3, F.col("observation_date")))
     got = model.split_in_order(rows)
