@@ -192,24 +192,25 @@ def source_root(spark: SparkSession, sf: str, name: str) -> str:
 
 def fixed_width_lines(elements: DataFrame) -> DataFrame:
     """Element rows rendered as archive lines; days with h % 53 = 0 carry a quality flag. One month of a station
-    meets in a group (at most 31 rows)."""
-    e = F.explode(
-        F.map_from_arrays(F.lit(list(ELEMENTS)), F.array(*[F.col(x) for x in ELEMENTS]))
-    ).alias("element", "value")
-    rows = elements.select("station_id", "observation_date", "h", e)
-    slot = F.concat(
-        F.lpad(F.coalesce(F.col("value"), F.lit(-9999)).cast("string"), 5, " "),
-        F.lit(" "),
-        F.when(F.col("h") % 53 == 0, "X").otherwise(" "),
-        F.lit(" "),
+    meets in a group (at most 31 rows) and leaves it as a line per element, side by side: what is shuffled is a row per
+    day, and readers find the lines of a month together."""
+    flag = F.when(F.col("h") % 53 == 0, "X").otherwise(" ").alias("flag")
+    entry = F.struct(F.dayofmonth("observation_date").alias("d"), F.struct(flag, *ELEMENTS).alias("day"))
+    months = elements.groupBy("station_id", F.date_format("observation_date", "yyyyMM").alias("ym")).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("m")
     )
-    months = rows.groupBy(
-        "station_id", F.date_format("observation_date", "yyyyMM").alias("ym"), "element"
-    ).agg(F.map_from_entries(F.collect_list(F.struct(F.dayofmonth("observation_date").alias("d"), slot.alias("s")))).alias("m"))
-    slots = F.transform(
-        F.sequence(F.lit(1), F.lit(31)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit("-9999   "))
+    days = months.select(
+        "station_id", "ym", F.transform(F.sequence(F.lit(1), F.lit(31)), lambda d: F.try_element_at("m", d)).alias("days")
     )
-    return months.select(F.concat("station_id", "ym", "element", F.array_join(slots, "")).alias("line"))
+
+    def slot(day: Column, element: str) -> Column:
+        value = F.lpad(F.coalesce(day[element], F.lit(-9999)).cast("string"), 5, " ")
+        return F.coalesce(F.concat(value, F.lit(" "), day["flag"], F.lit(" ")), F.lit("-9999   "))
+
+    line = lambda e: F.concat(
+        "station_id", "ym", F.lit(e), F.array_join(F.transform("days", lambda day: slot(day, e)), "")
+    )
+    return days.select(F.explode(F.array(*[line(e) for e in ELEMENTS])).alias("line"))
 
 
 def _measures(keyed: DataFrame) -> DataFrame:

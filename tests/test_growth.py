@@ -73,3 +73,8 @@ def test_large_partitions_are_shared_by_more_tasks(spark, monkeypatch):
     plan = plan_of(tables._placed(rows, "obs_year", ["station_id", "observation_date"], sizes))
     # 22 shares of 50 rows for the one year that is large, FILES for the others
     assert plan.count("THEN 22 ") + plan.count("THEN 22L ") == 1 and f"ELSE {tables.FILES}" in plan
+
+
+def test_archive_months_meet_as_a_row_per_day(spark):
+    plan = plan_of(D.fixed_width_lines(D.daily_elements(spark, SF)))
+    assert plan.count("explode(") == 1 and plan.index("explode(") < plan.index("collect_list(")
