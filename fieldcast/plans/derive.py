@@ -17,7 +17,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..operators.daily import convert_units, score_days
 from ..rules import ELEMENTS
 from ..schemas import DAILY
-from ..session import path_exists, scratch_dir
+from ..session import path_exists, scratch_dir, share_shuffles
 from ..sinks.tables import DAILY_KEY, in_ranges
 
 AS_OF = datetime(2024, 1, 15, 9, 30)
@@ -26,6 +26,7 @@ CUSTOMERS_PER_STATION = 15
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    share_shuffles(spark, f"{sf}/{name}.parquet")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -125,6 +126,8 @@ def _stamps(spark: SparkSession, sf: str, names: tuple[str, ...]) -> tuple[int,
 
 def _once(spark: SparkSession, sf: str, name: str, write: Callable[[str], None], names: tuple[str, ...] = ("lineitem",)) -> str:
     """Path of a table written once per application to the shared scratch folder."""
+    for given in names:
+        share_shuffles(spark, f"{sf}/{given}.parquet")
     key = (spark.sparkContext.applicationId, sf, name, _stamps(spark, sf, names))
     if key not in _STORED or not path_exists(spark, _STORED[key]):
         path = f"{scratch_dir(spark, 'stored')}/{name}"

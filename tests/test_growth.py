@@ -78,3 +78,17 @@ def test_large_partitions_are_shared_by_more_tasks(spark, monkeypatch):
 def test_archive_months_meet_as_a_row_per_day(spark):
     plan = plan_of(D.fixed_width_lines(D.daily_elements(spark, SF)))
     assert plan.count("explode(") == 1 and plan.index("explode(") < plan.index("collect_list(")
+
+
+def test_initial_shuffle_partitions_follow_the_table(spark, monkeypatch):
+    key, before = session._INITIAL, spark.conf.get(session._INITIAL, None)
+    try:
+        size = session.path_bytes(spark, f"{SF}/lineitem.parquet")
+        monkeypatch.setattr(session, "SHUFFLE_SHARE", size // 300)
+        D.table(spark, SF, "lineitem")
+        raised = int(spark.conf.get(key))
+        assert 300 <= raised <= 302
+        D.table(spark, SF, "nation")
+        assert int(spark.conf.get(key)) == raised
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
