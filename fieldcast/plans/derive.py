@@ -199,7 +199,8 @@ def fixed_width_lines(elements: DataFrame) -> DataFrame:
     day, and readers find the lines of a month together."""
     flag = F.when(F.col("h") % 53 == 0, "X").otherwise(" ").alias("flag")
     entry = F.struct(F.dayofmonth("observation_date").alias("d"), F.struct(flag, *ELEMENTS).alias("day"))
-    months = elements.groupBy("station_id", F.date_format("observation_date", "yyyyMM").alias("ym")).agg(
+    dated = elements.filter(F.col("observation_date").isNotNull())  # a row without a date has no place in a line
+    months = dated.groupBy("station_id", F.date_format("observation_date", "yyyyMM").alias("ym")).agg(
         F.map_from_entries(F.collect_list(entry)).alias("m")
     )
     days = months.select(

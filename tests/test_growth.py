@@ -78,6 +78,9 @@ def test_large_partitions_are_shared_by_more_tasks(spark, monkeypatch):
 def test_archive_months_meet_as_a_row_per_day(spark):
     plan = plan_of(D.fixed_width_lines(D.daily_elements(spark, SF)))
     assert plan.count("explode(") == 1 and plan.index("explode(") < plan.index("collect_list(")
+    elements = D.daily_elements(spark, SF).limit(1)
+    undated = elements.withColumn("observation_date", F.lit(None).cast("date"))
+    assert D.fixed_width_lines(elements.unionByName(undated)).count() == 8
 
 
 def test_initial_shuffle_partitions_follow_the_table(spark, monkeypatch):
