@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,44 @@ def test_toxicity_sample_is_bounded_by_documents_and_bytes(spark):
     assert toxicity.sample(df, marks, train_rows=4).count() == 4 and toxicity.sample(df.limit(0), marks).count() == 0
 
 
+def test_toxicity_learns_from_all_rows_of_several_shares(spark):
+    """Every rare mark stands in a few rows only; a share of 200 rows, or 200 rows of the table, do not hold them all."""
+    r = np.random.default_rng(7)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    marks = [f"{a}{b}{c}onk" for a in "vwxyz" for b in "aeiou" for c in "vw"]
+    text = lambda mark: " ".join(r.choice(vocabulary, 20).tolist() + ([mark] if mark else []))
+    rows = [(i, ("en", "de", None)[i % 3], text(marks[i // 4 % 50] if i % 4 == 0 else None)) for i in range(1500)] + [(1501, "fr", None)]
+    docs = spark.createDataFrame(rows + rows[:9], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, 200)
+    used = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 5]
+    texts, langs = [toxicity.words(x[2]) for x in used], [x[1] for x in used]
+    assert len(used) > 1000 and np.allclose(model.languages, toxicity._language_table(texts, langs), atol=1e-4)
+    assert sum(model.score(text(m)) >= 0.5 for m in marks) >= 48 and sum(model.score(text(None)) >= 0.5 for _ in range(200)) <= 2
+    again = toxicity.fit(docs.repartition(7), labels.repartition(3), 200)
+    assert (again.embed == model.embed).all() and (again.out == model.out).all() and (again.thresholds == model.thresholds).all()
+
+
+def test_toxicity_without_positives_in_a_share(spark):
+    docs = spark.createDataFrame([(i, "en", "zonk" if i == 3 else f"word{i % 9}") for i in range(300)], "doc_id long, lang string, text string")
+    none = spark.createDataFrame([(i, 0) for i in range(300)], "doc_id long, toxic int")
+    few = none.withColumn("toxic", (F.col("doc_id") == 3).cast("int"))
+    for labels in (none, few, none.withColumn("toxic", F.lit(1))):
+        model = toxicity.fit(docs, labels, 50)
+        assert np.isfinite(model.embed).all() and np.isfinite(model.thresholds).all()
+        assert labels is not none or model.score("word1") < 0.5
+    assert model.score("word1") >= 0.5
+
+
+def test_toxicity_cells_cut_like_rows():
+    r = np.random.default_rng(2)
+    labels, groups = (r.random(400) < 0.3).astype(int), r.integers(0, 2, 400)
+    logits = r.normal(0, 1, 400) + 2 * labels
+    cells = pd.DataFrame({"language": groups, "cell": np.floor(logits * 1e6), "rows": 1, "hits": labels, "low": logits, "top": logits})
+    cells = cells.groupby(["language", "cell"], as_index=False).agg({"rows": "sum", "hits": "sum", "low": "min", "top": "max"})
+    assert np.allclose(toxicity._cut_thresholds(cells, 2), toxicity._thresholds(logits, labels, groups, 2))
+
+
 def test_toxicity_query_shape(spark):
     got = QUERIES["op2_toxicity"](spark, SF).toPandas()
     assert sorted(got["doc_id"]) == sorted(small(SF, "documents")["doc_id"]) and list(got.columns) == ["doc_id", "held_out", "score", "predicted"]
