@@ -408,7 +408,7 @@ def _fit_shares(rows: DataFrame, shares: int, seed: int = 11) -> Model:
     top = rows.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
     names = sorted(r["lang"] for r in top.collect())
     values = [f"v{k}" for k in range(DIMS)]
-    learnt = rows.select("doc_id", "key", "lang", "text", "toxic", "share").repartition(2 * shares, "share").groupBy("share").applyInPandas(
+    learnt = rows.select("doc_id", "key", "lang", "text", "toxic", "share").repartitionById(shares, "share").groupBy("share").applyInPandas(
         lambda share: _learn(share, names, seed), f"part int, kind int, at int, used long, {', '.join(f'{v} long' for v in values)}"
     )
     added = learnt.groupBy("part", "kind", "at").agg(*[F.sum(c).alias(c) for c in ["used", *values]])

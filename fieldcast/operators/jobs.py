@@ -95,13 +95,14 @@ def _whole_months(inner: DataFrame, daily: DataFrame) -> DataFrame:
 
 
 def span_weather(spans: DataFrame, daily: DataFrame) -> DataFrame:
-    """Weather summary of distinct ``spans`` (station_id, start_date, completion_date) that have a day with weather;
+    """Weather summary of the distinct ``spans`` (station_id, start_date, completion_date) that have a day with weather;
     open and reversed spans have none.
 
     A span is its first month, its last month and the whole months between. The days of a first or last month, 31 at most,
     are summed where span and days of the station's month meet; whole months come from ``_whole_months``. What goes on
     from there is a narrow row per part."""
-    closed = spans.filter(F.col("completion_date") >= F.col("start_date"))
+    given = spans.filter(F.col("station_id").isNotNull() & (F.col("completion_date") >= F.col("start_date")))
+    closed = given.distinct()
     start, end = _month(F.col("start_date")), _month(F.col("completion_date"))
     heads = closed.select(*SPAN, start.alias(MONTH))
     tails = closed.filter(end > start).select(*SPAN, end.alias(MONTH))
@@ -115,7 +116,7 @@ def span_weather(spans: DataFrame, daily: DataFrame) -> DataFrame:
         F.min(F.when(F.col(DAY) == F.col("start_date"), opening)).alias("_first"),
     ).drop(MONTH)
     parts, long = edges, closed.filter(end - start > 1)
-    if not long.isEmpty():
+    if not given.filter(end - start > 1).isEmpty():  # asked of the rows as they are: no shuffle
         inner = long.select(*SPAN, (start + 1).alias("m0"), (end - 1).alias("m1")).join(_bounds(daily), "station_id")
         inner = inner.select(*SPAN, F.greatest("m0", "first").alias("first"), F.least("m1", "last").alias("last"))
         parts = edges.unionByName(_whole_months(inner.filter(F.col("first") <= F.col("last")), daily), allowMissingColumns=True)
@@ -160,6 +161,5 @@ def job_days(jobs: DataFrame, daily: DataFrame) -> DataFrame:
 def job_weather(jobs: DataFrame, daily: DataFrame, stations: DataFrame) -> DataFrame:
     """Weather summary per staged job. Jobs that share station, start and completion share their weather, which is read
     once."""
-    spans = jobs.select(*SPAN).filter(F.col("station_id").isNotNull()).distinct()
     names = stations.select("station_id", F.col("name").alias("station_name"))
-    return jobs.select("station_id", *CARRIED).join(span_weather(spans, daily), SPAN).join(names, "station_id")
+    return jobs.select("station_id", *CARRIED).join(span_weather(jobs.select(*SPAN), daily), SPAN).join(names, "station_id")

@@ -61,7 +61,7 @@ def _daily(spark: SparkSession, sf: str) -> DataFrame:
 
 def _by_year(spark, sf):
     """The daily rows with their partition column, for queries that name a year."""
-    return D.fact_table(spark, sf).drop("score_details")
+    return D.fact_table(spark, sf)
 
 
 def _staged_jobs(spark: SparkSession, sf: str) -> DataFrame:

@@ -65,3 +65,11 @@ def test_first_rows_are_cut_before_the_shuffle(spark):
 
     plan = first_rows(D.hourly(spark, SF), 24)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_fact_table_holds_what_analytics_read(spark):
+    """All columns of the daily rows but the factor maps."""
+    stored, daily = D.fact_table(spark, SF), D.daily(spark, SF)
+    assert "score_details" in daily.columns and set(stored.columns) == {*daily.columns, "obs_year"} - {"score_details"}
+    columns = [c for c in daily.columns if c != "score_details"]
+    assert stored.select(columns).exceptAll(daily.select(columns)).isEmpty() and stored.count() == daily.count()

@@ -70,3 +70,11 @@ def test_spans_are_not_laid_out(spark):
     jobs = spark.createDataFrame([(1, *long[0]), (2, "a", date(2000, 1, 5), None)], f"job_id long, {SPANS}")
     days = J.job_days(jobs, daily).collect()
     assert len(days) == sum(r[0] == "a" for r in rows)
+
+
+def test_repeated_spans_are_read_once(spark):
+    rows = history(4)
+    daily = spark.createDataFrame(rows, DAILY)
+    spans = [("a", date(1999, 12, 3), date(1999, 12, 9)), ("a", date(1999, 11, 25), date(2000, 6, 2)), (None, date(2000, 1, 1), date(2000, 1, 2))]
+    got = J.span_weather(spark.createDataFrame(spans * 3, SPANS), daily).collect()
+    assert sorted(map(tuple, got)) == sorted(by_hand(rows, s) for s in spans if by_hand(rows, s))
