@@ -89,9 +89,7 @@ def best_weeks(daily, stations, station_id=None, year: int | None = None) -> Dat
 
 
 def comparison(daily, stations, within: str | None = None) -> DataFrame:
-    return pairs.station_pairs(daily, stations, within=within).orderBy(
-        F.col("pct_disagree").desc(), "station_a", "station_b"
-    )
+    return pairs.station_pairs(daily, stations, within=within, ordered=True)
 
 
 def job_list(staged_jobs, daily, stations) -> DataFrame:
