@@ -23,6 +23,10 @@ from ..sinks.tables import DAILY_KEY, in_ranges
 AS_OF = datetime(2024, 1, 15, 9, 30)
 USERS_PER_SITE = 15
 CUSTOMERS_PER_STATION = 15
+#: Lines of an archive file, at most; 270 bytes each before they are compressed.
+ARCHIVE_LINES = 500_000
+#: Columns that hold a station's month together while archive lines are made.
+MONTH = ("l_suppkey", "month")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -62,14 +66,15 @@ def regional_stations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _elements(keyed: DataFrame) -> DataFrame:
-    """Archive elements from (station_id, observation_date, h)."""
+def _elements(keyed: DataFrame, *more: str) -> DataFrame:
+    """Archive elements from (station_id, observation_date, h); columns named in ``more`` stay."""
     h = F.col("h")
     a = F.abs(F.dayofyear("observation_date") - 200)
     unless = lambda m, value: F.when(h % m != 0, value).cast("int")
     return keyed.select(
         "station_id",
         "observation_date",
+        *more,
         "h",
         unless(23, 240 - 2 * a + h % 101).alias("TMAX"),
         unless(29, 200 - 2 * a + h % 101 - h % 67).alias("TMIN"),
@@ -82,8 +87,12 @@ def _elements(keyed: DataFrame) -> DataFrame:
     )
 
 
+def _row_hash() -> Column:
+    return F.col("l_partkey") * 31 + F.col("l_orderkey") * 7 + F.col("l_linenumber")
+
+
 def _hash() -> Column:
-    return F.sum(F.col("l_partkey") * 31 + F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("h")
+    return F.sum(_row_hash()).alias("h")
 
 
 def daily_elements(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,10 +161,26 @@ def fact_table(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _monthly_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """``daily_elements`` with the rows of a station's month in one task from the start, so that its days, and then its
+    month, meet without being shuffled again. ``MONTH`` names its columns."""
+    day = F.col("l_shipdate").cast("date")
+    placed = (
+        table(spark, sf, "lineitem")
+        .select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", day.alias("observation_date"), F.trunc(day, "month").alias("month"))
+        .filter(F.col("observation_date").isNotNull())
+    )
+    hashed = placed.select("l_suppkey", "month", "observation_date", _row_hash().alias("h")).repartition(*MONTH)
+    keyed = hashed.groupBy(*MONTH, "observation_date").agg(F.sum("h").alias("h"))
+    return _elements(keyed.withColumn("station_id", station_key(F.col("l_suppkey"))), *MONTH)
+
+
 def archive_files(spark: SparkSession, sf: str) -> str:
-    """Folder with the observations as fixed-width text files, the form in which they arrive."""
-    lines = lambda: fixed_width_lines(daily_elements(spark, sf)).select("line")
-    return _once(spark, sf, "archive", lambda path: lines().write.text(path))
+    """Folder with the observations as fixed-width text files, the form in which they arrive, compressed: most of a line
+    says that there is no value. Compressed files are read whole, so none has more than ARCHIVE_LINES lines."""
+    lines = lambda: fixed_width_lines(_monthly_elements(spark, sf), MONTH).select("line")
+    packed = {"compression": "gzip", "maxRecordsPerFile": ARCHIVE_LINES, "zlib.compress.level": "FOUR"}
+    return _once(spark, sf, "archive", lambda path: lines().write.options(**packed).text(path))
 
 
 def regional_daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,28 +219,31 @@ def source_root(spark: SparkSession, sf: str, name: str) -> str:
     return os.path.dirname(_once(spark, sf, name, lambda path: rows(spark, sf).write.parquet(path), given))
 
 
-def fixed_width_lines(elements: DataFrame) -> DataFrame:
+def fixed_width_lines(elements: DataFrame, month: tuple[str, ...] = ()) -> DataFrame:
     """Element rows rendered as archive lines; days with h % 53 = 0 carry a quality flag. One month of a station
     meets in a group (at most 31 rows) and leaves it as a line per element, side by side: what is shuffled is a row per
-    day, and readers find the lines of a month together."""
-    flag = F.when(F.col("h") % 53 == 0, "X").otherwise(" ").alias("flag")
-    entry = F.struct(F.dayofmonth("observation_date").alias("d"), F.struct(flag, *ELEMENTS).alias("day"))
+    day, and readers find the lines of a month together. ``month`` names columns that tell a month of a station, if the rows
+    lie together by them already; then nothing is shuffled."""
+    flag = F.when(F.col("h") % 53 == 0, "X").otherwise(" ")
+    value = lambda e: F.lpad(F.coalesce(F.col(e), F.lit(-9999)).cast("string"), 5, " ")
+    slots = F.concat(*[part for e in ELEMENTS for part in (value(e), F.lit(" "), flag, F.lit(" "))])  # of all elements
+    entry = F.struct(F.dayofmonth("observation_date").alias("d"), slots.alias("slots"))
     dated = elements.filter(F.col("observation_date").isNotNull())  # a row without a date has no place in a line
-    months = dated.groupBy("station_id", F.date_format("observation_date", "yyyyMM").alias("ym")).agg(
-        F.map_from_entries(F.collect_list(entry)).alias("m")
-    )
+    ym = F.date_format("observation_date", "yyyyMM")
+    if month:
+        months = dated.groupBy(*month).agg(
+            F.first("station_id").alias("station_id"), F.first(ym).alias("ym"), F.map_from_entries(F.collect_list(entry)).alias("m")
+        )
+    else:
+        months = dated.groupBy("station_id", ym.alias("ym")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
     days = months.select(
         "station_id", "ym", F.transform(F.sequence(F.lit(1), F.lit(31)), lambda d: F.try_element_at("m", d)).alias("days")
     )
-
-    def slot(day: Column, element: str) -> Column:
-        value = F.lpad(F.coalesce(day[element], F.lit(-9999)).cast("string"), 5, " ")
-        return F.coalesce(F.concat(value, F.lit(" "), day["flag"], F.lit(" ")), F.lit("-9999   "))
-
-    line = lambda e: F.concat(
-        "station_id", "ym", F.lit(e), F.array_join(F.transform("days", lambda day: slot(day, e)), "")
+    line = lambda k, e: F.concat(
+        "station_id", "ym", F.lit(e),
+        F.array_join(F.transform("days", lambda day: F.coalesce(F.substring(day, 8 * k + 1, 8), F.lit("-9999   "))), ""),
     )
-    return days.select(F.explode(F.array(*[line(e) for e in ELEMENTS])).alias("line"))
+    return days.select(F.explode(F.array(*[line(k, e) for k, e in enumerate(ELEMENTS)])).alias("line"))
 
 
 def _measures(keyed: DataFrame) -> DataFrame:

@@ -95,3 +95,26 @@ def test_initial_shuffle_partitions_follow_the_table(spark, monkeypatch):
         assert int(spark.conf.get(key)) == raised
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_the_archive_is_compressed_in_files_of_bounded_length(spark, monkeypatch):
+    monkeypatch.setattr(D, "_STORED", {})
+    monkeypatch.setattr(D, "ARCHIVE_LINES", 1000)
+    path = D.archive_files(spark, SF)
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_name").alias("f")).count().collect()
+    assert len(files) > 4 and all(r.f.endswith(".gz") and r["count"] <= 1000 for r in files)
+    # the same lines as by days that meet in months later
+    plain = D.fixed_width_lines(D.daily_elements(spark, SF)).select("line")
+    assert sorted(r[0] for r in spark.read.text(path).collect()) == sorted(r[0] for r in plain.collect())
+    plan = D.fixed_width_lines(D._monthly_elements(spark, SF), D.MONTH)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
+def test_months_of_rows_without_date_or_station(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").limit(400)
+    k = F.col("l_orderkey")
+    rows = rows.withColumns({"l_shipdate": F.when(k % 3 != 0, F.col("l_shipdate")), "l_suppkey": F.when(k % 5 != 0, F.col("l_suppkey"))})
+    rows.unionByName(rows.limit(50)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    lines = lambda months: sorted(str(r.line) for r in months.collect())
+    got = lines(D.fixed_width_lines(D._monthly_elements(spark, str(tmp_path)), D.MONTH))
+    assert got == lines(D.fixed_width_lines(D.daily_elements(spark, str(tmp_path)))) and "None" in got
