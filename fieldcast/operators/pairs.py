@@ -54,7 +54,7 @@ _PAIR_SCHEMA = (
     "avg_temp_diff_f double, max_temp_diff_f double, score_disagree_days bigint, pct_disagree double, temp_correlation double"
 )
 #: Pairs that a cell gathers before it packs them.
-RUN_PAIRS = 1_000_000
+RUN_PAIRS = 1_500_000
 #: Whole numbers of a pair on its way: places of its stations, days, tenths of a degree, thousandths. A missing correlation is
 #: NO_VALUE thousandths.
 _WHOLE = ["a", "b", "n", "avg", "widest", "differ", "corr"]
@@ -332,9 +332,10 @@ def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Listed, dict[
             sums = reduce(_added, map(_meet, here, there, spans))
             met = sums["n"] > 0
             i, j = np.nonzero(np.triu(met, 1) if there is here else met)
+            del there  # its forms are not needed while pairs are handed on
             if len(i):
-                a, b = xs[i], ys[j]
-                yield listed, {"a": np.minimum(a, b), "b": np.maximum(a, b)} | _finished({k: v[i, j] for k, v in sums.items()})
+                a, b, sums = xs[i], ys[j], {k: sums.pop(k)[i, j] for k in list(sums)}
+                yield listed, {"a": np.minimum(a, b), "b": np.maximum(a, b)} | _finished(sums)
 
 
 def _spans(tiles: list[dict]) -> list[Days]:
@@ -418,7 +419,7 @@ def _parts(listed: Listed, p: dict[str, np.ndarray], cut: list[str], edges: np.n
 
 
 def _in_runs(listed: Listed, cell: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-    p = {k: np.concatenate([c[k] for c in cell]) for k in cell[0]}
+    p = {k: np.concatenate([c.pop(k) for c in cell]) for k in list(cell[0])}
     order = np.argsort(p["part"], kind="stable")
     ends = np.flatnonzero(np.append(np.diff(p["part"][order].astype(np.int64)) != 0, True)) + 1
     parts, runs = [], []
@@ -468,7 +469,7 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(((1000 - p["pct"]) * wide + p["a"]) * wide + p["b"])
     else:
         order = np.lexsort((p["b"], p["a"], -p["pct"]))
-    yield from _rows(listed, {k: v[order] for k, v in p.items()})
+    yield from _rows(listed, {k: p.pop(k)[order] for k in list(p)})
 
 
 def _blocks_of(stations: DataFrame, within: str | None, station_blocks: int | None) -> DataFrame:
